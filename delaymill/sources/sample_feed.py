@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from delaymill.config import STOP_EVENT_COLUMNS
+from delaymill.functions.delays import SEVERE_MINUTES, delay_minutes, service_class
 
 TRAIN_TYPE_OF_EVENT = {"click": "ICE", "view": "RE", "purchase": "S", "signup": "IC", "error": "XX"}
 SOURCE_FILE = "data-2024-01.parquet"
@@ -15,7 +16,7 @@ def load_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/events.parquet")
 
 
-def stop_events(events: DataFrame, recurring_rides: bool = False) -> DataFrame:
+def stop_events(events: DataFrame, recurring_rides: bool = False, also: tuple[Column, ...] = ()) -> DataFrame:
     """The feed schema on top of ``events``; with ``recurring_rides`` a ride id spans several days."""
     k = F.get_json_object("props", "$.k")
     delay = (F.floor(F.col("value") / 4) - 5).cast("int")
@@ -52,14 +53,48 @@ def stop_events(events: DataFrame, recurring_rides: bool = False) -> DataFrame:
         "departure_change_time": F.when(departs, plus(minute, delay + 2 + jitter)),
         "id": F.col("event_id").cast("string"),
     }
-    return events.select(*[columns[c].alias(c) for c in STOP_EVENT_COLUMNS])
+    return events.select(*[columns[c].alias(c) for c in STOP_EVENT_COLUMNS], *also)
 
 
-def event_scores(events: DataFrame) -> DataFrame:
+def event_score() -> Column:
     """A deterministic score per event, with some missing and some out-of-range values."""
     raw = F.col("value") / 200
     score = F.when(F.col("event_id") % 97 == 0, None).when(F.col("event_id") % 89 == 0, raw)
-    return events.select(
-        F.col("event_id").cast("string").alias("stop_event_key"),
-        score.otherwise(F.least(F.lit(1.0), raw)).alias("predicted_probability"),
+    return score.otherwise(F.least(F.lit(1.0), raw)).alias("predicted_probability")
+
+
+def event_scores(events: DataFrame) -> DataFrame:
+    return events.select(F.col("event_id").cast("string").alias("stop_event_key"), event_score())
+
+
+def held_out_scores(events: DataFrame, test_from: str, threshold: float, model: tuple[str, str]) -> DataFrame:
+    """Scored stops as a model run hands them over: all stops with a known outcome, in two splits.
+
+    Some station names are missing, as in scores that carry no station attributes.
+    """
+    named = F.when(F.col("event_id") % 17 != 0, True).alias("named")
+    stops = stop_events(events, also=(event_score(), named))
+    delay = delay_minutes(F.col("departure_planned_time"), F.col("departure_change_time"))
+    day = F.to_date("time")
+    split = F.when(day >= F.lit(test_from).cast("date"), "test").otherwise("validation")
+    known = stops.filter(F.col("departure_planned_time").isNotNull() & ~F.col("is_canceled"))
+    return known.select(
+        F.col("id").alias("stop_event_key"),
+        F.col("train_line_ride_id").alias("journey_id"),
+        day.alias("service_date"),
+        F.col("eva").alias("station_id"),
+        F.when(F.col("named"), F.col("station_name")).alias("station_name"),
+        "train_type",
+        "line_number",
+        F.concat_ws("-", "train_type", "train_number", F.coalesce("line_number", F.lit("none"))).alias(
+            "train_service_key"
+        ),
+        service_class(F.col("train_type")).alias("service_class"),
+        split.alias("prediction_split"),
+        F.hour("time").alias("hour_of_day"),
+        F.lit(model[0]).alias("model_name"),
+        F.lit(model[1]).alias("model_version"),
+        F.lit(threshold).alias("selected_threshold"),
+        "predicted_probability",
+        (delay >= SEVERE_MINUTES).alias("actual_is_departure_severe_delay"),
     )
