@@ -1,8 +1,9 @@
 """Ranks and running totals over groups of any size.
 
-A window sends each group to one task. Here a group is range-partitioned over as many tasks as its
-size needs; the sorted slices are written once, so that a lost executor cannot change their borders,
-and only one small row per slice and group is needed to link them.
+A window sends each group to one task, which is fine for an input that was counted and found small.
+Larger inputs are range-partitioned, so that a group spreads over as many tasks as its size needs; the
+sorted slices are written once, so that a lost executor cannot change their borders, and only one small
+row per slice and group is needed to link them.
 """
 
 from __future__ import annotations
@@ -15,12 +16,11 @@ from pyspark.sql import functions as F
 from delaymill.session import spool
 
 SLICE_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
-SMALL_TABLE_ROWS = 1_000_000
+SMALL_ROWS = 1_000_000
 
 
-def _sliced(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+def _sliced(stored: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """Sorted slices with positions. The stored tie-breaker lets even equal rows spread over slices."""
-    stored = spool(df.withColumn("_tie", F.monotonically_increasing_id()), "unsliced")
     keys = [F.col(g).asc_nulls_first() for g in group] + order + [F.col("_tie").asc()]
     placed = stored.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = placed.drop("_tie").withColumn("_position", F.monotonically_increasing_id())
@@ -46,33 +46,43 @@ def _with_carry(slices: DataFrame, carried: DataFrame, group: list[str]) -> Data
     return slices.join(carry, same, "inner").drop(*[f"_c{k}" for k in keys])
 
 
-def rank_rows(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+def _stored(df: DataFrame) -> DataFrame:
+    """Stored once, because sampling the ranges and shuffling would otherwise both compute the input."""
+    return spool(df.withColumn("_tie", F.monotonically_increasing_id()), "unsliced")
+
+
+def rank_rows(df: DataFrame, group: list[str], order: list[Column], name: str, small: int = SMALL_ROWS) -> DataFrame:
     """Row numbers 1..n inside each group in the given order."""
-    slices = _sliced(df, group, order)
+    stored = _stored(df)
+    if stored.count() <= small:
+        number = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+        return stored.select(*df.columns, number.cast("long").alias(name))
+    slices = _sliced(stored, group, order)
     linked = _with_carry(slices, _carried(slices, group, {"rows": F.count(F.lit(1))}), group)
     number = F.col("_before_rows") + F.col("_position") - F.col("_first") + 1
-    return linked.select(*df.columns, number.cast("long").alias(name))
+    return spool(linked.select(*df.columns, number.cast("long").alias(name)), "ranked")
+
 
+def running_totals(
+    df: DataFrame, group: list[str], order: list[Column], sums: dict[str, str], small: int = SMALL_ROWS
+) -> DataFrame:
+    """Running sums (own row included) of the columns that ``sums`` maps to new names."""
 
-def running_totals(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """Running sums (own row included) of the columns ``sums`` maps to new names."""
-    slices = _sliced(df, group, order)
+    def inside(*keys: str, by) -> Window:
+        return Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    stored = _stored(df)
+    if stored.count() <= small:
+        window = inside(*group, by=order)
+        return stored.select(*df.columns, *[F.sum(c).over(window).alias(n) for c, n in sums.items()])
+    slices = _sliced(stored, group, order)
     linked = _with_carry(slices, _carried(slices, group, {n: F.sum(c) for c, n in sums.items()}), group)
-    inside = (
-        Window.partitionBy(*group, "_slice")
-        .orderBy("_position")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return linked.select(
-        *df.columns, *[(F.col(f"_before_{n}") + F.sum(c).over(inside)).alias(n) for c, n in sums.items()]
-    )
+    window = inside(*group, "_slice", by=["_position"])
+    totals = [(F.col(f"_before_{n}") + F.sum(c).over(window)).alias(n) for c, n in sums.items()]
+    return linked.select(*df.columns, *totals)
 
 
-def surrogate_keys(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Dense keys 1..n of a dimension; one task numbers it only when its counted size is small."""
-    stored = spool(df, "dimension")
-    if stored.count() <= SMALL_TABLE_ROWS:
-        keyed = stored.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("int"))
-    else:
-        keyed = spool(rank_rows(stored, [], order, name), "keys")
-    return keyed.select(name, *df.columns)
+def surrogate_keys(df: DataFrame, order: list[Column], name: str, small: int = SMALL_ROWS) -> DataFrame:
+    """Dense keys 1..n of a dimension whose rows are distinct."""
+    keyed = rank_rows(df, [], order, name, small)
+    return keyed.select(F.col(name).cast("int").alias(name), *df.columns)

@@ -15,6 +15,7 @@ from delaymill.sources.sample_feed import SOURCE_FILE, load_events, stop_events
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+SHIFT = 1e-9
 LOADED_AT = "2024-02-01 06:00:00"
 ADDED_FILE = "data-2024-02.parquet"
 HUB = "Station 7"
@@ -33,7 +34,10 @@ ADDED_PART = ScopeSlice(ADDED_SLICE, ADDED_FILE, "monthly_processed_data/data-20
 
 
 def portable(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Dates and timestamps as text and doubles rounded, so that both engines print the same values."""
+    """Dates and timestamps as text and doubles rounded, so that both engines print the same values.
+
+    The shift keeps values halfway between two printed ones away from the noise of summation order.
+    """
     columns = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -42,7 +46,7 @@ def portable(df: DataFrame, digits: int = 6) -> DataFrame:
         elif isinstance(f.dataType, T.TimestampNTZType | T.TimestampType):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, digits)
+            c = F.round(c + SHIFT, digits)
         columns.append(c.alias(f.name))
     return df.select(*columns)
 
@@ -61,7 +65,7 @@ def printed(body: str, dates: str = "", stamps: str = "", doubles: str = "", dig
     """Final SELECT with the same formatting as ``portable``."""
     changes = [f"strftime({c}, '%Y-%m-%d') AS {c}" for c in dates.split()]
     changes += [f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f') AS {c}" for c in stamps.split()]
-    changes += [f"round({c}, {digits}) AS {c}" for c in doubles.split()]
+    changes += [f"round({c} + {SHIFT}, {digits}) AS {c}" for c in doubles.split()]
     star = f"* REPLACE ({', '.join(changes)})" if changes else "*"
     return f"SELECT {star} FROM ({body})"
 
