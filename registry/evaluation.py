@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from delaymill.operators import metrics, scope, split
+from delaymill.operators import metrics, model, scope, split
+from delaymill.session import spool
 from delaymill.sources.sample_feed import SOURCE_FILE, event_scores, load_events, stop_events
 from registry.common import (
     ADDED_FILE,
@@ -275,3 +276,13 @@ def scope_diagnostic(spark, folder):
     rows = split.modeling_frame(split.anchor_split(layer_frames(bronze)[3]))
     labelled = scope.label_scope_slice(with_scores(spark, folder, rows), SOURCE_FILE, ADDED_FILE, WEEK)
     return metrics.scope_report(labelled, "predicted_probability", split.TARGET, THRESHOLD)
+
+
+@query("severe_delay_scores")
+def severe_delay_scores(spark, folder):
+    """Quality of the fitted classifier on the held-out splits."""
+    rows = spool(model_rows(spark, folder), "model_rows")
+    scored = model.held_out_scores(model.fit(rows), rows, THRESHOLD, LOADED_AT)
+    by = ["prediction_split"]
+    ranked = metrics.ranking_metrics(scored, "predicted_probability", split.TARGET, by)
+    return ranked.join(metrics.confusion(scored, "predicted_probability", split.TARGET, THRESHOLD, by), by)
