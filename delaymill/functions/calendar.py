@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Names of the days, Monday first.
+WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+
 
 def minute_boundaries(start: Column, end: Column) -> Column:
     """Minute boundaries crossed from ``start`` to ``end``: 10:00:50 to 10:01:10 is one."""
@@ -35,7 +38,7 @@ def date_attributes(day: Column) -> dict[str, Column]:
         "month": F.month(day),
         "week_of_year": F.weekofyear(day),
         "day_of_week": weekday,
-        "day_name": F.date_format(day, "EEEE"),
+        "day_name": F.get(F.array(*[F.lit(d) for d in WEEKDAYS]), F.weekday(day)),
         "is_weekend": weekday >= 6,
     }
 

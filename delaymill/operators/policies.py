@@ -85,24 +85,33 @@ def score_first_picks(pool: Column, most: int) -> Column:
 def greedy_picks(pool: Column, most: int, preferred: int, penalty: float) -> Column:
     """Positions in the order a greedy choice with a station penalty takes them."""
 
-    def step(taken: Column, _: Column) -> Column:
-        used = F.transform(taken, lambda i: F.get(pool, i))
-
-        def value(i: Column) -> Column:
+    def step(state: Column, _: Column) -> Column:
+        def value(row: Column, i: Column) -> Column:
+            there = F.size(F.filter(state.getField("stations"), lambda s: s == row.getField("station_id")))
+            fine = F.when(there >= preferred, F.lit(float(penalty))).otherwise(F.lit(0.0))
+            free = ~F.array_contains(state.getField("journeys"), row.getField("journey_id"))
+            return F.when(free, F.struct((row.getField("p") - fine).alias("value"), (-i).alias("order")))
+
+        def take(best: Column) -> Column:
+            i = -best.getField("order")
             row = F.get(pool, i)
-            at_station = F.size(F.filter(used, lambda u: u.getField("station_id") == row.getField("station_id")))
-            fine = F.when(at_station >= preferred, F.lit(float(penalty))).otherwise(F.lit(0.0))
-            return F.struct((row.getField("p") - fine).alias("value"), (-i).alias("order"))
-
-        def free(i: Column) -> Column:
-            journey = F.get(pool, i).getField("journey_id")
-            return ~F.exists(used, lambda u: u.getField("journey_id") == journey)
-
-        best = F.array_max(F.transform(F.filter(_numbers(pool), free), value))
-        return F.when(best.isNull(), taken).otherwise(F.array_append(taken, -best.getField("order")))
-
+            grown = F.struct(
+                F.array_append(state.getField("picks"), i).alias("picks"),
+                F.array_append(state.getField("journeys"), row.getField("journey_id")).alias("journeys"),
+                F.array_append(state.getField("stations"), row.getField("station_id")).alias("stations"),
+            )
+            return F.when(best.isNull(), state).otherwise(grown)
+
+        # the one-element array binds the best row, so that it is searched once per step
+        return F.get(F.transform(F.array(F.array_max(F.transform(pool, value))), take), 0)
+
+    start = F.struct(
+        F.array().cast("array<int>").alias("picks"),
+        F.array().cast("array<string>").alias("journeys"),
+        F.array().cast("array<string>").alias("stations"),
+    )
     rounds = F.sequence(F.lit(1), F.lit(most))
-    return F.aggregate(rounds, F.array().cast("array<int>"), step)
+    return F.aggregate(rounds, start, step, lambda state: state.getField("picks"))
 
 
 def exact_picks(grid: list[tuple[int, float]], capacities: tuple[int, ...]):

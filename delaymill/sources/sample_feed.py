@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from delaymill.config import STOP_EVENT_COLUMNS
+from delaymill.functions.calendar import date_key
 from delaymill.functions.delays import SEVERE_MINUTES, delay_minutes, service_class
 
 TRAIN_TYPE_OF_EVENT = {"click": "ICE", "view": "RE", "purchase": "S", "signup": "IC", "error": "XX"}
@@ -20,16 +21,17 @@ def stop_events(events: DataFrame, recurring_rides: bool = False, also: tuple[Co
     """The feed schema on top of ``events``; with ``recurring_rides`` a ride id spans several days."""
     k = F.get_json_object("props", "$.k")
     delay = (F.floor(F.col("value") / 4) - 5).cast("int")
-    minute = F.make_timestamp_ntz(
-        F.year("ts"), F.month("ts"), F.dayofmonth("ts"), F.hour("ts"), F.minute("ts"), F.lit(0)
-    )
+    minutes_of_day = F.hour("ts") * 60 + F.minute("ts")
+    midnight = F.to_date("ts").cast("timestamp_ntz")
+    one_minute = F.expr("INTERVAL '1' MINUTE")
     user = F.col("user_id").cast("string")
-    day = F.date_format(F.to_date("ts"), "yyyyMMdd")
+    day = date_key(F.to_date("ts")).cast("string")
     ride = user if recurring_rides else F.concat_ws("-", user, day)
     train_type = F.create_map(*[F.lit(x) for pair in TRAIN_TYPE_OF_EVENT.items() for x in pair])
 
-    def plus(base, minutes):
-        return base + F.make_dt_interval(mins=minutes)
+    def clock(after: Column | int) -> Column:
+        """The event's minute, moved by some minutes."""
+        return midnight + one_minute * (minutes_of_day + after)
 
     arrives = F.col("event_id") % 11 != 0
     departs = F.col("event_id") % 13 != 0
@@ -46,11 +48,11 @@ def stop_events(events: DataFrame, recurring_rides: bool = False, also: tuple[Co
         "is_canceled": (F.col("event_type") == "error") & (F.col("event_id") % 4 == 0),
         "train_type": train_type[F.col("event_type")],
         "train_line_ride_id": ride,
-        "train_line_station_num": (F.hour("ts") * 60 + F.minute("ts")).cast("int"),
-        "arrival_planned_time": F.when(arrives, minute),
-        "arrival_change_time": F.when(arrives, plus(minute, delay)),
-        "departure_planned_time": F.when(departs, plus(minute, F.lit(2))),
-        "departure_change_time": F.when(departs, plus(minute, delay + 2 + jitter)),
+        "train_line_station_num": minutes_of_day.cast("int"),
+        "arrival_planned_time": F.when(arrives, clock(0)),
+        "arrival_change_time": F.when(arrives, clock(delay)),
+        "departure_planned_time": F.when(departs, clock(2)),
+        "departure_change_time": F.when(departs, clock(delay + 2 + jitter)),
         "id": F.col("event_id").cast("string"),
     }
     return events.select(*[columns[c].alias(c) for c in STOP_EVENT_COLUMNS], *also)

@@ -45,8 +45,13 @@ scored AS (SELECT m.*, s.predicted_probability FROM model_rows m JOIN scores s U
 _MODEL = (*_GOLD, SCORES, SPLIT)
 
 
+def gold_table(spark, folder):
+    """The feature layer as the stored table that the split reads several times."""
+    return spool(gold_frame(spark, folder), "gold")
+
+
 def model_rows(spark, folder):
-    return split.modeling_frame(split.anchor_split(gold_frame(spark, folder)))
+    return split.modeling_frame(split.anchor_split(gold_table(spark, folder)))
 
 
 def with_scores(spark, folder, rows):
@@ -69,7 +74,7 @@ def scored_rows(spark, folder):
 )
 def anchor_split(spark, folder):
     columns = ["stop_event_key", "journey_id", "service_date", "journey_anchor_date", "prediction_split"]
-    return split.anchor_split(gold_frame(spark, folder)).select(*columns)
+    return split.anchor_split(gold_table(spark, folder)).select(*columns)
 
 
 _FEATURE_LIST = ", ".join(
@@ -273,7 +278,7 @@ _LABELLED = f"""labelled AS (
 def scope_diagnostic(spark, folder):
     rides = stop_events(load_events(spark, folder), recurring_rides=True)
     bronze = scope.bronze_events([(rides, BASELINE_PART), (rides, ADDED_PART)], SCOPE, LOADED_AT)
-    rows = split.modeling_frame(split.anchor_split(layer_frames(bronze)[3]))
+    rows = split.modeling_frame(split.anchor_split(spool(layer_frames(bronze)[3], "gold")))
     labelled = scope.label_scope_slice(with_scores(spark, folder, rows), SOURCE_FILE, ADDED_FILE, WEEK)
     return metrics.scope_report(labelled, "predicted_probability", split.TARGET, THRESHOLD)
 

@@ -117,9 +117,14 @@ def recursive(*ctes: str, final: str) -> str:
     return with_ctes(*ctes, final=final).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def prepared(spark, folder):
+def handed_over(spark, folder):
+    """The scored rows as the stored hand-off that every selection step reads."""
     scores = held_out_scores(load_events(spark, folder), TEST_FROM, POLICY.selected_threshold, MODEL)
-    return cand.prepare_candidates(scores, POLICY)
+    return spool(scores, "scored")
+
+
+def prepared(spark, folder):
+    return cand.prepare_candidates(handed_over(spark, folder), POLICY)
 
 
 def all_outcomes(candidates):
@@ -166,7 +171,7 @@ def candidates(spark, folder):
 )
 def duplicate_candidates(spark, folder):
     """Severe stops arrive twice: both copies become ineligible."""
-    scores = held_out_scores(load_events(spark, folder), TEST_FROM, POLICY.selected_threshold, MODEL)
+    scores = handed_over(spark, folder)
     doubled = scores.unionByName(scores.filter(F.col(cand.OUTCOME)))
     return cand.prepare_candidates(doubled, POLICY).select("execution_mode", "eligibility_reason", "stop_event_key")
 
