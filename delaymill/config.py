@@ -28,6 +28,7 @@ STOP_EVENT_COLUMNS = (
     "id",
 )
 
+# Names of scope slices, policies and splits.
 BASELINE_SLICE = "baseline_month"
 ADDED_SLICE = "added_disrupted_week"
 UNKNOWN_SLICE = "unknown_scope_slice"

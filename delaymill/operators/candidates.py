@@ -16,6 +16,7 @@ LEGACY_PROBABILITY = "predicted_probability"
 OUTCOME = "actual_is_departure_severe_delay"
 HORIZON = ["execution_mode", "horizon_id"]
 
+# Columns scored rows must carry, and those they may lack.
 REQUIRED_FIELDS = (
     "stop_event_key",
     "journey_id",
@@ -70,11 +71,12 @@ def _repeated_keys(rows: DataFrame) -> DataFrame:
 
 def prepare_candidates(scored: DataFrame, policy: Policy, modes: tuple[str, ...] = tuple(SPLIT_OF_MODE)) -> DataFrame:
     """Candidates of one or more execution modes with their eligibility and horizon."""
-    rows = normalized_scores(scored)
+    split = F.col("prediction_split")
+    rows = normalized_scores(scored).filter(split.isin(*[SPLIT_OF_MODE[name] for name in modes]))
     mode = F.lit(None).cast("string")
     for name in modes:
-        mode = F.when(F.col("prediction_split") == SPLIT_OF_MODE[name], name).otherwise(mode)
-    rows = rows.withColumn("execution_mode", mode).filter(F.col("execution_mode").isNotNull())
+        mode = F.when(split == SPLIT_OF_MODE[name], name).otherwise(mode)
+    rows = rows.withColumn("execution_mode", mode)
     repeated = _repeated_keys(rows)
     same = (F.col("execution_mode") == F.col("_mode")) & F.col("stop_event_key").eqNullSafe(F.col("_key"))
     rows = rows.join(repeated, same, "left")

@@ -21,11 +21,9 @@ FINAL, TEST_SPLIT = "final", "test"
 _UNIT = (0.0, 1.0)
 
 
-def _contract(required: str, optional: str = "", unit: str = "", order: list[str] | None = None) -> list[dict]:
-    names = order or [*required.split(), *optional.split()]
-    return [
-        {"name": n, "nullable": n in optional.split(), "range": _UNIT if n in unit.split() else None} for n in names
-    ]
+def _contract(names: list[str], optional: tuple[str, ...] = (), unit: tuple[str, ...] = ()) -> list[dict]:
+    """Columns of a table; the optional ones may be null, the unit ones lie between 0 and 1."""
+    return [{"name": n, "nullable": n in optional, "range": _UNIT if n in unit else None} for n in names]
 
 
 # Columns of every report table, in order.
@@ -94,8 +92,8 @@ _HORIZON_COLUMNS = [
     "model_version",
     "optimized_at",
 ]
-_RATIOS = "candidate_prevalence precision_at_capacity severe_delay_coverage lift_over_candidate_prevalence"
-_SHARES = "candidate_prevalence precision_at_capacity severe_delay_coverage"
+_SHARES = ("candidate_prevalence", "precision_at_capacity", "severe_delay_coverage")
+_RATIOS = (*_SHARES, "lift_over_candidate_prevalence")
 
 METRIC_COLUMNS = [
     *SUMMARY_COLUMNS[:2],
@@ -143,28 +141,38 @@ COMPARISON_COLUMNS = [
 
 CONTRACTS = {
     "fact_event_decision": _contract(
-        "",
-        f"predicted_severe_delay_probability actual_is_departure_severe_delay selection_rank priority_score "
-        f"objective_contribution journey_id",
-        order=_EVENT_COLUMNS,
-    ),
-    "fact_horizon_summary": _contract("", _RATIOS, _SHARES, order=_HORIZON_COLUMNS),
-    "dim_date_hour": _contract("horizon_id calendar_date hour_of_day date_label hour_label"),
-    "dim_station": _contract("station_id station_name"),
-    "dim_train_service": _contract("train_service_key train_type line_number service_class"),
-    "dim_scenario": _contract(
-        "scenario_key capacity_scenario capacity_per_hour minimum_candidate_probability model_name model_version "
-        "selected_threshold policy_version frozen_at scenario_display_name"
+        _EVENT_COLUMNS,
+        (
+            "journey_id",
+            "predicted_severe_delay_probability",
+            "actual_is_departure_severe_delay",
+            "selection_rank",
+            "priority_score",
+            "objective_contribution",
+            BIN,
+        ),
     ),
+    "fact_horizon_summary": _contract(_HORIZON_COLUMNS, _RATIOS, _SHARES),
+    "dim_date_hour": _contract(["horizon_id", "calendar_date", "hour_of_day", "date_label", "hour_label"]),
+    "dim_station": _contract(["station_id", "station_name"]),
+    "dim_train_service": _contract(["train_service_key", "train_type", "line_number", "service_class"]),
+    "dim_scenario": _contract([
+        "scenario_key",
+        "capacity_scenario",
+        "capacity_per_hour",
+        "minimum_candidate_probability",
+        "model_name",
+        "model_version",
+        "selected_threshold",
+        "policy_version",
+        "frozen_at",
+        "scenario_display_name",
+    ]),
     "fact_policy_comparison": _contract(
-        "", "precision_at_capacity severe_delay_coverage lift_vs_random", "precision_at_capacity",
-        order=COMPARISON_COLUMNS,
+        COMPARISON_COLUMNS, ("precision_at_capacity", "severe_delay_coverage", "lift_vs_random"), _SHARES
     ),
-    "fact_horizon_policy_metrics": _contract("", _RATIOS, _SHARES, order=METRIC_COLUMNS),
+    "fact_horizon_policy_metrics": _contract(METRIC_COLUMNS, _RATIOS, _SHARES),
 }
-for _c in CONTRACTS["fact_event_decision"]:
-    if _c["name"] == BIN:
-        _c["nullable"] = True
 
 # Many-to-one links of the report model: fact, dimension, key.
 RELATIONSHIPS = (
@@ -438,7 +446,9 @@ def source_violations(events: DataFrame, summary: DataFrame, policy: Policy, hor
         horizon_rules,
         quality.duplicate_keys(events, ["stop_event_key"], "one row per event"),
         quality.duplicate_keys(summary, ["horizon_id"], "one row per horizon"),
-        quality.broken_dependency(events, "horizon_id", ["calendar_date", "hour_of_day"], "horizon fixes date and hour"),
+        quality.broken_dependency(
+            events, "horizon_id", ["calendar_date", "hour_of_day"], "horizon fixes date and hour"
+        ),
         quality.single_value(events, ["optimization_run_id", "model_name", "model_version"], "one run and model"),
         quality.single_value(runs, ["optimization_run_id"], "one run in all tables"),
     ]

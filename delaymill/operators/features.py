@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from delaymill.functions.calendar import date_attributes, time_band
 from delaymill.functions.delays import delay_flags, share
 
+# Columns of the feature layer, in order.
 FEATURE_COLUMNS = (
     "stop_event_key",
     "date_key",

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from delaymill.config import RANDOM, Policy
+from delaymill.config import GREEDY, RANDOM, Policy
 from delaymill.functions.delays import share
-from delaymill.operators.candidates import HORIZON, OUTCOME, PROBABILITY
-from delaymill.operators.policies import CHOICE, selections
+from delaymill.operators.candidates import HORIZON, PROBABILITY
 
+# Solver statuses.
 SOLVED, DIRECT = "OPTIMAL", "deterministic"
 
 
@@ -135,7 +135,7 @@ def horizon_policy_metrics(outcomes: DataFrame) -> DataFrame:
 
 def objective_totals(outcomes: DataFrame, policy: Policy) -> DataFrame:
     """Total objective per policy and capacity; only the penalised policies pay for station excess."""
-    penalised = F.col("policy_name").isin("constrained_greedy", policy.search.optimization_policy_name)
+    penalised = F.col("policy_name").isin(GREEDY, policy.search.optimization_policy_name)
     paid = F.when(penalised, F.col("station_concentration_excess_total")).otherwise(0.0)
     return outcomes.groupBy("execution_mode", "policy_name", "capacity_per_hour").agg(
         F.sum(F.col("selected_probability_score_sum") - paid * policy.station_penalty).alias("solver_objective_value")
@@ -283,7 +283,7 @@ def event_decisions(
     Everything the rows need is one row per horizon, so a single join suffices.
     """
     wanted = (F.col("policy_name") == policy_name) & (F.col("capacity_per_hour") == capacity)
-    own = [c for c in ("policy_name", "capacity_per_hour", "capacity_scenario", "feasible_selection_target")]
+    own = ["policy_name", "capacity_per_hour", "capacity_scenario", "feasible_selection_target"]
     chosen = outcomes.filter(wanted).select(
         *HORIZON, *own, "solver_status", F.col("picks.stop_event_key").alias("_keys")
     )

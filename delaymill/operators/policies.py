@@ -18,14 +18,20 @@ the pool of one horizon, whatever its size.
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from delaymill.config import GREEDY, RANDOM, SCORE_FIRST, Policy
+from delaymill.operators import assignment
 from delaymill.operators.assignment import optimal_picks
 from delaymill.operators.candidates import HORIZON, OUTCOME, PROBABILITY
 
-CHOICE = [*HORIZON, "policy_name", "capacity_per_hour"]
+# the helper travels with the function, so that workers need no installed copy of this package
+cloudpickle.register_pickle_by_value(assignment)
+
+
+PICK_FIELDS = ("rank_value", "stop_event_key", "journey_id", "station_id", "p", "severe")
 
 
 def _pick_fields() -> list[Column]:
@@ -177,9 +183,6 @@ def choices(candidates: DataFrame, policy: Policy, capacities: tuple[int, ...] |
     return ranked.unionByName(drawn.select(*HORIZON, F.inline(F.array(*draws))))
 
 
-PICK_FIELDS = ("rank_value", "stop_event_key", "journey_id", "station_id", "p", "severe")
-
-
 def _option(name: str, capacity: int, rows: Column) -> Column:
     return F.struct(F.lit(name).alias("policy_name"), F.lit(capacity).alias("capacity_per_hour"), rows.alias("picks"))
 

@@ -146,7 +146,9 @@ def review_queue(fact: DataFrame) -> DataFrame:
 def date_hour_matrix(fact: DataFrame) -> DataFrame:
     """Events per date (rows) and hour (24 fixed columns)."""
     pivoted = fact.groupBy("calendar_date").pivot("hour_of_day", list(range(24))).agg(F.count(F.lit(1)))
-    return pivoted.select("calendar_date", *[F.coalesce(F.col(str(h)), F.lit(0).cast("long")).alias(f"h{h:02d}") for h in range(24)])
+    none = F.lit(0).cast("long")
+    hours = [F.coalesce(F.col(str(h)), none).alias(f"h{h:02d}") for h in range(24)]
+    return pivoted.select("calendar_date", *hours)
 
 
 def slots_and_events_by_hour(

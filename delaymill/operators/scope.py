@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from delaymill.config import STOP_EVENT_COLUMNS, ScopeConfig, ScopeSlice
 from delaymill.functions.calendar import month_start_of_file, week_start
 from delaymill.functions.delays import SEVERE_MINUTES, share
+from delaymill.session import spool
 
 
 def hub_journeys(events: DataFrame, hub: str, start: date | None = None, end: date | None = None) -> DataFrame:
@@ -18,12 +19,17 @@ def hub_journeys(events: DataFrame, hub: str, start: date | None = None, end: da
     calls = events.filter(F.col("station_name") == hub)
     if start is not None:
         calls = calls.filter((F.col("time") >= F.lit(start)) & (F.col("time") < F.lit(end)))
-    return calls.select("train_line_ride_id")
+    return calls.select("train_line_ride_id").distinct()
 
 
 def scope_journeys(events: DataFrame, hub: str, start: date | None = None, end: date | None = None) -> DataFrame:
-    """All rows of the journeys that call at the hub, also those outside the period."""
-    return events.join(hub_journeys(events, hub, start, end), "train_line_ride_id", "left_semi").select(events.columns)
+    """All rows of the journeys that call at the hub, also those outside the period.
+
+    The journey ids are stored, so that few are broadcast, and many are shuffled against a side whose
+    hot journeys adaptive execution can split.
+    """
+    journeys = spool(hub_journeys(events, hub, start, end), "hub_journeys")
+    return events.join(journeys, "train_line_ride_id", "left_semi").select(events.columns)
 
 
 def stamp_lineage(rows: DataFrame, scope: ScopeConfig, part: ScopeSlice, loaded_at: str) -> DataFrame:

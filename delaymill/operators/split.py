@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from delaymill.session import spool
+
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
 
 # Share of anchor dates up to the end of training and of validation.
@@ -19,6 +21,7 @@ NUMERIC = ("hour_of_day", "day_of_week", "month", "week_of_year", "arrival_delay
 BOOLEAN = ("is_weekend", "is_cancellation", "is_arrival_cancelled", "has_arrival_time_data")
 ALLOWED_FEATURES = CATEGORICAL + NUMERIC + BOOLEAN
 
+# Columns that identify a modelling row.
 IDENTIFIERS = (
     "stop_event_key",
     "journey_id",
@@ -98,10 +101,11 @@ def _split_ends(anchors: DataFrame) -> DataFrame:
 def anchor_split(rows: DataFrame) -> DataFrame:
     """Adds the first service date of each journey and the split that date falls into.
 
-    The first dates are pre-aggregated per journey, so a journey of any size costs one small row per task.
+    The first dates are pre-aggregated per journey, so a journey of any size costs one small row per task,
+    and stored, so that the join back may broadcast them or split hot journeys.
     """
     require_columns(rows, ("journey_id", "service_date"), "split input")
-    anchors = rows.groupBy("journey_id").agg(F.min("service_date").alias("journey_anchor_date"))
+    anchors = spool(rows.groupBy("journey_id").agg(F.min("service_date").alias("journey_anchor_date")), "anchors")
     ends = _split_ends(anchors).scalar()
     anchor = F.col("journey_anchor_date")
     split = (

@@ -16,7 +16,6 @@ from registry.common import (
     WEEK,
     printed,
     query,
-    stops_cte,
     with_ctes,
 )
 from registry.layers import _GOLD, _SCOPED, GOLD, RIDES, SILVER, gold_frame, layer_frames
