@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from delaymill.session import spool
 
 SLICE_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 1_000_000  # inputs up to this counted size are ranked by a plain window
 
 
 def _sliced(stored: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
@@ -51,10 +51,10 @@ def _stored(df: DataFrame) -> DataFrame:
     return spool(df.withColumn("_tie", F.monotonically_increasing_id()), "unsliced")
 
 
-def rank_rows(df: DataFrame, group: list[str], order: list[Column], name: str, small: int = SMALL_ROWS) -> DataFrame:
+def rank_rows(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """Row numbers 1..n inside each group in the given order."""
     stored = _stored(df)
-    if stored.count() <= small:
+    if stored.count() <= SMALL_ROWS:
         number = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
         return stored.select(*df.columns, number.cast("long").alias(name))
     slices = _sliced(stored, group, order)
@@ -63,16 +63,14 @@ def rank_rows(df: DataFrame, group: list[str], order: list[Column], name: str, s
     return spool(linked.select(*df.columns, number.cast("long").alias(name)), "ranked")
 
 
-def running_totals(
-    df: DataFrame, group: list[str], order: list[Column], sums: dict[str, str], small: int = SMALL_ROWS
-) -> DataFrame:
+def running_totals(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
     """Running sums (own row included) of the columns that ``sums`` maps to new names."""
 
     def inside(*keys: str, by) -> Window:
         return Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     stored = _stored(df)
-    if stored.count() <= small:
+    if stored.count() <= SMALL_ROWS:
         window = inside(*group, by=order)
         return stored.select(*df.columns, *[F.sum(c).over(window).alias(n) for c, n in sums.items()])
     slices = _sliced(stored, group, order)
@@ -82,7 +80,7 @@ def running_totals(
     return linked.select(*df.columns, *totals)
 
 
-def surrogate_keys(df: DataFrame, order: list[Column], name: str, small: int = SMALL_ROWS) -> DataFrame:
+def surrogate_keys(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Dense keys 1..n of a dimension whose rows are distinct."""
-    keyed = rank_rows(df, [], order, name, small)
+    keyed = rank_rows(df, [], order, name)
     return keyed.select(F.col(name).cast("int").alias(name), *df.columns)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from delaymill.functions.delays import share
 from delaymill.operators.candidates import OUTCOME, PROBABILITY
+from delaymill.operators.ranking import rank_rows
+from delaymill.session import spool
 
 Slicers = Sequence[Column | str]
 
@@ -126,6 +128,17 @@ def riskiest_events(fact: DataFrame, n: int = 20) -> DataFrame:
     return top.withColumn("risk_rank", F.dense_rank().over(Window.orderBy(F.desc(PROBABILITY))))
 
 
+def risk_ranks(fact: DataFrame) -> DataFrame:
+    """Dense rank of every reviewable event by probability; equal probabilities share a rank.
+
+    Only the distinct probabilities are ranked, and joined back to their events.
+    """
+    events = fact.filter("is_eligible_candidate")
+    levels = events.select(PROBABILITY).distinct()
+    ranked = spool(rank_rows(levels, [], [F.desc(PROBABILITY)], "risk_rank"), "risk_levels")
+    return events.join(ranked, PROBABILITY)
+
+
 def review_queue(fact: DataFrame) -> DataFrame:
     columns = [
         "calendar_date",

@@ -586,6 +586,19 @@ def top_risk_20(spark, folder):
     return report.riskiest_events(exported(spark, folder)["fact_event_decision"]).select(*columns)
 
 
+@query(
+    "risk_ranks",
+    recursive(
+        *STAR,
+        final="""SELECT stop_event_key, dense_rank() OVER (ORDER BY predicted_severe_delay_probability DESC) AS risk_rank
+        FROM event_fact WHERE is_eligible_candidate""",
+    ),
+)
+def risk_ranks(spark, folder):
+    ranked = report.risk_ranks(exported(spark, folder)["fact_event_decision"])
+    return ranked.select("stop_event_key", "risk_rank")
+
+
 @query(
     "review_queue",
     recursive(

@@ -3,7 +3,15 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from delaymill.operators import ranking
 from delaymill.operators.ranking import rank_rows, running_totals, surrogate_keys
+from tests.compare import TESTDATA, compare, duck
+
+
+@pytest.fixture(params=[10**6, 0], ids=["window", "slices"])
+def either_path(request, monkeypatch):
+    monkeypatch.setattr(ranking, "SMALL_ROWS", request.param)
 
 
 def skewed(spark):
@@ -15,10 +23,9 @@ def skewed(spark):
     )
 
 
-@pytest.mark.parametrize("small", [10**6, 0])
-def test_ranks_are_dense_and_ordered(spark, small):
+def test_ranks_are_dense_and_ordered(spark, either_path):
     df = skewed(spark).repartition(6)
-    ranked = rank_rows(df, ["g"], [F.col("v").desc()], "r", small).collect()
+    ranked = rank_rows(df, ["g"], [F.col("v").desc()], "r").collect()
     groups = {}
     for row in ranked:
         groups.setdefault(row.g, []).append((row.r, row.v))
@@ -30,10 +37,9 @@ def test_ranks_are_dense_and_ordered(spark, small):
         assert values == sorted(values, reverse=True)
 
 
-@pytest.mark.parametrize("small", [10**6, 0])
-def test_running_totals(spark, small):
+def test_running_totals(spark, either_path):
     df = skewed(spark).groupBy("g", "v").agg(F.sum("one").alias("n"))
-    rows = running_totals(df, ["g"], [F.col("v").asc()], {"n": "so_far"}, small).collect()
+    rows = running_totals(df, ["g"], [F.col("v").asc()], {"n": "so_far"}).collect()
     for g in {r.g for r in rows}:
         total = 0
         for row in sorted((r for r in rows if r.g == g), key=lambda r: r.v):
@@ -41,18 +47,26 @@ def test_running_totals(spark, small):
             assert row.so_far == total
 
 
-@pytest.mark.parametrize("small", [10**6, 0])
-def test_surrogate_keys_put_missing_values_last(spark, small):
+def test_surrogate_keys_put_missing_values_last(spark, either_path):
     df = spark.createDataFrame([("b",), (None,), ("a",)], "name string")
-    keyed = surrogate_keys(df, [F.asc_nulls_last("name")], "k", small)
+    keyed = surrogate_keys(df, [F.asc_nulls_last("name")], "k")
     assert {r.name: r.k for r in keyed.collect()} == {"a": 1, "b": 2, None: 3}
 
 
-def test_hot_group_spreads_over_slices(spark):
+@pytest.mark.parametrize("name", ["candidates", "roc_auc_ap", "dim_train_service", "station_hour"])
+def test_queries_agree_with_sql_on_slices(spark, monkeypatch, name):
+    monkeypatch.setattr(ranking, "SMALL_ROWS", 0)
+    folder = TESTDATA / "sf0.001"
+    ok, note = compare(spark, duck(folder), folder, entry.queries()[name], entry.oracle_sql()[name])
+    assert ok, note
+
+
+def test_hot_group_spreads_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SMALL_ROWS", 0)
     df = spark.range(20000).select(F.lit("hot").alias("g"), F.lit(1).alias("v"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        ranked = rank_rows(df, ["g"], [F.col("v").asc()], "r", small=0)
+        ranked = rank_rows(df, ["g"], [F.col("v").asc()], "r")
         assert ranked.select(F.count_distinct("r")).first()[0] == 20000
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

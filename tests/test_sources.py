@@ -1,5 +1,7 @@
 """Readers and exploratory cleaning on small literal files."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from delaymill.operators import explore
@@ -58,3 +60,35 @@ def test_calendar(spark):
 def test_shape(spark):
     df = spark.range(5).withColumn("x", F.lit(1))
     assert tuple(explore.shape(df).first()) == (5, 2)
+
+
+def test_settings_from_json(tmp_path):
+    from delaymill.config import ScopeConfig, SearchConfig
+
+    scope = {
+        "scope_version": "v1",
+        "extraction_query_version": "q1",
+        "selected_month": "2025-03",
+        "selected_hub": "Hub",
+        "source_file_name": "data-2025-03.parquet",
+        "source_url": "feed/data-2025-03.parquet",
+        "source_version": "m@main",
+        "required_columns": ["id", "time"],
+        "complete_journey_rule": "all rows",
+        "unknown": 1,
+    }
+    path = tmp_path / "scope.json"
+    path.write_text(json.dumps(scope))
+    assert ScopeConfig.from_json(path).required_columns == ("id", "time")
+    path.write_text(json.dumps({"scenario_capacities": [2, 4], "random_seed": 3}))
+    search = SearchConfig.from_json(path)
+    assert search.scenario_capacities == (2, 4) and search.random_seed == 3
+
+
+def test_scratch_is_cleared(spark):
+    from delaymill.session import clear_scratch, spool
+
+    stored = spool(spark.range(3), "few")
+    assert stored.count() == 3
+    assert clear_scratch(spark)
+    assert spool(spark.range(4), "few").count() == 4
