@@ -239,6 +239,20 @@ def fact_policy_comparison(spark, folder):
     return policy_facts(spark, folder)[1]
 
 
+_DUELS = f"""duels AS (
+          SELECT a.capacity_per_hour, b.policy_name,
+                 a.selected_stop_event_key_hash = b.selected_stop_event_key_hash AS equal,
+                 coalesce(nullif(sign(a.actual_severe_selected_count - b.actual_severe_selected_count), 0),
+                   nullif(sign(round(a.selected_probability_score_sum, 12) - round(b.selected_probability_score_sum, 12)), 0),
+                   nullif(sign(b.station_concentration_excess_total - a.station_concentration_excess_total), 0),
+                   sign(b.unused_capacity - a.unused_capacity)) AS verdict
+          FROM metrics a JOIN metrics b USING (capacity_per_hour, horizon_id)
+          WHERE a.policy_name = '{EXACT}' AND b.policy_name <> '{EXACT}'),
+        tallies AS (SELECT capacity_per_hour, policy_name, count(*) AS compared_horizon_count,
+          count(*) FILTER (WHERE verdict > 0) AS win_horizon_count,
+          count(*) FILTER (WHERE verdict = 0) AS tie_horizon_count,
+          count(*) FILTER (WHERE verdict < 0) AS loss_horizon_count,
+          avg(CAST(equal AS INTEGER)) AS selected_set_match_rate FROM duels GROUP BY 1, 2)"""
 _JUDGED = ["selected_severe_event_count", "precision_at_capacity", "severe_delay_coverage", *_MEANS.split()]
 _PAIR = ", ".join(
     [f"e.{c} AS reference_{c}" for c in ["policy_name", "policy_display_name", *_JUDGED]]
@@ -256,20 +270,7 @@ _PAIR_DOUBLES = " ".join(
     "pairwise_summary",
     recursive(
         *_POLICY_FACTS,
-        f"""duels AS (
-          SELECT a.capacity_per_hour, b.policy_name,
-                 a.selected_stop_event_key_hash = b.selected_stop_event_key_hash AS equal,
-                 coalesce(nullif(sign(a.actual_severe_selected_count - b.actual_severe_selected_count), 0),
-                   nullif(sign(round(a.selected_probability_score_sum, 12) - round(b.selected_probability_score_sum, 12)), 0),
-                   nullif(sign(b.station_concentration_excess_total - a.station_concentration_excess_total), 0),
-                   sign(b.unused_capacity - a.unused_capacity)) AS verdict
-          FROM metrics a JOIN metrics b USING (capacity_per_hour, horizon_id)
-          WHERE a.policy_name = '{EXACT}' AND b.policy_name <> '{EXACT}'),
-        tallies AS (SELECT capacity_per_hour, policy_name, count(*) AS compared_horizon_count,
-          count(*) FILTER (WHERE verdict > 0) AS win_horizon_count,
-          count(*) FILTER (WHERE verdict = 0) AS tie_horizon_count,
-          count(*) FILTER (WHERE verdict < 0) AS loss_horizon_count,
-          avg(CAST(equal AS INTEGER)) AS selected_set_match_rate FROM duels GROUP BY 1, 2)""",
+        _DUELS,
         final=printed(
             f"""SELECT 'final' AS execution_mode, t.capacity_per_hour, compared_horizon_count, win_horizon_count,
             tie_horizon_count, loss_horizon_count, selected_set_match_rate, {_PAIR}, e.optimization_run_id,
@@ -380,7 +381,111 @@ def reconciliation(spark, folder):
     return ex.reconciliation(events, tables["fact_horizon_summary"])
 
 
-@query("export_quality")
+_SQL_TABLES = {
+    "fact_event_decision": "event_fact",
+    "fact_horizon_summary": "horizon_fact",
+    "fact_policy_comparison": "comparison_fact",
+    "fact_horizon_policy_metrics": "metrics",
+    "dim_date_hour": "date_hours",
+    "dim_station": "station_names",
+    "dim_train_service": "service_names",
+    "dim_scenario": "scenarios",
+}
+_SQL_DIMENSIONS = f"""date_hours AS (SELECT DISTINCT horizon_id, calendar_date, hour_of_day, calendar_date AS date_label,
+    hour_of_day || ':00' AS hour_label FROM horizon_fact),
+station_names AS (SELECT DISTINCT station_id, station_name FROM event_fact),
+service_names AS (SELECT DISTINCT train_service_key, train_type, line_number, service_class FROM event_fact),
+scenarios AS (SELECT '{VERSION}' AS scenario_key, 'hourly_capacity_3' AS capacity_scenario, 3 AS capacity_per_hour,
+    0.5 AS minimum_candidate_probability, '{MODEL[0]}' AS model_name, '{MODEL[1]}' AS model_version,
+    0.5 AS selected_threshold, '{VERSION}' AS policy_version, '{POLICY.frozen_at}' AS frozen_at,
+    '{_SCENARIO_NAME}' AS scenario_display_name)"""
+
+
+def _bad_rows(rule: str, table: str, condition: str) -> str:
+    return f"SELECT '{rule}' AS rule, count(*) FILTER (WHERE {condition}) AS violations FROM {table}"
+
+
+def _bad_groups(rule: str, table: str, keys: str, condition: str) -> str:
+    return f"SELECT '{rule}', count(*) FROM (SELECT 1 FROM {table} GROUP BY {keys} HAVING {condition})"
+
+
+def _quality_sql() -> str:
+    """Every rule of the export, counted in SQL on the SQL side's own tables."""
+    events = {
+        "events are final": "execution_mode <> 'final'",
+        "events are test rows": "prediction_split <> 'test'",
+        "events have stations": "station_id IS NULL",
+        "events have services": "train_service_key IS NULL",
+        "events have horizons": "horizon_id IS NULL",
+        "events use the policy capacity": "capacity_per_hour <> 3",
+        "events use the policy scenario": "capacity_scenario <> 'hourly_capacity_3'",
+        "events use the policy threshold": "selected_threshold <> 0.5",
+        "events use the minimum probability": "minimum_candidate_probability <> 0.5",
+        "events use the policy model": f"model_name <> '{MODEL[0]}' OR model_version <> '{MODEL[1]}'",
+    }
+    horizons = {
+        "horizons are final": "execution_mode <> 'final'",
+        "horizons use the policy capacity": "capacity_per_hour <> 3",
+        "horizons use the policy scenario": "capacity_scenario <> 'hourly_capacity_3'",
+    }
+    run = "optimization_run_id"
+    grain = f"{run}, capacity_per_hour, policy_name"
+    pool = "candidate_count eligible_candidate_count feasible_selection_target actual_severe_candidate_count".split()
+    mixed = " OR ".join(f"min({c}) <> max({c})" for c in pool)
+    service = " OR ".join(f"count(DISTINCT {c}) > 1" for c in ("train_type", "line_number", "service_class"))
+    per_horizon = "execution_mode, capacity_per_hour, horizon_id"
+    rules = [
+        *[_bad_rows(rule, "event_fact", bad) for rule, bad in events.items()],
+        *[_bad_rows(rule, "horizon_fact", bad) for rule, bad in horizons.items()],
+        _bad_groups("one row per event", "event_fact", "stop_event_key", "count(*) > 1"),
+        _bad_groups("one row per horizon", "horizon_fact", "horizon_id", "count(*) > 1"),
+        _bad_groups(
+            "horizon fixes date and hour",
+            "event_fact",
+            "horizon_id",
+            "count(DISTINCT calendar_date) > 1 OR count(DISTINCT hour_of_day) > 1",
+        ),
+        "SELECT 'one run and model', "
+        + " + ".join(f"CAST(count(DISTINCT {c}) <> 1 AS BIGINT)" for c in (run, "model_name", "model_version"))
+        + " FROM event_fact",
+        f"""SELECT 'one run in all tables', CAST(count(DISTINCT {run}) <> 1 AS BIGINT) FROM
+            (SELECT {run} FROM event_fact UNION ALL SELECT {run} FROM horizon_fact)""",
+        _bad_groups("station fixes its name", "event_fact", "station_id", "count(DISTINCT station_name) > 1"),
+        _bad_groups("service fixes its attributes", "event_fact", "train_service_key", service),
+        _bad_groups("metrics hold every policy", "metrics", "capacity_per_hour", "count(DISTINCT policy_name) <> 4"),
+        _bad_groups(
+            "comparison holds every policy", "comparison_fact", "capacity_per_hour", "count(DISTINCT policy_name) <> 4"
+        ),
+        _bad_groups("policies share a candidate pool", "metrics", per_horizon, mixed),
+        _bad_groups("every policy decides every horizon", "metrics", per_horizon, "count(*) <> 4"),
+        _bad_groups("one comparison row per policy", "comparison_fact", grain, "count(*) > 1"),
+        _bad_groups("one metrics row per policy and horizon", "metrics", f"{grain}, horizon_id", "count(*) > 1"),
+        _bad_rows(
+            "wins, ties and losses add up",
+            "tallies",
+            "win_horizon_count + tie_horizon_count + loss_horizon_count <> compared_horizon_count",
+        ),
+    ]
+    for table, columns in ex.CONTRACTS.items():
+        for c in columns:
+            name = c["name"]
+            if not c["nullable"]:
+                rules.append(_bad_rows(f"{table}.{name} is null", _SQL_TABLES[table], f'"{name}" IS NULL'))
+            if c["range"]:
+                outside = f'"{name}" NOT BETWEEN 0 AND 1'
+                rules.append(_bad_rows(f"{table}.{name} out of range", _SQL_TABLES[table], outside))
+    for fact, dimension, key in ex.RELATIONSHIPS:
+        rules.append(
+            f"SELECT '{fact}.{key} in {dimension}', count(DISTINCT {key}) FROM {_SQL_TABLES[fact]}"
+            f" WHERE {key} NOT IN (SELECT {key} FROM {_SQL_TABLES[dimension]})"
+        )
+    for dimension, key in sorted({(d, k) for _, d, k in ex.RELATIONSHIPS}):
+        rules.append(_bad_groups(f"{dimension}.{key} is unique", _SQL_TABLES[dimension], key, "count(*) > 1"))
+    tables = (*STAR, COMPARISON, _DISPLAY, _PRINTS, _COMPARED, _DUELS, _SQL_DIMENSIONS)
+    return recursive(*tables, final=" UNION ALL ".join(rules))
+
+
+@query("export_quality", _quality_sql())
 def export_quality(spark, folder):
     """All rules of the export; every count must be zero."""
     events, summary, tables = star(spark, folder)
