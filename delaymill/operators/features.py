@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,22 +144,17 @@ def station_hour_mismatches(features: DataFrame, stored: DataFrame) -> DataFrame
 
 
 def layer_counts(bronze: DataFrame, fact: DataFrame, features: DataFrame, stations: DataFrame) -> DataFrame:
-    """Row and key counts of every layer as (measure, value) rows."""
+    """Row and key counts of every layer as (measure, value) rows; each layer is read once."""
 
-    def one(df: DataFrame, name: str, value: Column) -> DataFrame:
-        return df.agg(value.cast("long").alias("value")).select(F.lit(name).alias("measure"), "value")
+    def counted(df: DataFrame, **measures: Column) -> DataFrame:
+        values = df.agg(*[c.cast("long").alias(name) for name, c in measures.items()])
+        return values.unpivot([], list(measures), "measure", "value")
 
     rows = F.count(F.lit(1))
-    hour_keys = features.select(*STATION_HOUR_KEYS).distinct()
     parts = [
-        one(bronze, "bronze_rows", rows),
-        one(bronze, "bronze_stations", F.count_distinct("eva")),
-        one(fact, "silver_rows", rows),
-        one(stations, "station_rows", rows),
-        one(features, "gold_rows", rows),
-        one(hour_keys, "station_hour_keys", rows),
+        counted(bronze, bronze_rows=rows, bronze_stations=F.count_distinct("eva")),
+        counted(fact, silver_rows=rows),
+        counted(stations, station_rows=rows),
+        counted(features, gold_rows=rows, station_hour_keys=F.count_distinct(*STATION_HOUR_KEYS)),
     ]
-    first, *rest = parts
-    for other in rest:
-        first = first.unionByName(other)
-    return first
+    return reduce(DataFrame.unionByName, parts)
