@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from delaymill.llm import language_id, quality, token_counts
+from delaymill.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, quality, token_counts
 from delaymill.llm.support import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +20,20 @@ def query(build):
     return build
 
 
+@query
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
+    return mixed.select(
+        "doc_id",
+        F.col("_source").alias("source"),
+        F.col("_lang").alias("lang"),
+        F.col("_topic").alias("topic"),
+        F.col("_tokens").alias("n_tokens"),
+        F.round("_share", 6).alias("share"),
+        F.round("_probability", 6).alias("probability"),
+    )
+
+
 @query
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -33,3 +48,29 @@ def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = line_dedup.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        F.col("_n_lines").alias("n_lines"),
+        F.col("_n_dropped").alias("n_dropped"),
+        F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+@query
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents")).drop("text_hash")
+
+
+ORACLES["op1_mixing"] = mixing.oracle()
+ORACLES["op8_ngram_join"] = ngram_join.ORACLE
+ORACLES["op4_line_dedup"] = line_dedup.ORACLE
