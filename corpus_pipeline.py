@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from delaymill.llm import quality
+from delaymill.llm import decontaminate, line_dedup, mixing, ngram_join, quality
 from delaymill.llm.support import table
 from delaymill.session import spool
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # trees and a lasso decide the first stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +17,43 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that they share with many others; ``n_chars`` follows the text.
+
+    Texts that lose no line stay as they are, null ones too.
+    """
+    cut = line_dedup.drop_repeated_lines(docs)
+    changed = F.col("_n_dropped") > 0
+    new = {"text": F.when(changed, F.col("_kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.withColumns(new).select(*[f"`{c}`" for c in docs.columns])
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return ngram_join.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark test."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents sampled towards the target weights, with topic, token count and probability."""
+    mixed = mixing.mix(docs)
+    added = {"_topic": "topic", "_tokens": "n_tokens", "_probability": "probability"}
+    return mixed.select(*[f"`{c}`" for c in docs.columns], *[F.col(c).alias(n) for c, n in added.items()])
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("lines", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
