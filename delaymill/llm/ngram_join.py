@@ -19,7 +19,8 @@ RECALL = 0.9999
 MOST_HASHES = 128
 SKETCH_MARGIN = 0.18  # a pair is verified if its sketch similarity is at most this far below the threshold (5 deviations)
 BLOCK = 400  # texts of one side of a comparison; larger groups are cut into pairs of blocks
-CHUNK = 1 << 14  # n-grams hashed, or columns multiplied, at a time
+SLICE = 512  # n-grams hashed at a time
+CHUNK = 1 << 14  # columns of a presence matrix multiplied at a time
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -46,23 +47,29 @@ def set_key(found: np.ndarray) -> bytes:
 
 
 class MinHashes:
+    """Minima of multiplicative 32-bit hashes of the n-grams, worked out in slices that stay in the cache."""
+
     def __init__(self, bands: int, rows: int) -> None:
         rng = np.random.default_rng(20240229)
         self.bands, self.rows = bands, rows
-        self.factors = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.factors = (rng.integers(1, 2**31, (bands * rows, 1)) * 2 + 1).astype(np.uint32)
+        self.room = np.empty((2, bands * rows, SLICE), np.uint32)
 
     def __call__(self, found: np.ndarray) -> np.ndarray:
-        least = np.full(len(self.factors), np.iinfo(np.uint64).max, np.uint64)
-        for start in range(0, len(found), CHUNK):
-            part = found[start : start + CHUNK]
-            mixed = part[None, :] * self.factors[:, None]
-            mixed ^= mixed >> np.uint64(31)
-            mixed *= np.uint64(0x94D049BB133111EB)
+        least = np.full(len(self.factors), np.iinfo(np.uint32).max, np.uint32)
+        short = (found >> np.uint64(32)).astype(np.uint32)
+        for start in range(0, len(short), SLICE):
+            part = short[start : start + SLICE]
+            mixed, moved = self.room[0, :, : len(part)], self.room[1, :, : len(part)]
+            np.multiply(part[None, :], self.factors, out=mixed)
+            np.right_shift(mixed, np.uint32(15), out=moved)
+            np.bitwise_xor(mixed, moved, out=mixed)
+            np.multiply(mixed, np.uint32(0x2C1B3C6D), out=mixed)
             np.minimum(least, mixed.min(axis=1), out=least)
         return least
 
     def band_hashes(self, least: np.ndarray) -> np.ndarray:
-        table = least.reshape(self.bands, self.rows)
+        table = least.astype(np.uint64).reshape(self.bands, self.rows)
         out = np.zeros(self.bands, np.uint64)
         for j in range(self.rows):
             out = (out ^ table[:, j]) * np.uint64(0x9E3779B97F4A7C15)
@@ -84,7 +91,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
                     least = minima(found)
                     keys.append(set_key(found))
                     band_rows.append(minima.band_hashes(least))
-                    sketches.append((least >> np.uint64(8)).astype(np.uint8).tobytes())
+                    sketches.append((least >> np.uint32(8)).astype(np.uint8).tobytes())
                 else:
                     keys.append(None)
                     band_rows.append(None)

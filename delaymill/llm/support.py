@@ -45,8 +45,9 @@ class WordHashes:
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        for word in set(words) - known.keys():
-            known[word] = xxhash.xxh64_intdigest(word)
+        for word in words:
+            if word not in known:
+                known[word] = xxhash.xxh64_intdigest(word)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
