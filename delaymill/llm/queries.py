@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delaymill.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, quality, token_counts
+from delaymill.llm import chat, decontaminate, fingerprints, language_id, line_dedup, mixing, ngram_join, quality, token_counts, warc
 from delaymill.llm.support import table
+from delaymill.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,11 +67,32 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = scratch_path(spark, "warc")
+    index = warc.write_archives(table(spark, folder, "pages"), archives)
+    return warc.read_records(index, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.conversation_digests(chat.windows(turns.unionByName(extra)))
+
+
+@query
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, folder, "documents"))
+
+
 @query
 def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents")).drop("text_hash")
 
 
 ORACLES["op1_mixing"] = mixing.oracle()
+ORACLES["op6_warc"] = warc.ORACLE
 ORACLES["op8_ngram_join"] = ngram_join.ORACLE
 ORACLES["op4_line_dedup"] = line_dedup.ORACLE
