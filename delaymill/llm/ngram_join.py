@@ -19,6 +19,7 @@ RECALL = 0.9999
 MOST_HASHES = 128
 SKETCH_MARGIN = 0.18  # a pair is verified if its sketch similarity is at most this far below the threshold (5 deviations)
 BLOCK = 400  # texts of one side of a comparison; larger groups are cut into pairs of blocks
+FILTER_BITS = 1 << 26  # 8 MB
 SLICE = 512  # n-grams hashed at a time
 CHUNK = 1 << 14  # columns of a presence matrix multiplied at a time
 
@@ -230,23 +231,52 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
+def member_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """key and n-gram set of the texts that members of candidate groups stand for.
+
+    A Bloom filter over the members' ids keeps the other texts from being cut into n-grams and shuffled. It has
+    16 bits an id, at most ``FILTER_BITS``; a fuller one only lets more texts through to the exact join on the key.
+    """
+    spark = docs.sparkSession
+    bits = min(FILTER_BITS, max(1 << 12, 1 << (16 * max(1, members.count()) - 1).bit_length()))
+    h = F.xxhash64("rep")
+    places = F.explode(F.array(*[F.shiftright(h, s).bitwiseAND(F.lit(bits - 1)) for s in (0, 18, 36)])).alias("p")
+    one = F.expr("shiftleft(1L, CAST(p & 63 AS INT))")
+    filled = members.select(places).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(one).alias("set")).toPandas()
+    field = np.zeros(bits // 64, np.int64)
+    field[filled["word"].to_numpy(np.int64)] = filled["set"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(field)
+
+    def cut(batches):
+        hashes, field = WordHashes(), shared.value
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            held = np.ones(len(h), bool)
+            for s in (0, 18, 36):
+                p = (h >> s) & (bits - 1)
+                held &= (field[p >> 6] >> (p & 63)) & 1 == 1
+            some = batch.column(1).take(pa.array(np.flatnonzero(held)))
+            found = [g for g in (shingles(t, hashes, n) for t in texts(some)) if len(g)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_key(g) for g in found], pa.binary()), pa.array([g.tobytes() for g in found], pa.binary())],
+                ["key", "grams"],
+            )
+
+    named = docs.filter(F.col("doc_id").isNotNull()).select(F.xxhash64("doc_id").alias("h"), "text")
+    return named.mapInArrow(cut, "key binary, grams binary").join(members.select("key"), "key", "left_semi")
+
+
 def verify(docs: DataFrame, classes: DataFrame, labels: DataFrame, similarity: float, n: int) -> DataFrame:
     """key, texts, documents, root per unit: links found on full sets, and a spanning edge of them."""
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     members = labels.join(sizes, "label").join(classes.select(F.col("key").alias("node"), "rep", "copies"), "node")
     members = spool(members.select(F.col("node").alias("key"), "label", "size", "rep", "copies"), "members")
-    text = docs.select(F.col("doc_id").alias("rep"), "text").filter(F.col("rep").isNotNull())
+    sets = member_sets(docs, members, n)
 
     def compare(batches):
-        hashes = WordHashes()
         for unit in groups(batches, "unit"):
-            found: dict[bytes, tuple] = {}
-            columns = [unit.column(c).to_pylist() for c in ("key", "side", "copies", "text")]
-            for key, side, copies, body in zip(*columns, strict=True):
-                if key not in found:
-                    own = shingles(body or "", hashes, n)
-                    if set_key(own) == key:  # ids may repeat with other texts
-                        found[key] = own, side, copies
+            columns = [unit.column(c).to_pylist() for c in ("key", "side", "copies", "grams")]
+            found = {k: (np.frombuffer(g, np.uint64), side, c) for k, side, c, g in zip(*columns, strict=True)}
             if len(found) < 2:
                 continue
             keys = sorted(found)
@@ -268,7 +298,7 @@ def verify(docs: DataFrame, classes: DataFrame, labels: DataFrame, similarity: f
                 ["key", "texts", "documents", "root"],
             )
 
-    units = _in_units(members.join(text, "rep").drop("rep"), ["label"], "size", BLOCK)
+    units = _in_units(members.drop("rep").join(sets, "key"), ["label"], "size", BLOCK)
     return spool(units.mapInArrow(compare, "key binary, texts long, documents long, root binary"), "links")
 
 
