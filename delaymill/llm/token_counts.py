@@ -43,6 +43,17 @@ def piece_counts(model, tokens: list[str]) -> list[int]:
     return [1 if t == " " else n for t, n in zip(tokens, counts, strict=True)]
 
 
+def _least_count(pieces: DataFrame, most: int) -> int:
+    """A frequency that at most ``most`` pre-tokens reach, from a histogram of frequencies (eight steps a doubling)."""
+    step = F.floor(F.log2("n") * 8)
+    left = most
+    for row in sorted(pieces.groupBy(step.alias("step")).count().collect(), reverse=True):
+        left -= row["count"]
+        if left < 0:
+            return int(2 ** ((row.step + 1) / 8)) + 1
+    return 0
+
+
 def count_tokens(docs: DataFrame, model_path: str, hot_tokens: int = HOT_TOKENS) -> DataFrame:
     """``doc_id``, ``n_bytes`` and ``n_tokens`` of every row of ``docs`` (columns doc_id, text; others are ignored).
 
@@ -77,9 +88,8 @@ def count_tokens(docs: DataFrame, model_path: str, hot_tokens: int = HOT_TOKENS)
     found = docs.select("text").mapInArrow(gather, "token string, n long")
     vocabulary = found.groupBy("token").agg(F.sum("n").alias("n"))
     pieces = spool(vocabulary.mapInArrow(encode, "token string, n long, pieces long"), "pieces")
-    hot_rows = (
-        pieces.filter(F.length("token") <= HOT_LENGTH).orderBy(F.desc("n"), "token").limit(hot_tokens).collect()
-    )
+    short = pieces.filter(F.length("token") <= HOT_LENGTH)
+    hot_rows = short.filter(F.col("n") >= _least_count(short, hot_tokens)).select("token", "pieces").collect()
     hot = spark.sparkContext.broadcast({r.token: r.pieces for r in hot_rows})
 
     def add_up(batches):
