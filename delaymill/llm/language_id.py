@@ -92,8 +92,10 @@ def _sample(rows: DataFrame, per_language: int) -> DataFrame:
     """About ``per_language`` rows of each language, chosen by a hash of the id."""
     sizes = rows.groupBy("lang").count()
     shares = sizes.select(F.col("lang").alias("_lang"), (F.lit(float(per_language)) / F.col("count")).alias("_share"))
-    joined = rows.join(shares, F.col("lang") == F.col("_lang"))
-    return joined.filter(unit_hash(F.col("doc_id")) < F.col("_share")).select("doc_id", "lang", "text")
+    ids = rows.select("doc_id", "lang").join(shares, F.col("lang") == F.col("_lang"))
+    ids = ids.filter(unit_hash(F.col("doc_id")) < F.col("_share")).select(F.col("doc_id").alias("_id")).distinct()
+    # stored, so that the planner knows how few they are and leaves the texts where they lie
+    return rows.join(spool(ids, "sampled"), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "lang", "text")
 
 
 def train(rows: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> LanguageModel | None:
