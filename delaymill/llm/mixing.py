@@ -15,6 +15,7 @@ TEMPER = 0.8  # default targets: shares of the corpus to this power
 TOLERANCE = 1e-9  # largest relative distance of a marginal from its target at which raking ends
 SWEEPS = 200
 SEED = 17
+FRACTION = 0.5  # of the corpus' tokens that a sample has, if every cell has enough
 
 # The default topics, the first that applies counts; ``n`` is the number of tokens.
 TOPICS = (
@@ -104,13 +105,18 @@ def sampling_number(seed: int) -> Column:
 
 
 def mix(
-    docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, power: float = TEMPER, seed: int = SEED, topic=default_topic
+    docs: DataFrame,
+    targets: Mapping[str, DataFrame] | None = None,
+    power: float = TEMPER,
+    seed: int = SEED,
+    topic=default_topic,
+    fraction: float = FRACTION,
 ) -> DataFrame:
     """Sampled rows of ``docs``, all columns, with ``_tokens``, ``_source``, ``_lang``, ``_topic``, ``_share``, ``_probability``.
 
     ``_share`` is the raked share of the row's cell (source, language, topic) of all token weight. A row is kept with
-    probability proportional to its cell's weight per token, the largest being 1, so that the expected tokens
-    of the sample have the target marginals. ``targets`` maps a dimension to a table (value, share); the others
+    probability proportional to its cell's weight per token, so that the expected tokens of the sample are
+    ``fraction`` of the corpus with the target marginals; a cell that has fewer tokens than its share of that is kept whole. ``targets`` maps a dimension to a table (value, share); the others
     are the corpus shares to ``power``. Null labels are ``unknown``. Null and empty texts have no tokens,
     change no weight and are not sampled; an empty table gives no rows.
     """
@@ -120,14 +126,15 @@ def mix(
     cells = spool(rows.groupBy(*keys).agg(F.sum("_tokens").alias("_cell_tokens")), "cells").filter("_cell_tokens > 0")
     wanted = {d: (targets or {}).get(d, tempered(cells, d, power)) for d in DIMENSIONS}
     raked = rake(cells, wanted).withColumn("_rate", F.col("_weight") / F.col("_cell_tokens"))
-    top = F.broadcast(raked.agg(F.max("_rate").alias("_top")))  # one row
-    cell = raked.join(top).select(*keys, F.col("_weight").alias("_share"), (F.col("_rate") / F.col("_top")).alias("_probability"))
+    whole = F.broadcast(raked.agg(F.sum("_cell_tokens").alias("_all")))  # one row
+    probability = F.least(F.lit(1.0), F.lit(fraction) * F.col("_rate") * F.col("_all"))
+    cell = raked.join(whole).select(*keys, F.col("_weight").alias("_share"), probability.alias("_probability"))
     cell = spool(cell, "probabilities")
     sampled = rows.join(cell, keys).filter((sampling_number(seed) < F.col("_probability")) & (F.col("_tokens") > 0))
     return sampled.select(*[f"`{c}`" for c in names], "_tokens", *keys, "_share", "_probability")
 
 
-def oracle(documents: str = "documents", sweeps: int = 40, power: float = TEMPER, seed: int = SEED) -> str:
+def oracle(documents: str = "documents", sweeps: int = 40, power: float = TEMPER, seed: int = SEED, fraction: float = FRACTION) -> str:
     """The rows of the default mixture as SQL, with raking written out ``sweeps`` times."""
     topic = " ".join(f"WHEN {test} THEN '{name}'" for name, test in TOPICS)
     parts = [
@@ -150,7 +157,7 @@ def oracle(documents: str = "documents", sweeps: int = 40, power: float = TEMPER
                 f" FROM w{step} c JOIN goal_{d} g ON c.{d} = g.{d})"
             )
             step += 1
-    parts.append(f"p AS (SELECT source, lang, topic, w, (w / n) / max(w / n) OVER () AS p FROM w{step})")
+    parts.append(f"p AS (SELECT source, lang, topic, w, least(1.0, {fraction} * (w / n) * CAST(sum(n) OVER () AS DOUBLE)) AS p FROM w{step})")
     number = (
         f"CAST(concat('0x', substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), concat('text ', t)), ' {seed}')), 1, 12)) AS BIGINT)"
         f" / {16**12}.0"
