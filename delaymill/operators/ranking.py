@@ -1,9 +1,9 @@
 """Ranks and running totals over groups of any size.
 
-A window sends each group to one task, which is fine for an input that was counted and found small.
-Larger inputs are range-partitioned, so that a group spreads over as many tasks as its size needs; the
-sorted slices are written once, so that a lost executor cannot change their borders, and only one small
-row per slice and group is needed to link them.
+A plain window sends each group to one task. Here rows are range-partitioned by group and order, so that a
+group spreads over as many tasks as its size needs; the sorted slices are written once, so that a lost
+executor cannot change their borders, and only one small row per slice and group is needed to link them.
+Inputs of every size take this path.
 """
 
 from __future__ import annotations
@@ -16,14 +16,18 @@ from pyspark.sql import functions as F
 from delaymill.session import spool
 
 SLICE_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
-SMALL_ROWS = 1_000_000  # inputs up to this counted size are ranked by a plain window
 
 
-def _sliced(stored: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """Sorted slices with positions. The stored tie-breaker lets even equal rows spread over slices."""
-    keys = [F.col(g).asc_nulls_first() for g in group] + order + [F.col("_tie").asc()]
-    placed = stored.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    placed = placed.drop("_tie").withColumn("_position", F.monotonically_increasing_id())
+def _sliced(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """Sorted slices with positions.
+
+    Rows of equal order are told apart by a hash of all columns, so that a task that runs again sends them
+    where it sent them before; rows equal in every column by their place, so that even they spread over slices.
+    """
+    tied = df.withColumns({"_hash": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), "_tie": F.monotonically_increasing_id()})
+    keys = [F.col(g).asc_nulls_first() for g in group] + order + [F.col("_hash").asc(), F.col("_tie").asc()]
+    placed = tied.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = placed.drop("_hash", "_tie").withColumn("_position", F.monotonically_increasing_id())
     return spool(placed.withColumn("_slice", F.shiftright("_position", SLICE_BITS)), "slices")
 
 
@@ -34,7 +38,7 @@ def _carried(slices: DataFrame, group: list[str], totals: dict[str, Column]) ->
         F.min("_position").alias("_first"), *[c.alias(f"_sum_{n}") for n, c in totals.items()]
     )
     carried = {f"_before_{n}": F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)) for n in totals}
-    return spool(per_slice.select(*group, "_slice", "_first", *[c.alias(n) for n, c in carried.items()]), "carry")
+    return per_slice.select(*group, "_slice", "_first", *[c.alias(n) for n, c in carried.items()])
 
 
 def _with_carry(slices: DataFrame, carried: DataFrame, group: list[str]) -> DataFrame:
@@ -46,41 +50,25 @@ def _with_carry(slices: DataFrame, carried: DataFrame, group: list[str]) -> Data
     return slices.join(carry, same, "inner").drop(*[f"_c{k}" for k in keys])
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Stored once, because sampling the ranges and shuffling would otherwise both compute the input."""
-    return spool(df.withColumn("_tie", F.monotonically_increasing_id()), "unsliced")
-
-
 def rank_rows(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
     """Row numbers 1..n inside each group in the given order."""
-    stored = _stored(df)
-    if stored.count() <= SMALL_ROWS:
-        number = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-        return stored.select(*df.columns, number.cast("long").alias(name))
-    slices = _sliced(stored, group, order)
+    slices = _sliced(df, group, order)
     linked = _with_carry(slices, _carried(slices, group, {"rows": F.count(F.lit(1))}), group)
     number = F.col("_before_rows") + F.col("_position") - F.col("_first") + 1
-    return spool(linked.select(*df.columns, number.cast("long").alias(name)), "ranked")
+    return linked.select(*df.columns, number.cast("long").alias(name))
 
 
 def running_totals(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
     """Running sums (own row included) of the columns that ``sums`` maps to new names."""
-
-    def inside(*keys: str, by) -> Window:
-        return Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    stored = _stored(df)
-    if stored.count() <= SMALL_ROWS:
-        window = inside(*group, by=order)
-        return stored.select(*df.columns, *[F.sum(c).over(window).alias(n) for c, n in sums.items()])
-    slices = _sliced(stored, group, order)
+    slices = _sliced(df, group, order)
     linked = _with_carry(slices, _carried(slices, group, {n: F.sum(c) for c, n in sums.items()}), group)
-    window = inside(*group, "_slice", by=["_position"])
+    window = Window.partitionBy(*group, "_slice").orderBy("_position")
+    window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = [(F.col(f"_before_{n}") + F.sum(c).over(window)).alias(n) for c, n in sums.items()]
     return linked.select(*df.columns, *totals)
 
 
 def surrogate_keys(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Dense keys 1..n of a dimension whose rows are distinct."""
+    """Dense keys 1..n of a dimension whose rows are distinct, stored for the joins that read it."""
     keyed = rank_rows(df, [], order, name)
-    return keyed.select(F.col(name).cast("int").alias(name), *df.columns)
+    return spool(keyed.select(F.col(name).cast("int").alias(name), *df.columns), "keyed")

@@ -1,19 +1,13 @@
-"""Both paths of ranks and running totals, on skewed groups with equal rows."""
+"""Ranks and running totals on skewed groups with equal rows."""
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from delaymill.operators import ranking
 from delaymill.operators.ranking import rank_rows, running_totals, surrogate_keys
 from tests.compare import TESTDATA, compare, duck
 
 
-@pytest.fixture(params=[10**6, 0], ids=["window", "slices"])
-def either_path(request, monkeypatch):
-    monkeypatch.setattr(ranking, "SMALL_ROWS", request.param)
-
-
 def skewed(spark):
     # one group holds most rows, and many of its rows are equal
     return spark.range(3000).select(
@@ -23,7 +17,7 @@ def skewed(spark):
     )
 
 
-def test_ranks_are_dense_and_ordered(spark, either_path):
+def test_ranks_are_dense_and_ordered(spark):
     df = skewed(spark).repartition(6)
     ranked = rank_rows(df, ["g"], [F.col("v").desc()], "r").collect()
     groups = {}
@@ -37,7 +31,7 @@ def test_ranks_are_dense_and_ordered(spark, either_path):
         assert values == sorted(values, reverse=True)
 
 
-def test_running_totals(spark, either_path):
+def test_running_totals(spark):
     df = skewed(spark).groupBy("g", "v").agg(F.sum("one").alias("n"))
     rows = running_totals(df, ["g"], [F.col("v").asc()], {"n": "so_far"}).collect()
     for g in {r.g for r in rows}:
@@ -47,22 +41,20 @@ def test_running_totals(spark, either_path):
             assert row.so_far == total
 
 
-def test_surrogate_keys_put_missing_values_last(spark, either_path):
+def test_surrogate_keys_put_missing_values_last(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",)], "name string")
     keyed = surrogate_keys(df, [F.asc_nulls_last("name")], "k")
     assert {r.name: r.k for r in keyed.collect()} == {"a": 1, "b": 2, None: 3}
 
 
 @pytest.mark.parametrize("name", ["candidates", "roc_auc_ap", "dim_train_service", "station_hour"])
-def test_queries_agree_with_sql_on_slices(spark, monkeypatch, name):
-    monkeypatch.setattr(ranking, "SMALL_ROWS", 0)
+def test_queries_on_ranks_agree_with_sql(spark, name):
     folder = TESTDATA / "sf0.001"
     ok, note = compare(spark, duck(folder), folder, entry.queries()[name], entry.oracle_sql()[name])
     assert ok, note
 
 
-def test_hot_group_spreads_over_slices(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "SMALL_ROWS", 0)
+def test_hot_group_spreads_over_slices(spark):
     df = spark.range(20000).select(F.lit("hot").alias("g"), F.lit(1).alias("v"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
