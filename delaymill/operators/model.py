@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,22 @@ MISSING = "missing"
 MAX_ITERATIONS = 1000
 
 
-def severity_pipeline(n_train: int) -> Pipeline:
+def medians(training: DataFrame) -> dict[str, float]:
+    """Exact medians of the numeric features, each from one histogram of its few distinct values."""
+    found = training.agg(*[F.percentile(F.nanvl(F.col(c), F.lit(None)), 0.5).alias(c) for c in NUMERIC]).first().asDict()
+    unknown = [c for c, value in found.items() if value is None]
+    if unknown:
+        raise ValueError(f"features without a known value in training: {unknown}")
+    return found
+
+
+def fill_numbers(values: dict[str, float]) -> SQLTransformer:
+    """A stage that keeps the fill values with the model: null and NaN become the value of their column."""
+    filled = [f"coalesce(nanvl(`{c}`, CAST(NULL AS DOUBLE)), {float(v)!r}D) AS `{c}_known`" for c, v in values.items()]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")
+
+
+def severity_pipeline(n_train: int, middles: dict[str, float]) -> Pipeline:
     """Index and encode categories, impute and scale numbers, impute flags, then fit a logistic regression.
 
     Levels unseen in training become all-zero. The penalty is the one of a summed loss with unit weight,
@@ -47,7 +62,7 @@ def severity_pipeline(n_train: int) -> Pipeline:
     return Pipeline(stages=[
         StringIndexer(inputCols=list(CATEGORICAL), outputCols=indexed, handleInvalid="keep"),
         OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),
-        Imputer(inputCols=list(NUMERIC), outputCols=numbers, strategy="median", relativeError=1e-6),
+        fill_numbers(middles),
         Imputer(inputCols=list(BOOLEAN), outputCols=flags, strategy="mode"),
         VectorAssembler(inputCols=numbers, outputCol="numbers"),
         StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
@@ -76,7 +91,7 @@ def fit(rows: DataFrame) -> PipelineModel:
     counts = training.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives")).first()
     if not counts.n or counts.positives in (0, counts.n):
         raise ValueError("the train split must contain both positive and negative rows")
-    return severity_pipeline(counts.n).fit(training)
+    return severity_pipeline(counts.n, medians(training)).fit(training)
 
 
 def with_probability(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:

@@ -17,6 +17,8 @@ the pool of one horizon, whatever its size.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -52,9 +54,8 @@ def _first(rows: DataFrame, group: list[str], n: int) -> DataFrame:
 
 def review_pool(candidates: DataFrame, most: int) -> DataFrame:
     """One row per horizon with its pool in priority order, enough for any choice of up to ``most`` rows."""
-    rows = candidates.filter("is_eligible_candidate").select(*HORIZON, F.struct(*_pick_fields()).alias("row"))
-    best = rows.groupBy(*HORIZON, F.col("row.journey_id").alias("j"), F.col("row.station_id").alias("s"))
-    rows = best.agg(F.min("row").alias("row")).select(*HORIZON, "row.*")
+    rows = candidates.filter("is_eligible_candidate").select(*HORIZON, *_pick_fields())
+    rows = _first(rows, [*HORIZON, "journey_id", "station_id"], 1)
     rows = _first(rows, [*HORIZON, "station_id"], most)
     rows = _first(rows, [*HORIZON, "journey_id"], most)
     rows = _first(rows, HORIZON, 2 * most * (most - 1) + 1)
@@ -150,37 +151,54 @@ def _rows_at(pool: Column, positions: Column) -> Column:
     return F.transform(F.array_sort(positions), lambda i: F.get(pool, i))
 
 
-def choices(candidates: DataFrame, policy: Policy, capacities: tuple[int, ...] | None = None) -> DataFrame:
+def choices(
+    candidates: DataFrame,
+    policy: Policy,
+    capacities: tuple[int, ...] | None = None,
+    names: tuple[str, ...] | None = None,
+) -> DataFrame:
     """Chosen rows, in priority order, per horizon, policy and capacity.
 
     Score-first, greedy and random choices of a small capacity are the beginning of those of a larger
-    one; the exact choice is computed for each capacity.
+    one; the exact choice is computed for each capacity. Only the policies of ``names`` (all by default) are planned.
     """
     search = policy.search
+    exact = search.optimization_policy_name
     capacities = tuple(capacities or search.scenario_capacities)
-    most = max(capacities)
-    pool = F.col("pool")
-    planned = review_pool(candidates, most).withColumns({
-        "first": score_first_picks(pool, most),
-        "greedy": greedy_picks(pool, most, policy.preferred_station_load, policy.station_penalty),
-        "solved": _solved(pool, [(policy.preferred_station_load, policy.station_penalty)], capacities),
-    })
+    wanted = set(names or (SCORE_FIRST, GREEDY, exact, RANDOM))
+    unknown = wanted - {SCORE_FIRST, GREEDY, exact, RANDOM}
+    if unknown:
+        raise ValueError(f"unknown policies: {sorted(unknown)}")
+    parts = []
+    if wanted - {RANDOM}:
+        parts.append(_pool_choices(candidates, policy, capacities, wanted))
+    if RANDOM in wanted:
+        drawn = random_pool(candidates, search.random_seed, max(capacities))
+        plain = F.transform("drawn", lambda x: F.struct(*[x.getField(f).alias(f) for f in PICK_FIELDS]))
+        draws = [_option(RANDOM, c, F.array_sort(F.slice(plain, 1, c))) for c in capacities]
+        parts.append(drawn.select(*HORIZON, F.inline(F.array(*draws))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _pool_choices(candidates: DataFrame, policy: Policy, capacities: tuple[int, ...], wanted: set[str]) -> DataFrame:
+    """The choices of the wanted policies that look at the review pool."""
+    most, pool = max(capacities), F.col("pool")
+    load, penalty = policy.preferred_station_load, policy.station_penalty
+    exact = policy.search.optimization_policy_name
+    columns = {
+        SCORE_FIRST: lambda: score_first_picks(pool, most),
+        GREEDY: lambda: greedy_picks(pool, most, load, penalty),
+        exact: lambda: _solved(pool, [(load, penalty)], capacities),
+    }
+    columns = {name: build() for name, build in columns.items() if name in wanted}
+    planned = review_pool(candidates, most).withColumns({f"_{name}": c for name, c in columns.items()})
     options = []
     for at, c in enumerate(capacities):
-        for name, positions in (
-            (SCORE_FIRST, F.slice("first", 1, c)),
-            (GREEDY, F.slice("greedy", 1, c)),
-            (search.optimization_policy_name, F.get("solved", F.lit(at)).getField("picks")),
-        ):
+        for name in columns:
+            own = F.col(f"`_{name}`")
+            positions = F.get(own, F.lit(at)).getField("picks") if name == exact else F.slice(own, 1, c)
             options.append(_option(name, c, _rows_at(pool, positions)))
-    ranked = planned.select(*HORIZON, F.inline(F.array(*options)))
-
-    drawn = random_pool(candidates, search.random_seed, most)
-    plain = F.transform(
-        "drawn", lambda x: F.struct(*[x.getField(f).alias(f) for f in PICK_FIELDS])
-    )
-    draws = [_option(RANDOM, c, F.array_sort(F.slice(plain, 1, c))) for c in capacities]
-    return ranked.unionByName(drawn.select(*HORIZON, F.inline(F.array(*draws))))
+    return planned.select(*HORIZON, F.inline(F.array(*options)))
 
 
 def _option(name: str, capacity: int, rows: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from delaymill.operators import metrics, model, scope, split
-from delaymill.session import spool
+from delaymill.session import scratch_path, spool
 from delaymill.sources.sample_feed import SOURCE_FILE, event_scores, load_events, stop_events
 from registry.common import (
     ADDED_FILE,
@@ -282,11 +282,43 @@ def scope_diagnostic(spark, folder):
     return metrics.scope_report(labelled, "predicted_probability", split.TARGET, THRESHOLD)
 
 
-@query("severe_delay_scores")
+@query(
+    "severe_delay_scores",
+    with_ctes(
+        *_MODEL,
+        final="""SELECT prediction_split, count(*) AS row_count,
+        count(*) FILTER (WHERE is_departure_severe_delay) AS positives,
+        count(*) FILTER (WHERE is_departure_severe_delay) AS hits_and_misses,
+        CAST(0 AS BIGINT) AS outside_unit_interval, CAST(0 AS BIGINT) AS changed_by_reload,
+        (SELECT count(*) FROM model_rows) AS frozen_rows, true AS ranks_better_than_chance
+        FROM model_rows WHERE prediction_split <> 'train' GROUP BY 1""",
+    ),
+)
 def severe_delay_scores(spark, folder):
-    """Quality of the fitted classifier on the held-out splits."""
+    """Facts of the fitted classifier that hold whatever its exact weights, on the held-out splits.
+
+    The zeros of the SQL are statements: no probability leaves [0, 1], and none differs after saving and loading.
+    """
     rows = spool(model_rows(spark, folder), "model_rows")
-    scored = model.held_out_scores(model.fit(rows), rows, THRESHOLD, LOADED_AT)
-    by = ["prediction_split"]
+    fitted = model.fit(rows)
+    scored = spool(model.held_out_scores(fitted, rows, THRESHOLD, LOADED_AT), "held_out")
+    path = scratch_path(spark, "model")
+    model.save_model(fitted, path)
+    loaded = model.load_model(path)
+    again = model.with_probability(loaded, scored, "again")
+    p, by = F.col("predicted_probability"), ["prediction_split"]
+    facts = again.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if(F.col(split.TARGET)).alias("positives"),
+        F.count_if(F.coalesce(~p.between(0, 1), F.lit(True))).alias("outside_unit_interval"),
+        F.count_if(F.coalesce(F.abs(p - F.col("again")) > 1e-12, F.lit(True))).alias("changed_by_reload"),
+    )
     ranked = metrics.ranking_metrics(scored, "predicted_probability", split.TARGET, by)
-    return ranked.join(metrics.confusion(scored, "predicted_probability", split.TARGET, THRESHOLD, by), by)
+    prevalence = F.col("positives") / (F.col("positives") + F.col("negatives"))
+    better = ((F.col("roc_auc") > 0.5) & (F.col("pr_auc") > prevalence)).alias("ranks_better_than_chance")
+    cells = metrics.confusion(scored, "predicted_probability", split.TARGET, THRESHOLD, by)
+    frozen = model.frozen_scores(loaded, rows, THRESHOLD).agg(F.count("stage_a_predicted_severe_delay_probability").alias("frozen_rows"))
+    joined = facts.join(ranked.select(*by, better), by).join(
+        cells.select(*by, (F.col("tp") + F.col("fn")).alias("hits_and_misses")), by
+    )
+    return joined.join(F.broadcast(frozen))  # one row

@@ -71,19 +71,22 @@ def xml_coverage(spark, folder):
 
 @query(
     "machine_times",
-    """SELECT machine, count(*) AS jobs, CAST(sum(time) AS BIGINT) AS total_time FROM (
-      SELECT unnest([0, 1, 2]) AS machine, unnest([l_linenumber, CAST(l_quantity AS BIGINT), l_suppkey]) AS time
-      FROM lineitem) GROUP BY 1""",
+    """SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, q) - 1 AS INTEGER) AS job,
+      l_linenumber AS first_time, q AS second_time, l_suppkey AS third_time
+    FROM (SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, l_partkey, CAST(l_suppkey AS INTEGER) AS l_suppkey,
+      CAST(l_quantity AS INTEGER) AS q FROM lineitem)""",
 )
 def machine_times(spark, folder):
-    """Text lines of (machine, time) pairs, one line per item."""
-    items = spark.read.parquet(f"{folder}/lineitem.parquet")
-    times = [F.col("l_linenumber"), F.col("l_quantity").cast("bigint"), F.col("l_suppkey")]
-    pairs = [F.concat(F.lit(f"  {machine}  "), time.cast("string")) for machine, time in enumerate(times)]
+    """Text lines of (machine, time) pairs, one line per item in the order of its keys, read back with job numbers."""
+    items = spark.read.parquet(f"{folder}/lineitem.parquet").withColumn("q", F.col("l_quantity").cast("bigint"))
+    times = ["l_linenumber", "q", "l_suppkey"]
+    pairs = [F.concat(F.lit(f"  {machine}  "), F.col(time).cast("string")) for machine, time in enumerate(times)]
     path = scratch_path(spark, "machine_text")
-    items.select(F.concat(*pairs).alias("value")).write.text(path)
-    return exercise.read_machine_times(spark, path).groupBy("machine").agg(
-        F.count(F.lit(1)).alias("jobs"), F.sum(F.col("time").cast("long")).alias("total_time")
+    ordered = items.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q")
+    ordered.select(F.concat(*pairs).alias("value")).write.text(path)
+    named = {0: "first_time", 1: "second_time", 2: "third_time"}
+    return exercise.read_machine_times(spark, path).groupBy("job").agg(
+        *[F.max(F.when(F.col("machine") == m, F.col("time"))).alias(n) for m, n in named.items()]
     )
 
 
@@ -121,6 +124,11 @@ def null_profile(spark, folder):
     return explore.null_profile(feed(spark, folder).select(*_NULLABLE))
 
 
+_NUMBERS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+)
+
+
 def _described(c: str) -> str:
     return f"""SELECT '{c}' AS column_name, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS deviation,
     CAST(min({c}) AS DOUBLE) AS lowest, CAST(max({c}) AS DOUBLE) AS highest FROM lineitem"""
@@ -129,15 +137,14 @@ def _described(c: str) -> str:
 @query(
     "describe_numbers",
     printed(
-        " UNION ALL ".join(_described(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_linenumber")),
+        " UNION ALL ".join(_described(c) for c in _NUMBERS),
         doubles="mean deviation lowest highest",
         digits=4,
     ),
 )
 def describe_numbers(spark, folder):
     items = spark.read.parquet(f"{folder}/lineitem.parquet")
-    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
-    described = explore.describe_numbers(items.select(*columns), quartiles=False)
+    described = explore.describe_numbers(items, quartiles=False)
     doubles = ["mean", "deviation", "lowest", "highest"]
     return described.withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in doubles})
 

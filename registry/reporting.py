@@ -99,10 +99,18 @@ def star(spark, folder):
 _EXPORTED: dict[tuple[str, str], dict] = {}
 
 
+def _stored(spark, table) -> bool:
+    """Whether a table's first file, if it has any, is still there."""
+    for name in table.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return True
+
+
 def exported(spark, folder):
-    """The written star tables that report queries read; one export per session and input folder."""
+    """The written star tables that report queries read; one export per session and input folder, anew once cleared."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _EXPORTED:
+    if key not in _EXPORTED or not all(_stored(spark, t) for t in _EXPORTED[key].values()):
         tables = star(spark, folder)[2]
         _EXPORTED[key] = {n: layers.save_frame(t, scratch_path(spark, n)) for n, t in tables.items()}
     return _EXPORTED[key]

@@ -229,8 +229,7 @@ def _policy_sql(name: str) -> str:
 
 def _policy_rows(name: str):
     def build(spark, folder):
-        chosen = pol.choices(prepared(spark, folder), POLICY)
-        return pol.selections(chosen.filter(F.col("policy_name") == name))
+        return pol.selections(pol.choices(prepared(spark, folder), POLICY, names=(name,)))
 
     return build
 

@@ -206,3 +206,14 @@ def test_dense_horizons_match_brute_force(spark):
             assert got == [unique[i][0] for i in sorted(exact[at])]
             greedy = {p.stop_event_key for p in chosen[f"{DAY}|{hour}", GREEDY, capacity].picks}
             assert greedy == {t[0] for t in taken[:capacity]}
+
+
+def test_only_wanted_policies_are_planned(spark):
+    candidates = cand.prepare_candidates(scored(spark), POLICY)
+    for name in (SCORE_FIRST, GREEDY, RANDOM, EXACT):
+        chosen = pol.choices(candidates, POLICY, names=(name,))
+        plan = chosen._jdf.queryExecution().executedPlan().toString()
+        assert ("ArrowEvalPython" in plan) == (name == EXACT)
+        assert {r.policy_name for r in chosen.select("policy_name").distinct().collect()} == {name}
+    with pytest.raises(ValueError, match="unknown"):
+        pol.choices(candidates, POLICY, names=("other",))
