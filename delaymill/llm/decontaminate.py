@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delaymill.llm.support import WORD, rolling, texts
+from delaymill.llm.support import WORD, rolling, shielded, texts
 from delaymill.session import spool
 
 SEED = 5  # words of a seed, and of the shortest tile
@@ -140,9 +140,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, block_byte
 
 
 def _pass(docs: DataFrame, block: DataFrame, seed: int) -> DataFrame:
-    tests = [(r.item_id, r.text) for r in block.filter("text IS NOT NULL").select("item_id", "text").collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(Seeds(tests, seed))
-    doc_kind = docs.schema["doc_id"].dataType.simpleString()
+    tests = block.filter("text IS NOT NULL").select("item_id", "text").toArrow()
+    item_arrow = tests.schema.field("item_id").type
+    pairs = list(zip(*[tests.column(c).to_pylist() for c in ("item_id", "text")], strict=True))
+    shared = docs.sparkSession.sparkContext.broadcast(Seeds(pairs, seed))
+    doc_kind, item_kind = (t.dataType.simpleString() for t in (docs.schema["doc_id"], block.schema["item_id"]))
 
     def compare(batches):
         seeds = shared.value
@@ -165,7 +167,7 @@ def _pass(docs: DataFrame, block: DataFrame, seed: int) -> DataFrame:
             at = pa.array([r[0] for r in rows], pa.int64())
             columns = [
                 batch.column(0).take(at),
-                pa.array([r[1] for r in rows], pa.int64()),
+                pa.array([r[1] for r in rows], item_arrow),
                 pa.array([r[2] for r in rows], pa.int64()),
                 pa.array([r[3] for r in rows], pa.int64()),
                 pa.array([r[2] / r[3] for r in rows], pa.float64()),
@@ -175,7 +177,7 @@ def _pass(docs: DataFrame, block: DataFrame, seed: int) -> DataFrame:
 
     return docs.select("doc_id", "text").mapInArrow(
         compare,
-        f"doc_id {doc_kind}, item_id long, covered long, test_words long, coverage double, tiles long",
+        f"doc_id {doc_kind}, item_id {item_kind}, covered long, test_words long, coverage double, tiles long",
     )
 
 
@@ -194,6 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     return overlaps(docs, benchmark).filter(F.col("coverage") >= coverage)
 
 
+@shielded("_bad")
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Rows of ``docs`` whose text covers less than ``coverage`` of every test; all columns, null ids and repeated rows too.
 

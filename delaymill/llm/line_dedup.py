@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delaymill.llm.support import texts
+from delaymill.llm.support import shielded, texts
 from delaymill.session import spool
 
 MIN_CHARS = 40
@@ -147,6 +147,7 @@ def filter_bits(documents: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, 1 << (wanted - 1).bit_length()))
 
 
+@shielded("_drop_id", "_drops", "_kept", "_n_lines", "_n_dropped")
 def drop_repeated_lines(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS, bits: int | None = None
 ) -> DataFrame:
@@ -155,7 +156,7 @@ def drop_repeated_lines(
     A line's key is the line without blanks at its ends and with A-Z in lower case. A key of at least
     ``min_chars`` code points that at least ``min_documents`` different doc_ids hold loses all its lines but those of
     the largest doc_id. Null texts are one empty line; rows with a null id neither count nor change; rows that
-    share an id are one document. Columns whose names begin with an underscore must not clash with these three.
+    share an id are one document. Columns of ``docs`` with the name of one of these three are replaced by it.
     """
     bits = bits or filter_bits(docs.count())
     drops = repeated_keys(docs, min_chars, min_documents, bits)
@@ -187,6 +188,21 @@ def drop_repeated_lines(
     )
 
 
+
+@shielded("_kept", "_n_lines", "_n_dropped")
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with their own columns alone: ``text`` without its repeated lines, ``n_chars`` after it.
+
+    Texts that lose no line stay as they are, null ones too.
+    """
+    cut = drop_repeated_lines(docs)
+    changed = F.col("_n_dropped") > 0
+    new = {"text": F.when(changed, F.col("_kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.withColumns(new).select(*[f"`{c}`" for c in docs.columns])
+
+
 ORACLE = r"""
 WITH lines AS (
   SELECT doc_id, i, list_extract(parts, i) AS line,

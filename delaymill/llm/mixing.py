@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from delaymill.llm.support import shielded
 from delaymill.session import spool
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -108,6 +109,7 @@ def sampling_number(seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**12))
 
 
+@shielded("_tokens", "_source", "_lang", "_topic", "_share", "_probability", "_cell_tokens", "_weight", "_rate", "_all")
 def mix(
     docs: DataFrame,
     targets: Mapping[str, DataFrame] | None = None,
@@ -122,7 +124,8 @@ def mix(
     probability proportional to its cell's weight per token, so that the expected tokens of the sample are
     ``fraction`` of the corpus with the target marginals; a cell that has fewer tokens than its share of that is kept whole. ``targets`` maps a dimension to a table (value, share); the others
     are the corpus shares to ``power``. Null labels are ``unknown``. Null and empty texts have no tokens,
-    change no weight and are not sampled; an empty table gives no rows.
+    change no weight and are not sampled; rows that repeat an id are kept or left together; an empty table gives no
+    rows. Columns of ``docs`` with the name of an added one are replaced by it.
     """
     names = docs.columns
     rows = described(docs, topic)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from delaymill.llm.support import WORD, WordHashes, groups, rolling, texts
+from delaymill.llm.support import WORD, WordHashes, groups, rolling, shielded, texts
 from delaymill.session import spool
 
 WORDS = 5
@@ -355,8 +355,12 @@ def same_text(hash_column: Column) -> Column:
     return F.xxhash64("text") == hash_column
 
 
+@shielded("_loser", "_hash")
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns, whose document is the first (smallest id) of its group; null ids and wordless texts stay."""
+    """Rows of ``docs``, all columns, whose document is the first (smallest id) of its group; null ids and wordless texts stay.
+
+    Rows that repeat an id and its text are the same document and stay or go together.
+    """
     found = near_duplicates(docs).filter(F.col("doc_id") != F.col("class_id"))
     losers = spool(found.select(F.col("doc_id").alias("_loser"), F.col("text_hash").alias("_hash")).distinct(), "losers")
     return docs.join(losers, (F.col("doc_id") == F.col("_loser")) & same_text(F.col("_hash")), "left_anti")

@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from delaymill.llm.support import held_out, texts, unit_hash
+from delaymill.llm.support import held_out, shielded, texts, unit_hash
 from delaymill.session import spool
 
 STATISTICS = (
@@ -194,6 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel
     return RuleModel(float(lasso.intercept), tuple(weights))
 
 
+@shielded("_statistics", "_score")
 def score(docs: DataFrame, model: RuleModel) -> DataFrame:
     """All columns of ``docs`` and ``_score``, the probability that its text has label 1."""
     return with_statistics(docs).withColumn("_score", model.score()).drop("_statistics")
@@ -214,6 +215,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: floa
     )
 
 
+@shielded("_statistics", "_score")
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
     """The rows of ``docs``, all columns, whose texts score at least ``cut``."""
     scored = score(docs, train(docs, labels.filter(~held_out()), sample))

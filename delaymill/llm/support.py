@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,35 @@ def unit_hash(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / F.lit(float(2**53))
 
 
+def shielded(*own: str) -> Callable:
+    """Lets an operator use the column names ``own`` although its input has columns of such names.
+
+    These are renamed while the operator works. Afterwards they have their names again, except where the
+    operator's result has a column of that name: then its own column takes their place.
+    """
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            taken = {c.lower() for c in (*docs.columns, *own)}
+            aside = {}
+            for c in docs.columns:
+                if c.lower() in {o.lower() for o in own}:
+                    name = f"{c}_input"
+                    while name.lower() in taken:
+                        name += "_"
+                    aside[c] = name
+                    taken.add(name.lower())
+            out = operator(docs.withColumnsRenamed(aside), *args, **options)
+            made = {c.lower() for c in out.columns}
+            out = out.drop(*[n for c, n in aside.items() if c.lower() in made])
+            return out.withColumnsRenamed({n: c for c, n in aside.items() if c.lower() not in made})
+
+        return run
+
+    return wrap
+
+
 def texts(column: pa.Array) -> list[str]:
     """The strings of an Arrow column, null as an empty text."""
     return [t or "" for t in column.to_pylist()]
