@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from delaymill.llm import decontaminate, line_dedup, mixing, ngram_join, quality
 from delaymill.llm.support import table
@@ -18,16 +17,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that they share with many others; ``n_chars`` follows the text.
-
-    Texts that lose no line stay as they are, null ones too.
-    """
-    cut = line_dedup.drop_repeated_lines(docs)
-    changed = F.col("_n_dropped") > 0
-    new = {"text": F.when(changed, F.col("_kept")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.withColumns(new).select(*[f"`{c}`" for c in docs.columns])
+    """All documents, without lines that they share with many others."""
+    return line_dedup.without_repeated_lines(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +32,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents sampled towards the target weights, with topic, token count and probability."""
-    mixed = mixing.mix(docs)
+    """The documents sampled towards the target weights, with topic, n_tokens and probability.
+
+    Columns of ``docs`` with one of these names are replaced.
+    """
     added = {"_topic": "topic", "_tokens": "n_tokens", "_probability": "probability"}
-    return mixed.select(*[f"`{c}`" for c in docs.columns], *[F.col(c).alias(n) for c, n in added.items()])
+    mixed = mixing.mix(docs.drop(*[c for c in docs.columns if c.lower() in (*added, *added.values(), "_source", "_lang", "_share")]))
+    return mixed.drop("_source", "_lang", "_share").withColumnsRenamed(added)
 
 
 STAGES = [
