@@ -8,25 +8,26 @@ from datetime import date, timedelta
 from pathlib import Path
 
 # The columns a stop-event file must carry.
-STOP_EVENT_COLUMNS = (
-    "station_name",
-    "xml_station_name",
-    "eva",
-    "train_number",
-    "line_number",
-    "final_destination_station",
-    "delay_in_min",
-    "time",
-    "is_canceled",
-    "train_type",
-    "train_line_ride_id",
-    "train_line_station_num",
-    "arrival_planned_time",
-    "arrival_change_time",
-    "departure_planned_time",
-    "departure_change_time",
-    "id",
-)
+STOP_EVENT_TYPES = {
+    "station_name": "string",
+    "xml_station_name": "string",
+    "eva": "string",
+    "train_number": "string",
+    "line_number": "string",
+    "final_destination_station": "string",
+    "delay_in_min": "int",
+    "time": "timestamp_ntz",
+    "is_canceled": "boolean",
+    "train_type": "string",
+    "train_line_ride_id": "string",
+    "train_line_station_num": "int",
+    "arrival_planned_time": "timestamp_ntz",
+    "arrival_change_time": "timestamp_ntz",
+    "departure_planned_time": "timestamp_ntz",
+    "departure_change_time": "timestamp_ntz",
+    "id": "string",
+}
+STOP_EVENT_COLUMNS = tuple(STOP_EVENT_TYPES)
 
 # Names of scope slices, policies and splits.
 BASELINE_SLICE = "baseline_month"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,7 +154,7 @@ def split_counts(rows: DataFrame) -> DataFrame:
 
 
 def split_violations(rows: DataFrame) -> DataFrame:
-    """Broken split rules as (rule, violations): crossing journeys, overlapping dates, one-class splits."""
+    """Broken split rules as (rule, violations): rows without split, crossing journeys, overlapping dates, one-class splits."""
     per_journey = rows.groupBy("journey_id").agg(
         F.min("prediction_split").alias("low"), F.max("prediction_split").alias("high")
     )
@@ -171,6 +173,7 @@ def split_violations(rows: DataFrame) -> DataFrame:
         *[one_class(s).alias(f"both_classes_in_{s}") for s in (TRAIN, VALIDATION, TEST)],
     )
     flags = whole.select(*[F.coalesce(F.col(c), F.lit(True)).cast("long").alias(c) for c in whole.columns])
-    return flags.unpivot([], flags.columns, "rule", "violations").unionByName(
-        crossing.select(F.lit("one_split_per_journey").alias("rule"), "violations")
-    )
+    unknown = rows.agg(F.count_if(F.col("prediction_split").isNull()).alias("violations"))
+    reports = [crossing.select(F.lit("one_split_per_journey").alias("rule"), "violations")]
+    reports.append(unknown.select(F.lit("split_is_known").alias("rule"), "violations"))
+    return reduce(DataFrame.unionByName, reports, flags.unpivot([], flags.columns, "rule", "violations"))

@@ -8,16 +8,27 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delaymill.config import STOP_EVENT_COLUMNS
+from delaymill.config import STOP_EVENT_COLUMNS, STOP_EVENT_TYPES
+
+MONTH_FILE = r"/(data-\d{4}-\d{2}\.parquet)(?:/[^/]*)?$"
 
 
 def read_stop_events(spark: SparkSession, *paths: str) -> DataFrame:
-    """The whitelisted columns of one or more month files, with the file each row came from."""
-    rows = spark.read.parquet(*paths)
-    missing = [c for c in STOP_EVENT_COLUMNS if c not in rows.columns]
-    if missing:
-        raise ValueError(f"missing source columns: {missing}")
-    return rows.select(*STOP_EVENT_COLUMNS, F.col("_metadata.file_name").alias("source_file"))
+    """The whitelisted columns of one or more month files, with the month file each row came from.
+
+    The schema is fixed, not inferred; of every path only the column names are looked up, as a missing column
+    would read as null. A month file may be a single file or a folder of that name.
+    """
+    for path in paths:
+        names = spark.read.parquet(path).columns
+        missing = [c for c in STOP_EVENT_COLUMNS if c not in names]
+        if missing:
+            raise ValueError(f"missing source columns: {missing}")
+    rows = spark.read.schema(", ".join(f"`{c}` {kind}" for c, kind in STOP_EVENT_TYPES.items())).parquet(*paths)
+    month_file = F.regexp_extract(F.col("_metadata.file_path"), MONTH_FILE, 1)
+    return rows.select(
+        *STOP_EVENT_COLUMNS, F.when(month_file != "", month_file).otherwise(F.col("_metadata.file_name")).alias("source_file")
+    )
 
 
 def save_frame(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:

@@ -133,6 +133,7 @@ def split_counts(spark, folder):
              count(*) FILTER (WHERE NOT is_departure_severe_delay) AS n FROM model_rows GROUP BY 1)""",
         final="""SELECT 'one_split_per_journey' AS rule, count(*) AS violations FROM
             (SELECT 1 FROM model_rows GROUP BY journey_id HAVING count(DISTINCT prediction_split) > 1)
+        UNION ALL SELECT 'split_is_known', count(*) FROM model_rows WHERE prediction_split IS NULL
         UNION ALL SELECT 'train_before_validation', count(*) FROM ranges a, ranges b
             WHERE a.s = 'train' AND b.s = 'validation' AND a.high >= b.low
         UNION ALL SELECT 'validation_before_test', count(*) FROM ranges a, ranges b

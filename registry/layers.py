@@ -121,6 +121,36 @@ def hub_journeys(spark, folder):
     return scope.scope_journeys(stop_events(load_events(spark, folder)), HUB)
 
 
+def month_files(spark, folder) -> list[str]:
+    """The feed as two month files in the scratch folder: odd events fall into February."""
+    january = F.col("event_id") % 2 == 0
+    events = load_events(spark, folder)
+    later = events.withColumn("ts", F.col("ts") + F.expr("INTERVAL '31' DAY"))
+    parts = {"data-2024-01.parquet": events.filter(january), ADDED_FILE: later.filter(~january)}
+    root = scratch_path(spark, "months")
+    for name, rows in parts.items():
+        layers.save_frame(stop_events(rows), f"{root}/{name}")
+    return [f"{root}/{name}" for name in parts]
+
+
+@query(
+    "month_files_scope",
+    with_ctes(
+        """month_events AS (SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN ts ELSE ts + INTERVAL 31 DAY END AS ts)
+             FROM events)""",
+        STOPS.replace("FROM events", "FROM month_events"),
+        final=printed(
+            f"""SELECT *, CASE WHEN month(time) = 1 THEN 'data-2024-01.parquet' ELSE '{ADDED_FILE}' END AS source_file
+            FROM stops WHERE train_line_ride_id IN
+            (SELECT train_line_ride_id FROM stops WHERE station_name = '{HUB}')""",
+            stamps=_STOP_STAMPS,
+        ),
+    ),
+)
+def month_files_scope(spark, folder):
+    return scope.scope_journeys(layers.read_stop_events(spark, *month_files(spark, folder)), HUB)
+
+
 @query(
     "scope_union",
     with_ctes(

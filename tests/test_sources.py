@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from delaymill.operators import explore
@@ -92,3 +93,39 @@ def test_scratch_is_cleared(spark):
     assert stored.count() == 3
     assert clear_scratch(spark)
     assert spool(spark.range(4), "few").count() == 4
+
+
+def test_month_files_keep_their_names_and_push_filters(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from delaymill.config import STOP_EVENT_TYPES
+    from delaymill.sources.layers import read_stop_events
+
+    one = spark.range(3).select(*[F.lit(None).cast(kind).alias(c) for c, kind in STOP_EVENT_TYPES.items()], F.lit(1).alias("more"))
+    folder, single = f"{tmp_path}/data-2025-02.parquet", f"{tmp_path}/data-2025-04.parquet"
+    one.write.parquet(folder)
+    one.coalesce(1).write.parquet(f"{tmp_path}/other")
+    part = next((tmp_path / "other").glob("part-*.parquet"))
+    (tmp_path / "data-2025-04.parquet").write_bytes(part.read_bytes())
+    rows = read_stop_events(spark, folder, single)
+    assert {r.source_file: r["count"] for r in rows.groupBy("source_file").count().collect()} == {
+        "data-2025-02.parquet": 3,
+        "data-2025-04.parquet": 3,
+    }
+    hub = rows.filter((F.col("station_name") == "x") & (F.col("time") >= F.lit("2025-02-01").cast("timestamp_ntz")))
+    plan = hub.select("id")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].splitlines()[0]
+    assert "EqualTo(station_name,x)" in pushed and "GreaterThanOrEqual(time" in pushed and "more" not in plan
+    one.drop("id").write.parquet(f"{tmp_path}/data-2025-05.parquet")
+    with pytest.raises(ValueError, match="missing source columns"):
+        read_stop_events(spark, folder, f"{tmp_path}/data-2025-05.parquet")
+
+
+def test_rows_without_split_are_counted(spark):
+    from delaymill.operators import split
+
+    rows = spark.createDataFrame(
+        [("j", "train", "2024-01-01", True), ("k", None, None, False), ("l", None, None, True)],
+        f"journey_id string, prediction_split string, journey_anchor_date string, {split.TARGET} boolean",
+    )
+    assert {r.rule: r.violations for r in split.split_violations(rows).collect()}["split_is_known"] == 2
