@@ -32,11 +32,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents sampled towards the target weights, with topic, n_tokens and probability.
+    """The documents sampled towards the target weights, with topic, n_tokens, probability and copies.
+
+    The sample has a document as often as ``copies`` says; that keeps the target weights where a cell has too few tokens.
 
     Columns of ``docs`` with one of these names are replaced.
     """
-    added = {"_topic": "topic", "_tokens": "n_tokens", "_probability": "probability"}
+    added = {"_topic": "topic", "_tokens": "n_tokens", "_probability": "probability", "_copies": "copies"}
     mixed = mixing.mix(docs.drop(*[c for c in docs.columns if c.lower() in (*added, *added.values(), "_source", "_lang", "_share")]))
     return mixed.drop("_source", "_lang", "_share").withColumnsRenamed(added)
 

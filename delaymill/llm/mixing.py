@@ -109,7 +109,7 @@ def sampling_number(seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**12))
 
 
-@shielded("_tokens", "_source", "_lang", "_topic", "_share", "_probability", "_cell_tokens", "_weight", "_rate", "_all")
+@shielded("_tokens", "_source", "_lang", "_topic", "_share", "_probability", "_copies", "_expected", "_cell_tokens", "_weight", "_rate", "_all")
 def mix(
     docs: DataFrame,
     targets: Mapping[str, DataFrame] | None = None,
@@ -118,11 +118,13 @@ def mix(
     topic=default_topic,
     fraction: float = FRACTION,
 ) -> DataFrame:
-    """Sampled rows of ``docs``, all columns, with ``_tokens``, ``_source``, ``_lang``, ``_topic``, ``_share``, ``_probability``.
+    """Sampled rows of ``docs``, all columns, with ``_tokens``, ``_source``, ``_lang``, ``_topic``, ``_share``, ``_probability``, ``_copies``.
 
-    ``_share`` is the raked share of the row's cell (source, language, topic) of all token weight. A row is kept with
-    probability proportional to its cell's weight per token, so that the expected tokens of the sample are
-    ``fraction`` of the corpus with the target marginals; a cell that has fewer tokens than its share of that is kept whole. ``targets`` maps a dimension to a table (value, share); the others
+    ``_share`` is the raked share of the row's cell (source, language, topic) of all token weight. A row belongs into the
+    sample ``_copies`` times: on average as often as its cell's weight per token asks for, so that the expected tokens of
+    the sample, copies counted, are ``fraction`` of the corpus with the target marginals. In a cell that has fewer tokens
+    than its share of that, every row has the whole part of this average as copies and one more by a draw on the rest.
+    ``_probability`` is the chance of a row to have any copy; ``repeated`` writes copies out. ``targets`` maps a dimension to a table (value, share); the others
     are the corpus shares to ``power``. Null labels are ``unknown``. Null and empty texts have no tokens,
     change no weight and are not sampled; rows that repeat an id are kept or left together; an empty table gives no
     rows. Columns of ``docs`` with the name of an added one are replaced by it.
@@ -134,15 +136,32 @@ def mix(
     wanted = {d: (targets or {}).get(d, tempered(cells, d, power)) for d in DIMENSIONS}
     raked = rake(cells, wanted).withColumn("_rate", F.col("_weight") / F.col("_cell_tokens"))
     whole = F.broadcast(raked.agg(F.sum("_cell_tokens").alias("_all")))  # one row
-    probability = F.least(F.lit(1.0), F.lit(fraction) * F.col("_rate") * F.col("_all"))
-    cell = raked.join(whole).select(*keys, F.col("_weight").alias("_share"), probability.alias("_probability"))
+    expected = F.lit(fraction) * F.col("_rate") * F.col("_all")
+    probability = F.least(F.lit(1.0), expected)
+    cell = raked.join(whole).select(
+        *keys, F.col("_weight").alias("_share"), probability.alias("_probability"), expected.alias("_expected")
+    )
     cell = spool(cell, "probabilities")
     sampled = rows.join(cell, keys).filter((sampling_number(seed) < F.col("_probability")) & (F.col("_tokens") > 0))
-    return sampled.select(*[f"`{c}`" for c in names], "_tokens", *keys, "_share", "_probability")
+    least = F.floor("_expected")
+    copies = least + (sampling_number(seed) < F.col("_expected") - least).cast("long")
+    return sampled.select(*[f"`{c}`" for c in names], "_tokens", *keys, "_share", "_probability", copies.alias("_copies"))
+
+
+def repeated(sample: DataFrame, copies: str = "_copies") -> DataFrame:
+    """Every row of a sample as often as its ``copies`` say, without that column."""
+    return sample.withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).drop(copies)
 
 
-def oracle(documents: str = "documents", sweeps: int = 40, power: float = TEMPER, seed: int = SEED, fraction: float = FRACTION) -> str:
-    """The rows of the default mixture as SQL, with raking written out ``sweeps`` times."""
+def oracle(
+    documents: str = "documents",
+    sweeps: int = 40,
+    power: float = TEMPER,
+    seed: int = SEED,
+    fraction: float = FRACTION,
+    copies: bool = False,
+) -> str:
+    """The rows of the default mixture as SQL, with raking written out ``sweeps`` times; on demand with their copies."""
     topic = " ".join(f"WHEN {test} THEN '{name}'" for name, test in TOPICS)
     parts = [
         f"""rows AS (
@@ -165,12 +184,17 @@ def oracle(documents: str = "documents", sweeps: int = 40, power: float = TEMPER
             )
             step += 1
     parts.append(f"p AS (SELECT source, lang, topic, w, least(1.0, {fraction} * (w / n) * CAST(sum(n) OVER () AS DOUBLE)) AS p FROM w{step})")
+    expected = f"{fraction} * (w / n) * CAST(sum(n) OVER () AS DOUBLE)"
+    if copies:
+        parts.append(f"e AS (SELECT source, lang, topic, {expected} AS expected FROM w{step})")
     number = (
         f"CAST(concat('0x', substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), concat('text ', t)), ' {seed}')), 1, 12)) AS BIGINT)"
         f" / {16**12}.0"
     )
+    drawn = f",\n CAST(floor(expected) AS BIGINT) + CASE WHEN {number} < expected - floor(expected) THEN 1 ELSE 0 END AS copies" if copies else ""
+    also = " JOIN e USING (source, lang, topic)" if copies else ""
     return (
         "WITH " + ",\n".join(parts) + f"""
-SELECT doc_id, source, lang, topic, CAST(n AS BIGINT) AS n_tokens, round(w, 6) AS share, round(p, 6) AS probability
-FROM rows JOIN p USING (source, lang, topic) WHERE {number} < p AND n > 0"""
+SELECT doc_id, source, lang, topic, CAST(n AS BIGINT) AS n_tokens, round(w, 6) AS share, round(p, 6) AS probability{drawn}
+FROM rows JOIN p USING (source, lang, topic){also} WHERE {number} < p AND n > 0"""
     )

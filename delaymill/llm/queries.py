@@ -21,8 +21,7 @@ def query(build):
     return build
 
 
-@query
-def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+def _mixture(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
     return mixed.select(
         "doc_id",
@@ -32,9 +31,22 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
         F.col("_tokens").alias("n_tokens"),
         F.round("_share", 6).alias("share"),
         F.round("_probability", 6).alias("probability"),
+        F.col("_copies").alias("copies"),
     )
 
 
+@query
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document of the sample once, as its SQL has it; the copies are in ``op1_mixing_copies``."""
+    return _mixture(spark, folder).drop("copies")
+
+
+@query
+def op1_mixing_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """The sample with the number of copies of each document; copies counted, it has the raked marginals."""
+    return _mixture(spark, folder)
+
+
 @query
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -93,6 +105,7 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op1_mixing"] = mixing.oracle()
+ORACLES["op1_mixing_copies"] = mixing.oracle(copies=True)
 ORACLES["op6_warc"] = warc.ORACLE
 ORACLES["op8_ngram_join"] = ngram_join.ORACLE
 ORACLES["op4_line_dedup"] = line_dedup.ORACLE

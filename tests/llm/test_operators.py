@@ -227,3 +227,26 @@ def test_marginals_meet_their_targets(spark, odd):
     assert mixing.mix(odd).columns[: len(odd.columns)] == odd.columns
     assert mixing.mix(empty(spark)).count() == 0
     assert Counter(r.doc_id for r in mixing.mix(odd).collect())[1] == 0
+
+
+def test_sample_has_the_raked_marginals_with_a_hot_and_a_rare_source(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(6000):
+        source = "rare" if i % 300 == 0 else "hot" if i % 10 else "other"
+        text = " ".join(["word"] * rng.randint(20, 60)) + (" Licensed under" if i % 50 == 7 else "")
+        rows.append((i, text, rng.choice(("en", "en", "de")), source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    wanted = spark.createDataFrame([("rare", 0.1), ("other", 0.3), ("hot", 0.6)], "value string, share double")
+    sample = mixing.mix(docs, {"source": wanted})
+    assert sample.filter("_copies < 1").count() == 0 and sample.filter("_copies > 1").count() > 0
+    cells = mixing.described(docs).groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_cell_tokens"))
+    whole = cells.agg(F.sum("_cell_tokens")).first()[0]
+    written = mixing.repeated(sample)
+    assert written.count() == sample.agg(F.sum("_copies")).first()[0]
+    for d in mixing.DIMENSIONS:
+        goals = wanted if d == "source" else mixing.tempered(cells, d, mixing.TEMPER)
+        goal = {r.value: r.share for r in goals.collect()}
+        got = {r[0]: r.n for r in written.groupBy(f"_{d}").agg(F.sum("_tokens").alias("n")).collect()}
+        want = {v: mixing.FRACTION * whole * s / sum(goal.values()) for v, s in goal.items()}
+        assert got == pytest.approx(want, rel=0.06)
