@@ -123,12 +123,21 @@ class Seeds:
 def overlaps(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, covered, test_words, coverage, tiles for every document and test that share a seed of ``seed`` words.
 
-    The benchmark is cut into blocks of about ``block_bytes`` of text by a hash of its ids, and each block is
+    The benchmark's distinct rows are cut into blocks of about ``block_bytes`` of text by their hash, and each block is
     compared with all documents in one pass: every task holds the block's seeds, joins the seeds of each
     whole text to them, and tiles the documents that share any. Nothing is shuffled, so hot passages cost no
     more than their documents. Words are lower-cased runs of letters, digits and underscores. Null texts and ids,
-    repeated rows: a null text shares nothing, rows are compared each for itself, null ids are passed on.
+    repeated rows: a null text shares nothing, repeated tests are compared once and give a row per copy, documents
+    are compared each for itself, null ids are passed on.
     """
+    found = _distinct_overlaps(docs, benchmark, seed, block_bytes)
+    return found.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+
+
+def _distinct_overlaps(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The overlaps with every distinct test once, and ``_copies``, the rows that the benchmark has of it."""
+    rows = benchmark.filter("text IS NOT NULL").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("_copies"))
+    benchmark = spool(rows, "tests")
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     place = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
@@ -140,9 +149,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, block_byte
 
 
 def _pass(docs: DataFrame, block: DataFrame, seed: int) -> DataFrame:
-    tests = block.filter("text IS NOT NULL").select("item_id", "text").toArrow()
+    tests = block.select("item_id", "text", "_copies").toArrow()
     item_arrow = tests.schema.field("item_id").type
-    pairs = list(zip(*[tests.column(c).to_pylist() for c in ("item_id", "text")], strict=True))
+    names = zip(tests.column("item_id").to_pylist(), tests.column("_copies").to_pylist(), strict=True)
+    pairs = list(zip(names, tests.column("text").to_pylist(), strict=True))
     shared = docs.sparkSession.sparkContext.broadcast(Seeds(pairs, seed))
     doc_kind, item_kind = (t.dataType.simpleString() for t in (docs.schema["doc_id"], block.schema["item_id"]))
 
@@ -160,10 +170,10 @@ def _pass(docs: DataFrame, block: DataFrame, seed: int) -> DataFrame:
                     continue
                 near_ids = _regions(ids, near)
                 for test in found:
-                    item, pattern = seeds.tests[test]
+                    (item, copies), pattern = seeds.tests[test]
                     marked = tiles(pattern, near_ids, min(seed, len(pattern)))
                     covered = sum(n for _, _, n in marked)
-                    rows.append((at, item, covered, len(pattern), len(marked)))
+                    rows.append((at, item, covered, len(pattern), len(marked), copies))
             at = pa.array([r[0] for r in rows], pa.int64())
             columns = [
                 batch.column(0).take(at),
@@ -172,12 +182,13 @@ def _pass(docs: DataFrame, block: DataFrame, seed: int) -> DataFrame:
                 pa.array([r[3] for r in rows], pa.int64()),
                 pa.array([r[2] / r[3] for r in rows], pa.float64()),
                 pa.array([r[4] for r in rows], pa.int64()),
+                pa.array([r[5] for r in rows], pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "covered", "test_words", "coverage", "tiles"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "covered", "test_words", "coverage", "tiles", "_copies"])
 
     return docs.select("doc_id", "text").mapInArrow(
         compare,
-        f"doc_id {doc_kind}, item_id {item_kind}, covered long, test_words long, coverage double, tiles long",
+        f"doc_id {doc_kind}, item_id {item_kind}, covered long, test_words long, coverage double, tiles long, _copies long",
     )
 
 
@@ -203,5 +214,6 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float =
     Rows are told apart by their text: equal texts share their fate.
     """
     keyed = docs.select(F.sha2(F.col("text").cast("binary"), 256).alias("doc_id"), "text")
-    bad = spool(contaminated(keyed, benchmark, coverage).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
+    found = _distinct_overlaps(keyed, benchmark).filter(F.col("coverage") >= coverage)
+    bad = spool(found.select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
     return docs.join(bad, F.sha2(F.col("text").cast("binary"), 256) == F.col("_bad"), "left_anti")

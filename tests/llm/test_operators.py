@@ -250,3 +250,21 @@ def test_sample_has_the_raked_marginals_with_a_hot_and_a_rare_source(spark):
         got = {r[0]: r.n for r in written.groupBy(f"_{d}").agg(F.sum("_tokens").alias("n")).collect()}
         want = {v: mixing.FRACTION * whole * s / sum(goal.values()) for v, s in goal.items()}
         assert got == pytest.approx(want, rel=0.06)
+
+
+def test_a_block_holds_a_repeated_test_once(spark, monkeypatch):
+    held = []
+
+    def watched(docs, block, seed, run=decontaminate._pass):
+        held.append(block.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0])
+        return run(docs, block, seed)
+
+    monkeypatch.setattr(decontaminate, "_pass", watched)
+    hot = " ".join(f"hot{i}" for i in range(20))
+    rows = [(0, hot)] * 200 + [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(1, 41)] + [(None, hot), (7, None)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    docs = spark.createDataFrame([(1, hot), (2, rows[205][1]), (2, rows[205][1])], "doc_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench, block_bytes=1000).collect())
+    assert got == {(1, 0): 200, (1, None): 1, (2, rows[205][0]): 2}
+    assert len(held) > 1 and max(held) < 3000 and sum(held) == sum(len(t) for _, t in set(rows) if t)
+    assert decontaminate.remove_contaminated(docs, bench).count() == 0
