@@ -11,8 +11,7 @@ PIECE = r"[^\n]{200}[^\n.!?]*+[.!?]*+|[^\n]+"  # a paragraph; longer ones end wi
 TABLES, SLOTS = 3, 8  # each digest falls into one slot of each table
 ROUNDS = 12  # of peeling all pure cells at once
 SHARDS = (1, 4, 16, 64, 256)  # sizes tried in turn; digests are dealt to shards by their hash
-SLICE_BITS = (12, 20, 28, 36, 44, 52)
-FILLED = 256  # mean rows of a slice from which a slice width serves
+POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 _PLACES = ", ".join(f"named_struct('h', {3 * t}, 'v', {s}L)" for t in range(TABLES) for s in range(SLOTS))
 _NOTHING = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
@@ -97,25 +96,26 @@ def fingerprint(found: str) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text (null as empty) and ``following``, the text of the next document by ascending id, after the last the first.
 
-    Ids are cut into slices of their leading bits, as narrow as still holds many rows; a slice also gets a copy
-    of the first row of the slice after it, so texts move once and no task sees more than a slice. Rows of one id follow
-    each other by text; rows with a null id are followed by an empty text.
+    Rows are range-partitioned by id, hash of the text and place, and the sorted slices written once, so that neither
+    near ids nor a repeated one make a slice large. Each slice also gets a copy of the first row of the slice after it, the last one
+    of the first. Rows of one id follow each other by the hash of their text; rows with a null id are followed by an empty text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = rows.filter(F.col("doc_id").isNotNull())
-    counts = known.agg(
-        F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(F.shiftright("doc_id", b)).alias(f"b{b}") for b in SLICE_BITS]
-    ).first()
-    bits = next((b for b in SLICE_BITS if counts.n >= FILLED * counts[f"b{b}"]), SLICE_BITS[-1])
-    part = F.shiftright("doc_id", bits)
-    firsts = known.groupBy(part.alias("_slice")).agg(F.min("doc_id").alias("_first"))
-    order = Window.orderBy("_slice")  # one short row per slice of at least some hundred documents
-    before = F.coalesce(F.lag("_slice").over(order), F.max("_slice").over(Window.partitionBy()))
-    guards = spool(firsts.select("_first", before.alias("_before")), "slices")
-    copies = known.join(guards, F.col("doc_id") == F.col("_first")).select("doc_id", "text", F.col("_before").alias("_slice"), F.lit(1).alias("_copy"))
-    placed = known.select("doc_id", "text", part.alias("_slice"), F.lit(0).alias("_copy")).unionByName(copies)
-    following = F.lead("text").over(Window.partitionBy("_slice").orderBy("_copy", "doc_id", "text"))
-    linked = placed.withColumn("following", following).filter("_copy = 0").select("doc_id", "text", "following")
+    order = ["doc_id", "_hash", "_tie"]
+    tied = known.withColumns({"_hash": F.xxhash64("text"), "_tie": F.monotonically_increasing_id()})
+    placed = tied.repartitionByRange(*order).sortWithinPartitions(*order).drop("_hash", "_tie")
+    placed = placed.withColumn("_position", F.monotonically_increasing_id())
+    slices = spool(placed.withColumn("_slice", F.shiftright("_position", POSITION_BITS)), "slices")
+    firsts = slices.groupBy("_slice").agg(F.min("_position").alias("_first"))
+    by_slice = Window.orderBy("_slice")  # one short row per slice
+    before = F.coalesce(F.lag("_slice").over(by_slice), F.max("_slice").over(Window.partitionBy()))
+    guards = spool(firsts.select(F.col("_first").alias("_position"), before.alias("_before")), "guards")
+    copies = slices.join(F.broadcast(guards), "_position").select("text", F.col("_before").alias("_slice"), F.lit(1).alias("_copy"))
+    own = slices.select("doc_id", "text", "_slice", "_position", F.lit(0).alias("_copy"))
+    following = F.lead("text").over(Window.partitionBy("_slice").orderBy("_copy", "_position"))
+    linked = own.unionByName(copies, allowMissingColumns=True).withColumn("following", following).filter("_copy = 0")
+    linked = linked.select("doc_id", "text", "following")
     return linked.unionByName(rows.filter(F.col("doc_id").isNull()).withColumn("following", F.lit("")))
 
 
