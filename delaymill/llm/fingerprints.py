@@ -10,10 +10,10 @@ from delaymill.session import spool
 PIECE = r"[^\n]{200}[^\n.!?]*+[.!?]*+|[^\n]+"  # a paragraph; longer ones end with a sentence after 200 code points
 TABLES, SLOTS = 3, 8  # each digest falls into one slot of each table
 ROUNDS = 12  # of peeling all pure cells at once
-SHARDS = (1, 4, 16, 64, 256)  # sizes tried in turn; digests are dealt to shards by their hash
+RETRIES = (16, 64, 256, 1024)  # slots of each table in the tries after the first; each hashes the digests anew
+SHARE = 8  # mean digests of a shard in a retry; digests are dealt to shards by their hash
 POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
-_PLACES = ", ".join(f"named_struct('h', {3 * t}, 'v', {s}L)" for t in range(TABLES) for s in range(SLOTS))
 _NOTHING = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
 
 
@@ -26,65 +26,89 @@ def _escaped(pattern: str) -> str:
     return pattern.replace("\\", "\\\\")
 
 
-def cells(found: str) -> str:
-    """SQL of the cells of some digests: how many fell in, their xor, and the xor of their own hashes."""
+def placed(digest: str, slots: int = SLOTS) -> str:
+    """SQL of a digest with its own hash, its cell in each table, and the bits that deal it to a shard."""
+    used = digest if slots == SLOTS else f"xxhash64({digest}, {slots})"
+    bits = slots.bit_length() - 1
+    at = ", ".join(f"'p{t}', {t * slots} + CAST(shiftright({used}, {t * bits}) & {slots - 1}L AS INT)" for t in range(TABLES))
+    return f"named_struct('k', {digest}, 'c', xxhash64({digest}), {at}, 's', CAST(shiftright({used}, 32) & 2147483647L AS INT))"
+
+
+def _falls(entry: str) -> str:
+    return " OR ".join(f"q = {entry}.p{t}" for t in range(TABLES))
+
+
+def _filled(entries: str, slots: int) -> str:
+    """SQL of the cells of some placed digests: how many fell in, their xor, and the xor of their own hashes."""
     return (
-        f"transform(array({_PLACES}), q -> aggregate(filter({found}, d -> (shiftright(d, q.h) & 7L) = q.v), {_NOTHING}, "
-        "(a, d) -> named_struct('n', a.n + 1, 'k', a.k ^ d, 'c', a.c ^ xxhash64(d))))"
+        f"transform(sequence(0, {TABLES * slots - 1}), q -> aggregate(filter({entries}, e -> {_falls('e')}), {_NOTHING}, "
+        "(a, e) -> named_struct('n', a.n + 1, 'k', a.k ^ e.k, 'c', a.c ^ e.c)))"
     )
 
 
-def shard(found: str, number: str, shards: int) -> str:
-    return found if shards == 1 else f"filter({found}, e -> (shiftright(e, 40) & {shards - 1}L) = {number})"
+def cells(found: str) -> str:
+    """SQL of the smallest sketch of some digests."""
+    return f"transform(array(transform({found}, d -> {placed('d')})), f -> {_filled('f', SLOTS)})[0]"
 
 
 def subtract(left: str, right: str) -> str:
     return f"zip_with({left}, {right}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
 
 
-def peel(difference: str) -> str:
+def peel(difference: str, slots: int = SLOTS) -> str:
     """SQL of the digests that a subtracted sketch holds, null if some cells stay full.
 
     Each round takes the digest of every pure cell (one digest more on one side) out of all its cells.
     """
-    pure = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 AND x.c = xxhash64(x.k)), x -> named_struct('n', x.n, 'k', x.k)))"
+    pure = (
+        "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 AND x.c = xxhash64(x.k)), "
+        f"x -> named_struct('n', x.n, 'e', {placed('x.k', slots)})))"
+    )
     left = (
-        f"zip_with(s.cells, array({_PLACES}), (x, q) -> aggregate(filter(pure, p -> (shiftright(p.k, q.h) & 7L) = q.v), x, "
-        "(a, p) -> named_struct('n', a.n - p.n, 'k', a.k ^ p.k, 'c', a.c ^ xxhash64(p.k))))"
+        f"zip_with(s.cells, sequence(0, {TABLES * slots - 1}), (x, q) -> aggregate(filter(pure, p -> {_falls('p.e')}), x, "
+        "(a, p) -> named_struct('n', a.n - p.n, 'k', a.k ^ p.e.k, 'c', a.c ^ p.e.c)))"
     )
     # a transform over one element names a value that is used several times
-    taken = f"named_struct('cells', {left}, 'found', concat(s.found, transform(pure, p -> p.k)), 'go', size(pure) > 0)"
+    taken = f"named_struct('cells', {left}, 'found', concat(s.found, transform(pure, p -> p.e.k)), 'go', size(pure) > 0)"
     step = f"(s, r) -> CASE WHEN s.go THEN transform(array({pure}), pure -> {taken})[0] ELSE s END"
     start = f"named_struct('cells', {difference}, 'found', CAST(array() AS ARRAY<BIGINT>), 'go', true)"
     done = "forall(s.cells, x -> x.n = 0 AND x.k = 0L AND x.c = 0L)"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, {step}, s -> CASE WHEN {done} THEN s.found END)"
 
 
-def _recovered(left: str, right: str, shards: int) -> str:
-    """The differing digests by sketches of one size, null on failure."""
-    each = peel(subtract(cells("l"), cells("r")))
-    pairs = (
-        f"transform(sequence(0, {shards - 1}), i -> named_struct('l', {shard(left, 'i', shards)}, 'r', {shard(right, 'i', shards)}))"
-    )
-    opened = f"transform({pairs}, z -> transform(array(z.l), l -> transform(array(z.r), r -> {each})[0])[0])"
+def _retried(left: str, right: str, slots: int) -> str:
+    """The differing digests by sketches in as many shards as both sides together need, null on failure."""
+    shards = f"CAST(pow(2, greatest(0, ceil(log2((size({left}) + size({right})) / {SHARE})))) AS INT)"
+    own = [f"filter({side}, e -> (e.s & (m - 1)) = i)" for side in "lr"]
+    each = peel(subtract(_filled("z.l", slots), _filled("z.r", slots)), slots)
+    pairs = f"transform(sequence(0, m - 1), i -> named_struct('l', {own[0]}, 'r', {own[1]}))"
+    opened = f"transform({pairs}, z -> {each})"
+    for name, value in (("r", right), ("l", left)):
+        opened = f"transform(array(transform({value}, d -> {placed('d', slots)})), {name} -> {opened})[0]"
+    opened = f"transform(array({shards}), m -> {opened})[0]"
     return f"transform(array({opened}), o -> CASE WHEN forall(o, x -> x IS NOT NULL) THEN flatten(o) END)[0]"
 
 
+def sketched(left: str, right: str) -> str:
+    """SQL of the digests that only one of two digest arrays has, by sketches alone; null if even the largest fails."""
+    first = peel(subtract(cells(left), cells(right)))
+    return f"coalesce({', '.join([first, *(_retried(left, right, n) for n in RETRIES)])})"
+
+
 def difference(left: str, right: str) -> Column:
     """The digests that only one of two digest arrays (column names) has.
 
-    Sketches of both are subtracted and peeled; on failure larger ones are tried, at last the digests are compared as they are.
+    Sketches of both are subtracted and peeled; on failure others with more and larger tables and new hashes are tried. Should all
+    fail, which needs digests that share their cells in every one, the digests are compared as they are.
     """
-    tried = [_recovered(left, right, n) for n in SHARDS]
     exact = f"concat(array_except({left}, {right}), array_except({right}, {left}))"
-    return F.expr(f"coalesce({', '.join(tried)}, {exact})")
+    return F.expr(f"coalesce({sketched(left, right)}, {exact})")
 
 
-def likeness(left: str, right: str) -> Column:
-    """Jaccard similarity of two digest arrays, from their sizes and their recovered difference; 1 if both are empty."""
+def likeness(left: str, right: str, differing: str) -> Column:
+    """Jaccard similarity of two digest arrays, from their sizes and the number of differing digests; 1 if both are empty."""
     total = F.size(left) + F.size(right)
-    differing = F.size(difference(left, right))
-    return F.when(total == 0, F.lit(1.0)).otherwise((total - differing) / (total + differing))
+    return F.when(total == 0, F.lit(1.0)).otherwise((total - F.col(differing)) / (total + F.col(differing)))
 
 
 def fingerprint(found: str) -> Column:
@@ -104,7 +128,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     known = rows.filter(F.col("doc_id").isNotNull())
     order = ["doc_id", "_hash", "_tie"]
     tied = known.withColumns({"_hash": F.xxhash64("text"), "_tie": F.monotonically_increasing_id()})
-    placed = tied.repartitionByRange(*order).sortWithinPartitions(*order).drop("_hash", "_tie")
+    slices = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # many, as the window deals them by hash
+    placed = tied.repartitionByRange(slices, *order).sortWithinPartitions(*order).drop("_hash", "_tie")
     placed = placed.withColumn("_position", F.monotonically_increasing_id())
     slices = spool(placed.withColumn("_slice", F.shiftright("_position", POSITION_BITS)), "slices")
     firsts = slices.groupBy("_slice").agg(F.min("_position").alias("_first"))
@@ -129,7 +154,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, both fingerprints, near_edited and near_next of every row (doc_id, text; others ignored).
 
     A fingerprint is an invertible sketch of the distinct digests of a text's paragraphs; likeness is their
-    Jaccard similarity, found by subtracting sketches. Null texts are empty; repeated rows give one row each.
+    Jaccard similarity, found by subtracting sketches. A text below 200 code points, or of one line without . ! or ?, may be a
+    single piece, so that an edit anywhere makes its likeness 0. Null texts are empty; repeated rows give one row each.
     """
     rows = with_next(docs).select(
         "doc_id", "text", "following", edit(F.col("text"), F.col("following")).alias("edited"), F.expr(digests("text")).alias("own")
@@ -142,12 +168,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.expr(digests("edited")).alias("changed"),
         F.expr(digests("following")).alias("next"),
     )
+    # columns of their own, as an expression inside a condition is computed at every use
+    rows = rows.select(
+        "*", F.size(difference("own", "changed")).alias("from_changed"), F.size(difference("own", "next")).alias("from_next")
+    )
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         fingerprint("own").alias("fingerprint"),
         fingerprint("changed").alias("edited_fingerprint"),
-        likeness("own", "changed").alias("near_edited"),
-        likeness("own", "next").alias("near_next"),
+        likeness("own", "changed", "from_changed").alias("near_edited"),
+        likeness("own", "next", "from_next").alias("near_next"),
     )

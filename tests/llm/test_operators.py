@@ -292,3 +292,13 @@ def test_slices_of_near_ids_and_of_a_repeated_id_stay_small(spark, monkeypatch):
     first, last = min(r for r in rows if r[0] is not None)[1], max(r for r in rows if r[0] is not None)
     assert Counter(r.following for r in got) == Counter([t for d, t in rows if d is not None] + [""])
     assert [r.following for r in got if (r.doc_id, r.text) == last] == [first]
+
+
+def test_sketches_alone_recover_any_difference(spark):
+    rng = random.Random(9)
+    alike = [(i << 20) | 5 for i in range(1, 40)]  # equal in the bits 0-8 and 40-47
+    many = [rng.getrandbits(63) for _ in range(2000)]
+    rows = [(alike, []), (alike[:20], alike[10:]), (many[:1200], many[200:]), ([], []), (many[:300], many[:300])]
+    frame = spark.createDataFrame(rows, "l array<long>, r array<long>").select("*", F.expr(fingerprints.sketched("l", "r")).alias("d"))
+    for r in frame.collect():
+        assert r.d is not None and sorted(r.d) == sorted(set(r.l) ^ set(r.r))
