@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delaymill.llm import chat, decontaminate, fingerprints, language_id, line_dedup, mixing, ngram_join, quality, token_counts, warc
+from delaymill.llm import chat, decontaminate, divergence, fingerprints, language_id, line_dedup, mixing, ngram_join, quality, token_counts, warc
 from delaymill.llm.support import table
 from delaymill.session import scratch_path
 
@@ -104,8 +104,14 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents")).drop("text_hash")
 
 
+@query
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 ORACLES["op1_mixing"] = mixing.oracle()
 ORACLES["op1_mixing_copies"] = mixing.oracle(copies=True)
 ORACLES["op6_warc"] = warc.ORACLE
 ORACLES["op8_ngram_join"] = ngram_join.ORACLE
 ORACLES["op4_line_dedup"] = line_dedup.ORACLE
+ORACLES["op13_divergence"] = divergence.ORACLE
