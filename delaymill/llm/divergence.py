@@ -18,12 +18,11 @@ MIN_DOCUMENTS = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
 HELD_TERMS = 300_000  # counters of a task before it hands them on
-CHUNK = 8192  # term ids of a bitmap
-SPARSE = CHUNK // 16  # a level with fewer terms is kept as 16-bit offsets, which take less room than its bits
+CHUNK = 8192  # term ids of a bitmap; a multiple of 64, at most 2 ** 16
 BLOCK = 48  # sources compared with as many others in one task
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
+def term_counts(docs: DataFrame, held_terms: int = HELD_TERMS) -> DataFrame:
     """lang, source, term, n (occurrences) and documents (rows that hold it), stored.
 
     Tasks count whole texts first, so a word of every document costs one row per task and source.
@@ -38,7 +37,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                     occurrences, documents = held.setdefault((lang, source), (Counter(), Counter()))
                     occurrences.update(found)
                     documents.update(set(found))
-            if sum(len(n) for n, _ in held.values()) > HELD_TERMS:
+            if sum(len(n) for n, _ in held.values()) > held_terms:
                 yield from _rows(held)
                 held.clear()
         yield from _rows(held)
@@ -61,26 +60,26 @@ def _rows(held):
         yield pa.RecordBatch.from_pydict(columns)
 
 
-def level_bitmaps(entries: DataFrame) -> DataFrame:
+def level_bitmaps(entries: DataFrame, size: int = CHUNK) -> DataFrame:
     """lang, source, chunk, n and ``ids``: which term ids of the chunk occur n times in the source, stored.
 
-    ``ids`` is a bitset of ``CHUNK`` bits, or below ``SPARSE`` terms their sorted 16-bit offsets; the length tells which.
+    ``ids`` is a bitset of ``size`` bits, or where that is shorter the sorted 16-bit offsets; the length tells which.
     """
 
     def pack(batches):
         for batch in batches:
-            ids = [_packed(np.sort(np.array(o, np.uint16))) for o in batch.column(4).to_pylist()]
+            ids = [packed(np.sort(np.array(o, np.uint16)), size) for o in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, pa.binary())], ["lang", "source", "chunk", "n", "ids"])
 
-    chunk, offset = F.expr(f"term_id div {CHUNK}").alias("chunk"), F.expr(f"CAST(term_id % {CHUNK} AS INT)").alias("offset")
+    chunk, offset = F.expr(f"term_id div {size}").alias("chunk"), F.expr(f"CAST(term_id % {size} AS INT)").alias("offset")
     levels = entries.select("lang", "source", chunk, "n", offset).groupBy("lang", "source", "chunk", "n").agg(F.collect_list("offset").alias("offsets"))
     return spool(levels.mapInArrow(pack, "lang string, source string, chunk long, n long, ids binary"), "levels")
 
 
-def _packed(offsets: np.ndarray) -> bytes:
-    if len(offsets) < SPARSE:
+def packed(offsets: np.ndarray, size: int = CHUNK) -> bytes:
+    if 2 * len(offsets) < size // 8:
         return offsets.tobytes()
-    bits = np.zeros(CHUNK, np.uint8)
+    bits = np.zeros(size, np.uint8)
     bits[offsets] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -88,14 +87,14 @@ def _packed(offsets: np.ndarray) -> bytes:
 class Levels:
     """The levels of one source in one chunk of terms: its counts, ascending, and the terms of each."""
 
-    def __init__(self, total: int, terms: int, levels: list[tuple[int, bytes]]) -> None:
+    def __init__(self, total: int, terms: int, levels: list[tuple[int, bytes]], size: int = CHUNK) -> None:
         levels = sorted(levels)
         self.rates = np.array([rate(n, total, terms) for n, _ in levels], np.int64)
         self.absent = rate(0, total, terms)
-        dense = [i for i, (_, ids) in enumerate(levels) if len(ids) == CHUNK // 8]
+        dense = [i for i, (_, ids) in enumerate(levels) if len(ids) == size // 8]
         self.dense = np.array(dense, np.int64)
-        self.bits = np.array([np.frombuffer(levels[i][1], np.uint64) for i in dense], np.uint64).reshape(len(dense), CHUNK // 64)
-        sparse = [(i, np.frombuffer(ids, np.uint16)) for i, (_, ids) in enumerate(levels) if len(ids) != CHUNK // 8]
+        self.bits = np.array([np.frombuffer(levels[i][1], np.uint64) for i in dense], np.uint64).reshape(len(dense), size // 64)
+        sparse = [(i, np.frombuffer(ids, np.uint16)) for i, (_, ids) in enumerate(levels) if len(ids) != size // 8]
         found = np.concatenate([ids for _, ids in sparse]) if sparse else np.empty(0, np.uint16)
         owner = np.repeat(np.array([i for i, _ in sparse], np.int64), [len(ids) for _, ids in sparse])
         order = np.argsort(found, kind="stable")
@@ -145,7 +144,7 @@ def pair_value(a: Levels, b: Levels, cells, terms: int) -> int:
     return total + neither * divergence(a.absent, b.absent)
 
 
-def _compare(table: pa.Table) -> pa.Table:
+def _compare(table: pa.Table, size: int) -> pa.Table:
     """All pairs of one unit: the sources of two blocks over one chunk of terms of a language."""
     names = table.column_names
     columns = dict(zip(names, (c.to_pylist() for c in table.columns), strict=True))
@@ -157,35 +156,37 @@ def _compare(table: pa.Table) -> pa.Table:
         else:
             levels[row["source"]].append((row["n"], row["ids"]))
     lang, chunk, left, right = (columns[n][0] for n in ("lang", "chunk", "a", "b"))
-    sources = {s: Levels(total, terms, levels[s]) for s, (_, total, terms) in facts.items()}
-    size = min(CHUNK, next(iter(facts.values()))[2] - chunk * CHUNK)
+    sources = {s: Levels(total, terms, levels[s], size) for s, (_, total, terms) in facts.items()}
+    present = min(size, next(iter(facts.values()))[2] - chunk * size)
     rows = []
     for s, x in sources.items():
         for t, y in sources.items():
             if facts[s][0] == left and facts[t][0] == right and (left != right or s < t):
                 cells = joint_cells(x, y)
-                rows.append((lang, s, t, pair_value(x, y, cells, size)))
-                rows.append((lang, t, s, pair_value(y, x, (cells[1], cells[0], cells[2]), size)))
+                rows.append((lang, s, t, pair_value(x, y, cells, present)))
+                rows.append((lang, t, s, pair_value(y, x, (cells[1], cells[0], cells[2]), present)))
     names = ["lang", "source", "item", "value"]
     values = list(zip(*rows, strict=True)) or [[]] * 4
     return pa.table({k: pa.array(v, pa.int64() if k == "value" else pa.string()) for k, v in zip(names, values, strict=True)})
 
 
-def pair_values(levels: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_values(levels: DataFrame, groups: DataFrame, size: int = CHUNK) -> DataFrame:
     """lang, source, item (each other source) and value, from stored bitmaps.
 
     A unit is a chunk of terms and two blocks of sources, so tasks stay small however large the vocabulary or the number of sources.
     Every source is in every chunk, by a level 0 that carries its totals.
     """
     header = groups.filter("terms > 0").select(
-        "lang", "source", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(terms - 1) div {CHUNK}"))).alias("chunk"), F.lit(0).cast("long").alias("n")
+        "lang", "source", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(terms - 1) div {size}"))).alias("chunk"), F.lit(0).cast("long").alias("n")
     )
     rows = levels.unionByName(header, allowMissingColumns=True).join(groups, ["lang", "source"])
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = rows.withColumn("other", other).select(
         "lang", "source", "chunk", "n", "ids", "block", "total", "terms", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")
     )
-    parts = dealt.groupBy("lang", "chunk", "a", "b").applyInArrow(_compare, "lang string, source string, item string, value long")
+    parts = dealt.groupBy("lang", "chunk", "a", "b").applyInArrow(
+        lambda table: _compare(table, size), "lang string, source string, item string, value long"
+    )
     sums = parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     others = groups.select("lang", F.col("source").alias("item"))
     pairs = groups.select("lang", "source").join(others, "lang").filter("source <> item")  # every pair is a row of the result
@@ -202,7 +203,9 @@ def term_values(entries: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.filter("p > q").select("lang", "source", "item", F.expr("(p - q) * (p - q) div q").alias("value"))
 
 
-def audit(docs: DataFrame, top_terms: int = TOP_TERMS) -> DataFrame:
+def audit(
+    docs: DataFrame, top_terms: int = TOP_TERMS, chunk: int = CHUNK, block: int = BLOCK, held_terms: int = HELD_TERMS
+) -> DataFrame:
     """lang, source, part, item, value, rank: how far sources of a language lie apart, and by which terms from the language.
 
     Part ``pair`` has every other source of the language, part ``term`` the first ``top_terms`` terms of each source. Null texts,
@@ -211,7 +214,7 @@ def audit(docs: DataFrame, top_terms: int = TOP_TERMS) -> DataFrame:
     are 0; an empty table gives no rows.
     """
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counts = term_counts(docs)
+    counts = term_counts(docs, held_terms)
     kept = counts.groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sum("n").alias("lang_n")).filter(F.col("documents") >= MIN_DOCUMENTS)
     numbered = rank_rows(kept.select("lang", "term", "lang_n"), ["lang"], [F.col("term").asc()], "number")
     vocabulary = spool(numbered.select("lang", "term", "lang_n", (F.col("number") - 1).alias("term_id")), "vocabulary")
@@ -220,9 +223,9 @@ def audit(docs: DataFrame, top_terms: int = TOP_TERMS) -> DataFrame:
     langs = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
     found = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0)
     placed = rank_rows(found, ["lang"], [F.col("source").asc()], "place")
-    blocks = placed.groupBy("lang").agg(F.expr(f"(max(place) - 1) div {BLOCK} + 1").alias("blocks"))
-    groups = spool(placed.withColumn("block", F.expr(f"(place - 1) div {BLOCK}")).drop("place").join(blocks, "lang"), "groups")
-    pairs = pair_values(level_bitmaps(entries), groups).withColumn("part", F.lit("pair"))
+    blocks = placed.groupBy("lang").agg(F.expr(f"(max(place) - 1) div {block} + 1").alias("blocks"))
+    groups = spool(placed.withColumn("block", F.expr(f"(place - 1) div {block}")).drop("place").join(blocks, "lang"), "groups")
+    pairs = pair_values(level_bitmaps(entries, chunk), groups, chunk).withColumn("part", F.lit("pair"))
     terms = term_values(entries, groups).withColumn("part", F.lit("term"))
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item").asc())
     ranked = pairs.withColumn("rank", F.row_number().over(order)).unionByName(

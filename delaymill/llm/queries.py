@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delaymill.llm import chat, decontaminate, divergence, fingerprints, language_id, line_dedup, mixing, ngram_join, quality, token_counts, warc
+from delaymill.llm import chat, decontaminate, divergence, fingerprints, language_id, line_dedup, manifest, mixing, ngram_join, quality, sharding, token_counts, warc
 from delaymill.llm.support import table
 from delaymill.session import scratch_path
 
@@ -104,6 +104,29 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents")).drop("text_hash")
 
 
+@query
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    text = F.when(chosen, lowered).otherwise(F.col("text"))
+    docs = table(spark, folder, "documents")
+    leaves = docs.select("doc_id", "lang", manifest.leaf().alias("leaf"), manifest.leaf(text=text).alias("tampered"))
+    siblings = F.array_join(F.transform("path", lambda step: F.concat(step["left"], step["right"])), "")
+    proved = manifest.proofs(leaves, ("tampered",)).select("*", manifest.fold(F.col("tampered"), F.col("path")).alias("folded_root"))
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root", manifest.digest(siblings).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.assign(table(spark, folder, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @query
 def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
@@ -115,3 +138,4 @@ ORACLES["op6_warc"] = warc.ORACLE
 ORACLES["op8_ngram_join"] = ngram_join.ORACLE
 ORACLES["op4_line_dedup"] = line_dedup.ORACLE
 ORACLES["op13_divergence"] = divergence.ORACLE
+ORACLES["op11_manifest"] = manifest.ORACLE
