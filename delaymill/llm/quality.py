@@ -162,10 +162,10 @@ class RuleModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
-    """Learn from about ``sample`` labelled documents, chosen by a hash of the id.
+    """Learn from about ``sample`` labelled documents, chosen by a hash of the id; of rows that share an id one is learnt from.
 
     ``labels`` has doc_id and quality (0, 1; null and repeated labels are ignored, of contradictory ones the smaller holds). With no
-    label of one kind the score is the share of label 1 (one half without labels).
+    label of one kind, or with texts that no tree can tell apart, the score is the share of label 1 (one half without labels).
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("quality").cast("double").alias("label"))
@@ -173,19 +173,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel
     chosen = known.filter(unit_hash(F.col("doc_id"), F.lit("quality")) < F.lit(sample / max(1, size)))
     picked = chosen.select(F.col("doc_id").alias("_label_id"), "label")
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_label_id"))
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     vector = array_to_vector(F.array(*[F.col(f"_statistics.{s}") for s in STATISTICS]))
     stored = spool(
         with_statistics(rows.select("doc_id", "text", "label")).select("doc_id", "label", "_statistics"), "quality"
     )
     shares = {r.label: r.n for r in stored.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(shares) < 2:
-        share = 0.5 if not shares else max(0.01, min(0.99, float(next(iter(shares)))))
-        return RuleModel(math.log(share / (1 - share)), ())
+        return _constant(0.5 if not shares else float(next(iter(shares))))
     training = stored.select("label", vector.alias("features"), "_statistics").coalesce(4)
     forest = RandomForestClassifier(
         labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=17, featureSubsetStrategy="onethird", maxBins=64
     ).fit(training)
     rules = tree_rules(forest)
+    if not rules:
+        return _constant(shares[1.0] / sum(shares.values()))
     held = array_to_vector(F.array(*[rule_column(r).cast("double") for r in rules]))
     lasso = LogisticRegression(
         labelCol="label", featuresCol="rules", elasticNetParam=1.0, regParam=PENALTY, maxIter=40, standardization=False
@@ -194,6 +196,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel
     return RuleModel(float(lasso.intercept), tuple(weights))
 
 
+def _constant(share: float) -> RuleModel:
+    share = max(0.01, min(0.99, share))
+    return RuleModel(math.log(share / (1 - share)), ())
+
+
 @shielded("_statistics", "_score")
 def score(docs: DataFrame, model: RuleModel) -> DataFrame:
     """All columns of ``docs`` and ``_score``, the probability that its text has label 1."""
