@@ -89,13 +89,14 @@ class LanguageModel:
 
 
 def _sample(rows: DataFrame, per_language: int) -> DataFrame:
-    """About ``per_language`` rows of each language, chosen by a hash of the id."""
+    """About ``per_language`` ids of each language, chosen by their hash, with one text each (the least of those that share the id)."""
     sizes = rows.groupBy("lang").count()
     shares = sizes.select(F.col("lang").alias("_lang"), (F.lit(float(per_language)) / F.col("count")).alias("_share"))
     ids = rows.select("doc_id", "lang").join(shares, F.col("lang") == F.col("_lang"))
     ids = ids.filter(unit_hash(F.col("doc_id")) < F.col("_share")).select(F.col("doc_id").alias("_id")).distinct()
     # stored, so that the planner knows how few they are and leaves the texts where they lie
-    return rows.join(spool(ids, "sampled"), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "lang", "text")
+    chosen = rows.join(spool(ids, "sampled"), F.col("doc_id") == F.col("_id"), "left_semi")
+    return chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
 def train(rows: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> LanguageModel | None:
@@ -111,7 +112,7 @@ def train(rows: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
             keep = [i for i, g in enumerate(found) if len(g)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([batch.column(0)[i].as_py() for i in keep], pa.int64()),
+                    batch.column(0).take(pa.array(keep, pa.int64())),
                     pa.array([batch.column(1)[i].as_py() for i in keep], pa.string()),
                     pa.array([found[i] for i in keep], pa.list_(pa.int64())),
                 ],
@@ -119,8 +120,10 @@ def train(rows: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
             )
 
     known = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    sampled = _sample(known, per_language).mapInArrow(spectra, "doc_id long, lang string, grams array<long>")
+    known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    sampled = _sample(known, per_language).mapInArrow(
+        spectra, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, grams array<long>"
+    )
     stored = spool(sampled, "spectra")
     languages = sorted(r.lang for r in stored.select("lang").distinct().collect())
     if not languages:
