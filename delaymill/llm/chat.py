@@ -9,7 +9,7 @@ from delaymill.operators.ranking import running_totals
 
 BUDGET = 2048
 HISTORY = 512
-LEAST_NEW = 256  # tokens left for new turns behind a long system turn
+LEAST_PART = 8  # of the budget an eighth at least is for new turns, as far as the system turn leaves it
 TURN_TOKENS = 4  # of the template around a turn
 START, END = "<|im_start|>", "<|im_end|>\n"
 TARGET = "assistant"
@@ -43,12 +43,12 @@ def unescape_role(role: Column) -> Column:
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=count_tokens) -> DataFrame:
-    """conv_id, window, n_repeated, formatted, loss (array of start, end) and n_tokens of every window.
+    """conv_id, window, n_repeated, n_tokens, formatted and loss (array of start, end) of every window.
 
-    Prefix sums of the turns' tokens place the turns: the tokens behind the system turn and the history are cut
-    into stretches, a turn inside a stretch joins the window of that stretch, and a turn that crosses an end is a window of
-    its own, so no window exceeds ``budget`` unless one turn, or the system turn, does. Each window begins with the
-    conversation's leading system turn and the whole turns that fit into ``history`` tokens before it.
+    Prefix sums of the turns' tokens place the turns: the tokens are cut into stretches of what system turn and history leave of the
+    budget, a turn inside a stretch joins the window of that stretch, and a turn that crosses an end is a window of its own. Each window
+    begins with the conversation's leading system turn and the whole turns that fit into ``history`` tokens before it, or into what a
+    turn of its own leaves of the budget. So no window exceeds ``budget`` unless one turn and the system turn do.
     Every turn is new in one window only; the loss spans hold the (escaped) texts of new assistant turns.
     Prefix sums are made over slices of a conversation and only a stretch is ever gathered, so a
     very long conversation spreads over tasks. Null roles and texts are empty, rows of one turn number are ordered by
@@ -63,31 +63,39 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, toke
         F.col("conv_id").alias("_conv"), F.struct("role", "text", "tokens").alias("system")
     )
     placed = placed.join(system, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
-    room = F.lit(budget - history) - F.coalesce("system.tokens", F.lit(0))
-    placed = placed.withColumn("stretch", F.greatest(room, F.lit(max(LEAST_NEW, history))).cast("long"))
+    room = F.greatest(F.lit(budget) - F.coalesce("system.tokens", F.lit(0)), F.lit(0)).cast("long")
+    kept = F.greatest(F.least(F.lit(history), F.col("room") - budget // LEAST_PART), F.lit(0)).cast("long")
+    placed = placed.withColumn("room", room).withColumn("history", kept)
+    placed = placed.withColumn("stretch", F.greatest(F.col("room") - F.col("history"), F.lit(1)).cast("long"))
     first, last = (F.floor(F.col(c) / F.col("stretch")) for c in ("start", "final"))
     placed = placed.withColumn("final", F.col("end") - 1).select(
-        "conv_id", "system", first.alias("own"), (first != last).alias("alone"), "start", "end", "role", "text", "stretch"
+        "conv_id", "system", "room", "history", first.alias("own"), (first != last).alias("alone"), "start", "end", "role", "text", "stretch"
     )
-    behind = (F.floor((F.col("start") + n) / F.col("stretch")) for n in (1, history))
+    behind = (F.floor((F.col("start") + n) / F.col("stretch")) for n in (F.lit(1), F.greatest("history", F.lit(1))))
     seen_from = F.array_distinct(F.concat(F.array("own"), F.sequence(*behind)))
     turn = F.struct("start", "end", "role", "text", "alone")
-    dealt = placed.select("conv_id", "system", turn.alias("turn"), "own", F.explode(seen_from).alias("at"))
+    dealt = placed.select("conv_id", "system", "room", "history", turn.alias("turn"), "own", F.explode(seen_from).alias("at"))
     is_system = F.col("system").isNotNull() & (F.col("turn.start") == 0)
     gathered = dealt.groupBy("conv_id", "at").agg(
         F.first("system").alias("system"),
+        F.first("room").alias("room"),
+        F.first("history").alias("history"),
         F.sort_array(F.collect_list(F.when(F.col("own") == F.col("at"), F.col("turn")))).alias("new"),
         F.sort_array(F.collect_list(F.when(~is_system, F.col("turn")))).alias("past"),
     )
     split = F.array(F.filter("new", lambda t: ~t["alone"]), F.filter("new", lambda t: t["alone"]))
-    each = gathered.select("conv_id", "system", "past", F.explode(F.filter(split, lambda w: F.size(w) > 0)).alias("new"))
-    each = each.withColumn("window", F.col("new")[0]["start"])
-    fits = lambda t: (t["end"] <= F.col("window")) & (t["start"] >= F.col("window") - history)
+    each = gathered.select("conv_id", "system", "room", "history", "past", F.explode(F.filter(split, lambda w: F.size(w) > 0)).alias("new"))
+    each = each.withColumn("window", F.col("new")[0]["start"]).withColumn("taken", _tokens("new"))
+    back = F.least("history", F.col("room") - F.col("taken"))
+    fits = lambda t: (t["end"] <= F.col("window")) & (t["start"] >= F.col("window") - back)
     plain = lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
+    each = each.withColumn("past", F.filter("past", fits))
+    again = F.when(F.col("window") > 0, F.coalesce("system.tokens", F.lit(0))).otherwise(0)
+    each = each.withColumn("n_tokens", (F.col("taken") + _tokens("past") + again).cast("long"))
     lead = F.when(F.col("system").isNotNull() & (F.col("window") > 0), F.array(plain(F.col("system"))))
     lead = F.coalesce(lead, F.array().cast("array<struct<role:string,text:string>>"))
     each = each.select(
-        "conv_id", "window", F.concat(lead, F.transform(F.filter("past", fits), plain)).alias("old"), F.transform("new", plain).alias("new")
+        "conv_id", "window", "n_tokens", F.concat(lead, F.transform("past", plain)).alias("old"), F.transform("new", plain).alias("new")
     )
     shown = lambda t: F.struct(
         F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("head"),
@@ -95,10 +103,14 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, toke
         (t["role"] == TARGET).alias("target"),
     )
     each = each.select(
-        "conv_id", "window", F.size("old").alias("n_repeated"), F.transform(F.concat("old", "new"), shown).alias("parts")
+        "conv_id", "window", "n_tokens", F.size("old").alias("n_repeated"), F.transform(F.concat("old", "new"), shown).alias("parts")
     )
     whole = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    return each.select("conv_id", "window", "n_repeated", whole.alias("formatted"), _spans().alias("loss"))
+    return each.select("conv_id", "window", "n_repeated", "n_tokens", whole.alias("formatted"), _spans().alias("loss"))
+
+
+def _tokens(turns: str) -> Column:
+    return F.aggregate(turns, F.lit(0).cast("long"), lambda a, t: a + t["end"] - t["start"])
 
 
 def _spans() -> Column:
