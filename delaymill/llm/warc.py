@@ -19,6 +19,7 @@ NAMESPACE = 0x6B1F52A07C3D4E81  # the upper half of every record id; the lower h
 DATE = "2024-01-01T00:00:00Z"
 GAP = 64 << 10  # bytes between two wanted records that are read along rather than skipped
 SPAN = 8 << 20  # of an archive, read by one task in few reads
+TASK_BYTES = 128 << 20  # of archives, for one task; fewer while there are stretches for more
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = (
     "page_id long, url string, file string, offset long, length long, digest string, record_type string"
@@ -87,7 +88,10 @@ def _store(folder: str):
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
-    """Write a record per row of ``pages`` (page_id, url, html) below ``folder`` and return the stored index.
+    """Write a record per row of ``pages`` (page_id, url, html; others ignored) below ``folder`` and return the stored index.
+
+    A null html is an empty payload, rows without id share a record id, repeated rows give a record each; of rows that share the smallest page_id all are
+    responses. An empty table gives an empty index and no archive.
 
     Of pages with equal payloads of at least ``least_bytes`` bytes, those with the smallest page_id are
     responses and the others revisit it; shorter payloads, and payloads that only rows without id have, are
@@ -148,11 +152,19 @@ def ranges(places: list[tuple[int, int]], gap: int = GAP) -> list[tuple[int, int
     return out
 
 
+def reading_tasks(index: DataFrame) -> int:
+    """How many tasks read the records of ``index``: by their bytes, and while they are few, by their stretches."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-total // TASK_BYTES), min(-(-total // SPAN), 2 * cores))
+
+
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """page_id, url, payload (null in revisits), payload_bytes, payload_digest, record_type, refers_to of indexed records.
 
     ``index`` may be any selection of index rows. Its places are grouped by archive and stretch, sorted, and each
-    group is read in few ranges; everything but the place comes from the archive.
+    group is read in few ranges; everything but the place comes from the archive. The tasks are as many as the bytes that
+    the selected records take up ask for, however short their index is. Repeated index rows give a record each, an empty index none.
     """
 
     def read(batches):
@@ -169,7 +181,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
     stretch = F.floor(F.col("offset") / SPAN)
     placed = index.select("file", "offset", "length", stretch.alias("stretch"))
-    placed = placed.repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    placed = placed.repartition(reading_tasks(index), "file", "stretch").sortWithinPartitions("file", "offset")
     return placed.mapInArrow(
         read,
         "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long",
