@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from delaymill.operators.ranking import running_totals
 from delaymill.session import spool
 
 PIECE = r"[^\n]{200}[^\n.!?]*+[.!?]*+|[^\n]+"  # a paragraph; longer ones end with a sentence after 200 code points
@@ -12,7 +15,8 @@ TABLES, SLOTS = 3, 8  # each digest falls into one slot of each table
 ROUNDS = 12  # of peeling all pure cells at once
 RETRIES = (16, 64, 256, 1024)  # slots of each table in the tries after the first; each hashes the digests anew
 SHARE = 8  # mean digests of a shard in a retry; digests are dealt to shards by their hash
-POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
+SLICES = 4  # of texts, for each shuffle partition
+ROWS_OF_A_REPEAT = 32  # at least, of equal rows that fill several slices
 
 _NOTHING = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
 
@@ -117,31 +121,74 @@ def fingerprint(found: str) -> Column:
     return F.expr(f"concat_ws('-', {shown})")
 
 
+def _borders(rows: DataFrame, slices: int) -> list[tuple[int, int, int, int]]:
+    """Where slices of near equal bytes begin: doc_id, hash of the text, number of the slice, and how many slices begin with that key.
+
+    Only ids, hashes and sizes are sorted. A key of many equal rows that fill several slices begins as many.
+    """
+    keys = rows.groupBy("doc_id", "_digest").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text") + 1).alias("bytes"))
+    placed = spool(running_totals(keys, [], [F.col("doc_id").asc(), F.col("_digest").asc()], {"bytes": "end"}), "keys")
+    target = -(-(placed.agg(F.max("end")).first()[0] or 0) // slices) or 1
+    repeats = F.greatest(F.lit(1), F.least(F.expr(f"(bytes + {target - 1}) div {target}"), F.expr(f"n div {ROWS_OF_A_REPEAT}"))).alias("repeats")
+    keyed = placed.select(F.struct("doc_id", "_digest", repeats).alias("key"), F.expr(f"(end - bytes) div {target}").alias("at"))
+    # at most one key for each slice, and one more after a key that ends inside the next slice
+    found = keyed.groupBy("at").agg(F.min("key").alias("key")).orderBy("at").collect()
+    borders, number = [], 0
+    for row in found:
+        borders.append((row.key.doc_id, row.key._digest, number, row.key.repeats))
+        number += row.key.repeats
+    return borders
+
+
+def _border_of(borders: list[tuple[int, int, int, int]]) -> Column:
+    """The last border up to the row's key (doc_id, _digest), by bisection over a constant."""
+    constant = F.from_json(F.lit(json.dumps([dict(zip("dhsm", b)) for b in borders])), "array<struct<d:bigint,h:bigint,s:bigint,m:bigint>>")
+    whole = F.struct(F.lit(0).alias("low"), F.lit(len(borders) - 1).alias("high"))
+
+    def halve(span, _):
+        middle = F.floor((span["low"] + span["high"] + 1) / 2).cast("int")
+        there = F.get(constant, middle)
+        behind = (there["d"] > F.col("doc_id")) | ((there["d"] == F.col("doc_id")) & (there["h"] > F.col("_digest")))
+        return F.when(behind, F.struct(span["low"].alias("low"), (middle - 1).alias("high"))).otherwise(
+            F.struct(middle.alias("low"), span["high"].alias("high"))
+        )
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(borders).bit_length())))
+    return F.get(constant, F.aggregate(steps, whole, halve, lambda span: span["low"]))
+
+
+def sliced(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with an id (doc_id, text, _digest, _slice), and for each slice but the last the first text of the one after it; the last has that of the first."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.filter(F.col("doc_id").isNotNull()).withColumn("_digest", F.xxhash64("text"))
+    borders = _borders(rows, SLICES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not borders:
+        return rows.withColumn("_slice", F.lit(0).cast("long")), rows.select("text", F.lit(0).cast("long").alias("_slice"))
+    dealt = rows.withColumn("_border", _border_of(borders))
+    begins = (F.col("_border.d") == F.col("doc_id")) & (F.col("_border.h") == F.col("_digest"))
+    number = F.when(begins, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_border.m"))).otherwise(F.col("_border.m") - 1)
+    firsts = dealt.filter(begins).groupBy(F.col("_border.s").alias("_slice"), F.col("_border.m").alias("m")).agg(F.min("text").alias("text"))
+    firsts = spool(firsts, "firsts")  # at most one text a slice
+    total = borders[-1][2] + borders[-1][3]
+    each = firsts.select("text", F.explode(F.sequence("_slice", F.col("_slice") + F.col("m") - 1)).alias("_slice"))
+    return dealt.withColumn("_slice", F.col("_border.s") + number).drop("_border"), each.withColumn("_slice", F.pmod(F.col("_slice") - 1, F.lit(total)))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text (null as empty) and ``following``, the text of the next document by ascending id, after the last the first.
 
-    Rows are range-partitioned by id, hash of the text and place, and the sorted slices written once, so that neither
-    near ids nor a repeated one make a slice large. Each slice also gets a copy of the first row of the slice after it, the last one
-    of the first. Rows of one id follow each other by the hash of their text; rows with a null id are followed by an empty text.
+    Slices of near equal bytes are fixed on ids and hashes of texts alone; then every text is dealt to its slice in one shuffle and ordered
+    there, next to the first text of the slice after it. Neither near ids nor a repeated one make a slice large: rows of one id follow each other
+    by the hash of their text, and equal rows, which need no order, are dealt to several slices if they fill them. Rows with a null id
+    are followed by an empty text.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    known = rows.filter(F.col("doc_id").isNotNull())
-    order = ["doc_id", "_hash", "_tie"]
-    tied = known.withColumns({"_hash": F.xxhash64("text"), "_tie": F.monotonically_increasing_id()})
-    slices = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # many, as the window deals them by hash
-    placed = tied.repartitionByRange(slices, *order).sortWithinPartitions(*order).drop("_hash", "_tie")
-    placed = placed.withColumn("_position", F.monotonically_increasing_id())
-    slices = spool(placed.withColumn("_slice", F.shiftright("_position", POSITION_BITS)), "slices")
-    firsts = slices.groupBy("_slice").agg(F.min("_position").alias("_first"))
-    by_slice = Window.orderBy("_slice")  # one short row per slice
-    before = F.coalesce(F.lag("_slice").over(by_slice), F.max("_slice").over(Window.partitionBy()))
-    guards = spool(firsts.select(F.col("_first").alias("_position"), before.alias("_before")), "guards")
-    copies = slices.join(F.broadcast(guards), "_position").select("text", F.col("_before").alias("_slice"), F.lit(1).alias("_copy"))
-    own = slices.select("doc_id", "text", "_slice", "_position", F.lit(0).alias("_copy"))
-    following = F.lead("text").over(Window.partitionBy("_slice").orderBy("_copy", "_position"))
-    linked = own.unionByName(copies, allowMissingColumns=True).withColumn("following", following).filter("_copy = 0")
-    linked = linked.select("doc_id", "text", "following")
-    return linked.unionByName(rows.filter(F.col("doc_id").isNull()).withColumn("following", F.lit("")))
+    rows, guards = sliced(docs)
+    guards = guards.select("text", "_slice", F.lit(1).alias("_copy"))
+    order = Window.partitionBy("_slice").orderBy("_copy", "doc_id", "_digest")
+    all_rows = rows.withColumn("_copy", F.lit(0)).unionByName(guards, allowMissingColumns=True)
+    linked = all_rows.withColumn("following", F.lead("text").over(order)).filter("_copy = 0").select("doc_id", "text", "following")
+    alone = docs.filter(F.col("doc_id").isNull())
+    return linked.unionByName(alone.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("following")))
 
 
 def edit(text: Column, following: Column) -> Column:

@@ -270,28 +270,21 @@ def test_a_block_holds_a_repeated_test_once(spark, monkeypatch):
     assert decontaminate.remove_contaminated(docs, bench).count() == 0
 
 
-def test_slices_of_near_ids_and_of_a_repeated_id_stay_small(spark, monkeypatch):
-    written = {}
-
-    def watched(df, name, run=fingerprints.spool):
-        written[name] = run(df, name)
-        return written[name]
-
-    monkeypatch.setattr(fingerprints, "spool", watched)
+def test_slices_of_near_ids_and_of_a_repeated_id_stay_small(spark):
     rng = random.Random(8)
     ids = [*range(3000), *(rng.getrandbits(62) for _ in range(50)), *[7] * 1500]
-    rows = [(d, f"text {i % 4000}") for i, d in enumerate(ids)] + [(None, "none")]
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-        sizes = [r["count"] for r in written["slices"].groupBy("_slice").count().collect()]
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert max(sizes) < 2 * len(rows) / 4
+    rows = [(d, f"text {i % 4000}") for i, d in enumerate(ids)] + [(-5, "same")] * 1500 + [(None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprints.with_next(docs).collect()
+    sliced, guards = fingerprints.sliced(docs)
+    sizes = [r["count"] for r in sliced.groupBy("_slice").count().collect()]
+    assert max(sizes) < 2 * len(rows) / 4 and guards.count() <= 2 + fingerprints.SLICES * 4
     assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
-    first, last = min(r for r in rows if r[0] is not None)[1], max(r for r in rows if r[0] is not None)
-    assert Counter(r.following for r in got) == Counter([t for d, t in rows if d is not None] + [""])
+    known = [r for r in rows if r[0] is not None]
+    first, last = min(known)[1], max(known)
+    assert Counter(r.following for r in got) == Counter([t for d, t in known] + [""])
     assert [r.following for r in got if (r.doc_id, r.text) == last] == [first]
+    assert sum(r.following == "same" for r in got if r.doc_id == -5) == 1499
 
 
 def test_sketches_alone_recover_any_difference(spark):
