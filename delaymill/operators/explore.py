@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from delaymill.operators.order_statistics import quantiles
+
 
 def null_profile(df: DataFrame) -> DataFrame:
     """Missing values per column, in one pass."""
@@ -13,9 +15,10 @@ def null_profile(df: DataFrame) -> DataFrame:
     return counts.unpivot([], [F.col(f"`{c}`") for c in df.columns], "column_name", "null_count")
 
 
-def describe_numbers(df: DataFrame, quartiles: bool = True) -> DataFrame:
-    """Count, mean, deviation, extremes and (approximate) quartiles of every numeric column."""
+def describe_numbers(df: DataFrame) -> DataFrame:
+    """Count, mean, deviation, extremes and exact quartiles of every numeric column."""
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    quartiles = quantiles(df, numeric, [0.25, 0.5, 0.75])
 
     def entry(name: str) -> Column:
         c = F.col(f"`{name}`").cast("double")
@@ -26,8 +29,8 @@ def describe_numbers(df: DataFrame, quartiles: bool = True) -> DataFrame:
             "lowest": F.min(c),
             "highest": F.max(c),
         }
-        if quartiles:
-            values["quartiles"] = F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)
+        for label, value in zip(("lower_quartile", "median", "upper_quartile"), quartiles[name], strict=True):
+            values[label] = F.lit(value).cast("double")
         return F.struct(F.lit(name).alias("column_name"), *[v.alias(k) for k, v in values.items()])
 
     return df.agg(F.array(*[entry(name) for name in numeric]).alias("entries")).select(F.inline("entries"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from delaymill.operators import explore
 from delaymill.session import scratch_path
 from delaymill.sources import exercise
-from registry.common import feed, printed, query, stops_cte, with_ctes
+from registry.common import FULL_BRONZE, feed, printed, query, stops_cte, with_ctes
 
 # ---- sources -------------------------------------------------------------------------------------
 
@@ -107,21 +107,25 @@ def calendar(spark, folder):
 
 # ---- profiling and cleaning ----------------------------------------------------------------------
 
-_NULLABLE = ["line_number", "arrival_planned_time", "departure_planned_time", "train_type", "eva"]
+_FEED = (
+    "station_name", "xml_station_name", "eva", "train_number", "line_number", "final_destination_station", "delay_in_min", "time",
+    "is_canceled", "train_type", "train_line_ride_id", "train_line_station_num", "arrival_planned_time", "arrival_change_time",
+    "departure_planned_time", "departure_change_time", "id", "source_file", "loaded_at_utc",
+)
 
 
 @query(
     "null_profile",
     with_ctes(
         stops_cte(),
+        FULL_BRONZE,
         final=" UNION ALL ".join(
-            f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM stops"
-            for c in _NULLABLE
+            f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count FROM bronze" for c in _FEED
         ),
     ),
 )
 def null_profile(spark, folder):
-    return explore.null_profile(feed(spark, folder).select(*_NULLABLE))
+    return explore.null_profile(feed(spark, folder))
 
 
 _NUMBERS = (
@@ -131,21 +135,23 @@ _NUMBERS = (
 
 def _described(c: str) -> str:
     return f"""SELECT '{c}' AS column_name, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS deviation,
-    CAST(min({c}) AS DOUBLE) AS lowest, CAST(max({c}) AS DOUBLE) AS highest FROM lineitem"""
+    CAST(min({c}) AS DOUBLE) AS lowest, CAST(max({c}) AS DOUBLE) AS highest,
+    quantile_cont(CAST({c} AS DOUBLE), 0.25) AS lower_quartile, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median,
+    quantile_cont(CAST({c} AS DOUBLE), 0.75) AS upper_quartile FROM lineitem"""
 
 
 @query(
     "describe_numbers",
     printed(
         " UNION ALL ".join(_described(c) for c in _NUMBERS),
-        doubles="mean deviation lowest highest",
+        doubles="mean deviation lowest highest lower_quartile median upper_quartile",
         digits=4,
     ),
 )
 def describe_numbers(spark, folder):
     items = spark.read.parquet(f"{folder}/lineitem.parquet")
-    described = explore.describe_numbers(items, quartiles=False)
-    doubles = ["mean", "deviation", "lowest", "highest"]
+    described = explore.describe_numbers(items)
+    doubles = ["mean", "deviation", "lowest", "highest", "lower_quartile", "median", "upper_quartile"]
     return described.withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in doubles})
 
 
