@@ -39,6 +39,9 @@ SCORE_FIRST = "ml_first"
 GREEDY = "constrained_greedy"
 EXACT = "exact_soft_station_penalty"
 
+# Solver statuses.
+SOLVED, STOPPED, DIRECT = "OPTIMAL", "TIME_LIMIT_WITH_INCUMBENT", "deterministic"
+
 SPLIT_OF_MODE = {"development": "validation", "final": "test"}
 
 
@@ -96,6 +99,7 @@ class SearchConfig:
     diagnostic_station_excess_penalty_lambda: float = 0.0
     eligible_frozen_station_excess_penalty_lambdas: tuple[float, ...] = (0.05, 0.1, 0.2)
     random_seed: int = 17
+    solver_step_limit: int | None = None
     development_allowed_solver_statuses: tuple[str, ...] = ("OPTIMAL", "TIME_LIMIT_WITH_INCUMBENT")
     final_allowed_solver_statuses: tuple[str, ...] = ("OPTIMAL", "TIME_LIMIT_WITH_INCUMBENT")
 

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from delaymill.config import GREEDY, RANDOM, Policy
+from delaymill.config import DIRECT, GREEDY, RANDOM, SOLVED, STOPPED, Policy
 from delaymill.functions.delays import share
 from delaymill.operators.candidates import HORIZON, PROBABILITY
 
-# Solver statuses.
-SOLVED, DIRECT = "OPTIMAL", "deterministic"
-
 
 def pick_statistics(picks: Column, preferred: Column) -> dict[str, Column]:
     """Statistics of one choice; at most as many elements as the capacity."""
@@ -39,7 +36,7 @@ def key_set_hash(keys: Column) -> Column:
 def _with_all_horizons(horizons: DataFrame, chosen: DataFrame, options: list[Column]) -> DataFrame:
     """Choices of every horizon, also of those with nothing to choose from."""
     grid = horizons.select("*", F.inline(F.array(*options)))
-    keys = [c for c in chosen.columns if c != "picks"]
+    keys = [c for c in chosen.columns if c not in ("picks", "solver_status")]
     none = F.array().cast(chosen.schema["picks"].dataType)
     return grid.join(chosen, keys, "left").withColumn("picks", F.coalesce("picks", none))
 
@@ -72,7 +69,7 @@ def horizon_outcomes(
         "precision_at_capacity": share(F.col("actual_severe_selected_count"), selected),
         "severe_delay_coverage": share(F.col("actual_severe_selected_count"), severe),
         "penalty_active_in_horizon": F.col("station_concentration_excess_total") > 0,
-        "solver_status": F.when(exact, SOLVED).otherwise(DIRECT),
+        "solver_status": F.coalesce("solver_status", F.when(exact, SOLVED).otherwise(DIRECT)),  # nothing to choose is optimal
         "scoring_model_name": F.lit(policy.scoring_model_name),
         "scoring_model_version": F.lit(policy.scoring_model_version),
         "optimization_policy_name": F.lit(search.optimization_policy_name),
@@ -224,6 +221,7 @@ def tuning_results(horizons: DataFrame, searched: DataFrame, policy: Policy) ->
         F.sum("actual_severe_selected_count").alias("selected_severe_event_count"),
         F.sum("station_concentration_excess_total").alias("station_concentration_excess_total"),
         F.count_if(F.col("selected_keys") != F.col("_free")).alias("differing_horizon_count_vs_zero_penalty"),
+        F.when(F.count_if(F.col("solver_status") != SOLVED) > 0, STOPPED).otherwise(SOLVED).alias("solver_status"),
     )
     stations = (
         rows.select("execution_mode", *point, F.explode("picks.station_id").alias("station_id"))
@@ -236,7 +234,7 @@ def tuning_results(horizons: DataFrame, searched: DataFrame, policy: Policy) ->
         "execution_mode",
         *point,
         zero.alias("is_diagnostic_zero_penalty"),
-        F.lit(SOLVED).alias("solver_status"),
+        "solver_status",
         "selected_severe_event_count",
         "total_actual_severe_candidate_count",
         share(F.col("selected_severe_event_count"), F.col("total_actual_severe_candidate_count")).alias(
@@ -265,14 +263,14 @@ def tuning_winner(tuning: DataFrame) -> DataFrame:
 
 
 def disallowed_statuses(outcomes: DataFrame, policy: Policy) -> DataFrame:
-    """Solver statuses of the exact policy that the search configuration does not allow."""
+    """Solver statuses of the exact policy that the search configuration does not allow, and how many choices have them."""
     search = policy.search
     allowed = F.when(
         F.col("execution_mode") == "development",
         F.col("solver_status").isin(*search.development_allowed_solver_statuses),
     ).otherwise(F.col("solver_status").isin(*search.final_allowed_solver_statuses))
     exact = outcomes.filter(F.col("policy_name") == search.optimization_policy_name)
-    return exact.filter(~allowed).select("execution_mode", "solver_status").distinct()
+    return exact.filter(~allowed).groupBy("execution_mode", "solver_status").agg(F.count(F.lit(1)).alias("choice_count"))
 
 
 def event_decisions(

@@ -24,9 +24,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from delaymill.config import GREEDY, RANDOM, SCORE_FIRST, Policy
+from delaymill.config import DIRECT, GREEDY, RANDOM, SCORE_FIRST, SOLVED, STOPPED, Policy
 from delaymill.operators import assignment
-from delaymill.operators.assignment import optimal_picks
+from delaymill.operators.assignment import SCALE, proved_picks
 from delaymill.operators.candidates import HORIZON, OUTCOME, PROBABILITY
 
 # the helper travels with the function, so that workers need no installed copy of this package
@@ -52,13 +52,23 @@ def _first(rows: DataFrame, group: list[str], n: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= n).drop("_n")
 
 
+def pool_steps(candidates: DataFrame, most: int) -> list[DataFrame]:
+    """The eligible rows, and what each of the four rules leaves of them."""
+    steps = [candidates.filter("is_eligible_candidate").select(*HORIZON, *_pick_fields())]
+    rules = [
+        ([*HORIZON, "journey_id", "station_id"], 1),
+        ([*HORIZON, "station_id"], most),
+        ([*HORIZON, "journey_id"], most),
+        (HORIZON, 2 * most * (most - 1) + 1),
+    ]
+    for group, n in rules:
+        steps.append(_first(steps[-1], group, n))
+    return steps
+
+
 def review_pool(candidates: DataFrame, most: int) -> DataFrame:
     """One row per horizon with its pool in priority order, enough for any choice of up to ``most`` rows."""
-    rows = candidates.filter("is_eligible_candidate").select(*HORIZON, *_pick_fields())
-    rows = _first(rows, [*HORIZON, "journey_id", "station_id"], 1)
-    rows = _first(rows, [*HORIZON, "station_id"], most)
-    rows = _first(rows, [*HORIZON, "journey_id"], most)
-    rows = _first(rows, HORIZON, 2 * most * (most - 1) + 1)
+    rows = pool_steps(candidates, most)[-1]
     fields = [c for c in rows.columns if c not in HORIZON]
     return rows.groupBy(*HORIZON).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("pool"))
 
@@ -69,13 +79,13 @@ def random_order(seed: int) -> Column:
 
 def random_pool(candidates: DataFrame, seed: int, most: int) -> DataFrame:
     """The first ``most`` journeys of each horizon in a seeded order that no row order can change."""
-    rows = candidates.filter("is_eligible_candidate").select(
-        *HORIZON, F.struct(random_order(seed).alias("draw"), *_pick_fields()).alias("row")
-    )
-    per_journey = rows.groupBy(*HORIZON, F.col("row.journey_id").alias("j")).agg(F.min("row").alias("row"))
-    window = Window.partitionBy(*HORIZON).orderBy("row")
+    rows = candidates.filter("is_eligible_candidate").select(*HORIZON, random_order(seed).alias("draw"), *_pick_fields())
+    first = Window.partitionBy(*HORIZON, "journey_id").orderBy("draw", "stop_event_key")
+    per_journey = rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    window = Window.partitionBy(*HORIZON).orderBy("draw", "stop_event_key")
     drawn = per_journey.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= most)
-    return drawn.groupBy(*HORIZON).agg(F.array_sort(F.collect_list("row")).alias("drawn"))
+    row = F.struct("draw", *[F.col(f) for f in PICK_FIELDS])
+    return drawn.groupBy(*HORIZON).agg(F.array_sort(F.collect_list(row)).alias("drawn"))
 
 
 def _numbers(pool: Column) -> Column:
@@ -121,10 +131,10 @@ def greedy_picks(pool: Column, most: int, preferred: int, penalty: float) -> Col
     return F.aggregate(rounds, start, step, lambda state: state.getField("picks"))
 
 
-def exact_picks(grid: list[tuple[int, float]], capacities: tuple[int, ...]):
+def exact_picks(grid: list[tuple[int, float]], capacities: tuple[int, ...], steps: int | None = None):
     """A function of (probabilities, journeys, stations) arrays: the optimal positions for every
-    (load, penalty) of the grid and every capacity."""
-    kind = "array<struct<load:int,penalty:double,capacity:int,picks:array<int>>>"
+    (load, penalty) of the grid and every capacity, with the dual values that prove them."""
+    kind = "array<struct<load:int,penalty:double,capacity:int,picks:array<int>,place:bigint,prices:array<bigint>>>"
 
     @F.pandas_udf(kind)
     def solve(probabilities: pd.Series, journeys: pd.Series, stations: pd.Series) -> pd.Series:
@@ -132,10 +142,10 @@ def exact_picks(grid: list[tuple[int, float]], capacities: tuple[int, ...]):
         for p, j, s in zip(probabilities, journeys, stations):
             answer = []
             for load, penalty in grid:
-                picks = optimal_picks(p, list(j), list(s), load, penalty, capacities)
+                found = proved_picks(p, list(j), list(s), load, penalty, capacities, steps)
                 answer += [
-                    {"load": load, "penalty": penalty, "capacity": c, "picks": chosen}
-                    for c, chosen in zip(capacities, picks)
+                    {"load": load, "penalty": penalty, "capacity": c, "picks": picks, "place": place, "prices": prices}
+                    for c, (picks, place, prices) in zip(capacities, found)
                 ]
             answers.append(answer)
         return pd.Series(answers)
@@ -143,8 +153,54 @@ def exact_picks(grid: list[tuple[int, float]], capacities: tuple[int, ...]):
     return solve
 
 
-def _solved(pool: Column, grid: list[tuple[int, float]], capacities: tuple[int, ...]) -> Column:
-    return exact_picks(grid, capacities)(*[pool.getField(f) for f in ("p", "journey_id", "station_id")])
+def _solved(pool: Column, grid: list[tuple[int, float]], capacities: tuple[int, ...], steps: int | None) -> Column:
+    return exact_picks(grid, capacities, steps)(*[pool.getField(f) for f in ("p", "journey_id", "station_id")])
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _with(value: Column, build) -> Column:
+    """``build`` of a value that is used several times and computed once: it is the one element of an array."""
+    return F.get(F.transform(F.array(value), build), 0)
+
+
+def certified_status(pool: Column, answer: Column) -> Column:
+    """OPTIMAL if the dual values of an answer prove its objective, else the status of a search that was stopped.
+
+    Any price of a place and prices of stations from 0 to the penalty bound every choice of that size from above: by the places, the
+    preferred loads at their stations' prices, and for each journey the most that a row of it is worth beyond place and station. Whole numbers make
+    the comparison exact; nothing is taken on trust from the search.
+    """
+    scaled = lambda x: F.rint(x * F.lit(float(SCALE))).cast("long")
+    fine, load, place = scaled(answer["penalty"]), answer["load"], answer["place"]
+    rows = F.transform(pool, lambda x, i: F.struct(
+        x["journey_id"].alias("j"), x["station_id"].alias("s"), scaled(x["p"]).alias("w"), F.get(answer["prices"], i).alias("v")
+    ))
+
+    def most(gains: Column) -> Column:
+        own = lambda j: F.transform(F.filter(gains, lambda x: x["j"] == j), lambda x: x["g"])
+        return _total(F.transform(F.array_distinct(gains["j"]), lambda j: F.array_max(own(j))))
+
+    def bound(rows: Column) -> Column:
+        priced = F.array_distinct(F.transform(rows, lambda x: F.struct(x["s"].alias("s"), x["v"].alias("v"))))
+        gains = F.transform(rows, lambda x: F.struct(x["j"].alias("j"), (x["w"] - place - x["v"]).alias("g")))
+        gains = _with(F.filter(gains, lambda x: x["g"] > 0), most)
+        total = F.size(answer["picks"]) * place + load * _total(F.transform(priced, lambda x: x["v"])) + gains
+        sound = (F.size(priced) == F.size(F.array_distinct(rows["s"]))) & F.forall(priced, lambda x: (x["v"] >= 0) & (x["v"] <= fine))
+        return F.when(sound, total)
+
+    def objective(picked: Column) -> Column:
+        loads = F.transform(F.array_distinct(picked["s"]), lambda s: F.size(F.filter(picked["s"], lambda other: other == s)))
+        excess = _total(F.transform(loads, lambda n: F.greatest(n - load, F.lit(0)).cast("long")))
+        single = F.size(F.array_distinct(picked["j"])) == F.size(picked)
+        return F.when(single, _total(F.transform(picked, lambda x: x["w"])) - fine * excess)
+
+    def met(rows: Column) -> Column:
+        return _with(F.transform(answer["picks"], lambda i: F.get(rows, i)), objective) == _with(rows, bound)
+
+    return F.when(F.coalesce(_with(rows, met), F.lit(False)), SOLVED).otherwise(STOPPED)
 
 
 def _rows_at(pool: Column, positions: Column) -> Column:
@@ -175,7 +231,7 @@ def choices(
     if RANDOM in wanted:
         drawn = random_pool(candidates, search.random_seed, max(capacities))
         plain = F.transform("drawn", lambda x: F.struct(*[x.getField(f).alias(f) for f in PICK_FIELDS]))
-        draws = [_option(RANDOM, c, F.array_sort(F.slice(plain, 1, c))) for c in capacities]
+        draws = [_option(RANDOM, c, F.array_sort(F.slice(plain, 1, c)), F.lit(DIRECT)) for c in capacities]
         parts.append(drawn.select(*HORIZON, F.inline(F.array(*draws))))
     return reduce(DataFrame.unionByName, parts)
 
@@ -188,7 +244,7 @@ def _pool_choices(candidates: DataFrame, policy: Policy, capacities: tuple[int,
     columns = {
         SCORE_FIRST: lambda: score_first_picks(pool, most),
         GREEDY: lambda: greedy_picks(pool, most, load, penalty),
-        exact: lambda: _solved(pool, [(load, penalty)], capacities),
+        exact: lambda: _solved(pool, [(load, penalty)], capacities, policy.search.solver_step_limit),
     }
     columns = {name: build() for name, build in columns.items() if name in wanted}
     planned = review_pool(candidates, most).withColumns({f"_{name}": c for name, c in columns.items()})
@@ -196,13 +252,18 @@ def _pool_choices(candidates: DataFrame, policy: Policy, capacities: tuple[int,
     for at, c in enumerate(capacities):
         for name in columns:
             own = F.col(f"`_{name}`")
-            positions = F.get(own, F.lit(at)).getField("picks") if name == exact else F.slice(own, 1, c)
-            options.append(_option(name, c, _rows_at(pool, positions)))
+            if name == exact:
+                answer = F.get(own, F.lit(at))
+                options.append(_option(name, c, _rows_at(pool, answer["picks"]), certified_status(pool, answer)))
+            else:
+                options.append(_option(name, c, _rows_at(pool, F.slice(own, 1, c)), F.lit(DIRECT)))
     return planned.select(*HORIZON, F.inline(F.array(*options)))
 
 
-def _option(name: str, capacity: int, rows: Column) -> Column:
-    return F.struct(F.lit(name).alias("policy_name"), F.lit(capacity).alias("capacity_per_hour"), rows.alias("picks"))
+def _option(name: str, capacity: int, rows: Column, status: Column) -> Column:
+    return F.struct(
+        F.lit(name).alias("policy_name"), F.lit(capacity).alias("capacity_per_hour"), rows.alias("picks"), status.alias("solver_status")
+    )
 
 
 def search_choices(candidates: DataFrame, policy: Policy) -> DataFrame:
@@ -215,18 +276,19 @@ def search_choices(candidates: DataFrame, policy: Policy) -> DataFrame:
         for penalty in search.penalties
     ]
     pool = F.col("pool")
-    solved = review_pool(candidates, capacity).withColumn("solved", _solved(pool, grid, (capacity,)))
-    return solved.select(*HORIZON, "pool", F.inline("solved")).select(
+    solved = review_pool(candidates, capacity).withColumn("solved", _solved(pool, grid, (capacity,), search.solver_step_limit))
+    return solved.select(*HORIZON, "pool", F.explode("solved").alias("answer")).select(*HORIZON, "pool", "answer", "answer.*").select(
         *HORIZON,
         F.col("load").alias("preferred_station_load_per_station_hour"),
         F.col("penalty").alias("station_excess_penalty_lambda"),
         _rows_at(pool, F.col("picks")).alias("picks"),
+        certified_status(pool, F.col("answer")).alias("solver_status"),
     )
 
 
 def selections(chosen: DataFrame) -> DataFrame:
     """One row per chosen event with its rank in the choice."""
-    keys = [c for c in chosen.columns if c != "picks"]
+    keys = [c for c in chosen.columns if c not in ("picks", "solver_status")]
     return chosen.select(*keys, F.posexplode("picks").alias("at", "pick")).select(
         *keys,
         (F.col("at") + 1).alias("selection_rank"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from delaymill.config import EXACT, GREEDY, RANDOM, SCORE_FIRST, Policy
+from delaymill.config import EXACT, GREEDY, RANDOM, SCORE_FIRST, SOLVED, STOPPED, Policy
 from delaymill.operators import candidates as cand
 from delaymill.operators import outcomes as out
 from delaymill.operators import policies as pol
@@ -127,8 +129,8 @@ def prepared(spark, folder):
     return cand.prepare_candidates(handed_over(spark, folder), POLICY)
 
 
-def all_outcomes(candidates):
-    return out.horizon_outcomes(cand.horizon_candidates(candidates), pol.choices(candidates, POLICY), POLICY)
+def all_outcomes(candidates, policy=POLICY):
+    return out.horizon_outcomes(cand.horizon_candidates(candidates), pol.choices(candidates, policy), policy)
 
 
 # ---- candidates ----------------------------------------------------------------------------------
@@ -142,21 +144,58 @@ _CANDIDATE_COLUMNS = [
     "is_eligible_candidate",
     "eligibility_reason",
     "candidate_priority_rank",
+    "station_name",
+    "train_type",
+    "line_number",
+    "train_service_key",
+    "service_class",
+    "prediction_split",
+    "hour_of_day",
+    "calendar_date",
+    cand.PROBABILITY,
+    cand.OUTCOME,
+    "optimization_run_id",
+    "optimized_at",
+    "minimum_candidate_probability",
+    "selected_threshold",
+    "predicted_is_departure_severe_delay",
+    "preferred_station_load_per_station_hour",
+    "frozen_station_excess_penalty_lambda",
 ]
+_CANDIDATES_FINAL = printed(
+    f"""SELECT execution_mode, horizon_id, stop_event_key, journey_id, station_id,
+    eligibility_reason = 'eligible' AS is_eligible_candidate, eligibility_reason,
+    row_number() OVER (PARTITION BY execution_mode, horizon_id ORDER BY p DESC NULLS LAST, stop_event_key)
+      AS candidate_priority_rank, station_name, train_type, line_number, train_service_key, service_class, prediction_split,
+    hour_of_day, calendar_date, p AS {cand.PROBABILITY}, severe AS {cand.OUTCOME}, execution_mode || '-r1' AS optimization_run_id,
+    '{POLICY.optimized_at}' AS optimized_at, CAST(0.5 AS DOUBLE) AS minimum_candidate_probability, CAST(0.5 AS DOUBLE) AS selected_threshold,
+    coalesce(p >= 0.5, false) AS predicted_is_departure_severe_delay, 1 AS preferred_station_load_per_station_hour,
+    CAST(0.2 AS DOUBLE) AS frozen_station_excess_penalty_lambda FROM cand""",
+    doubles=f"{cand.PROBABILITY} minimum_candidate_probability selected_threshold frozen_station_excess_penalty_lambda",
+)
 
 
 @query(
     "candidates",
+    with_ctes(*_PREPARED, final=_CANDIDATES_FINAL),
+)
+def candidates(spark, folder):
+    return cand.rank_candidates(prepared(spark, folder)).select(*_CANDIDATE_COLUMNS)
+
+
+@query(
+    "candidates_without_attributes",
     with_ctes(
         *_PREPARED,
-        final="""SELECT execution_mode, horizon_id, stop_event_key, journey_id, station_id,
-        eligibility_reason = 'eligible' AS is_eligible_candidate, eligibility_reason,
-        row_number() OVER (PARTITION BY execution_mode, horizon_id ORDER BY p DESC NULLS LAST, stop_event_key)
-          AS candidate_priority_rank FROM cand""",
+        final="""SELECT stop_event_key, eligibility_reason, CAST(NULL AS VARCHAR) AS station_name, CAST(NULL AS VARCHAR) AS train_service_key,
+        CAST(NULL AS VARCHAR) AS service_class FROM cand""",
     ),
 )
-def candidates(spark, folder):
-    return cand.rank_candidates(prepared(spark, folder)).select(*_CANDIDATE_COLUMNS)
+def candidates_without_attributes(spark, folder):
+    """Scored rows that lack the optional columns get them as nulls."""
+    bare = handed_over(spark, folder).drop("station_name", "train_service_key", "service_class")
+    columns = ["stop_event_key", "eligibility_reason", "station_name", "train_service_key", "service_class"]
+    return cand.prepare_candidates(bare, POLICY).select(*columns)
 
 
 @query(
@@ -181,7 +220,7 @@ def duplicate_candidates(spark, folder):
     with_ctes(
         *_PREPARED,
         final=printed(
-            """SELECT execution_mode, CAST(0 AS BIGINT) AS foreign_model_rows,
+            """SELECT execution_mode, count(*) FILTER (WHERE CAST(stop_event_key AS BIGINT) % 10 = 3) AS foreign_model_rows,
             count(*) FILTER (WHERE eligibility_reason = 'eligible') / count(*) AS eligible_share
             FROM cand GROUP BY 1""",
             doubles="eligible_share",
@@ -189,7 +228,9 @@ def duplicate_candidates(spark, folder):
     ),
 )
 def candidate_violations(spark, folder):
-    return cand.candidate_violations(prepared(spark, folder), POLICY)
+    """Some rows come from another version of the model."""
+    foreign = F.when(F.col("stop_event_key").cast("long") % 10 == 3, "older").otherwise(F.col("model_version"))
+    return cand.candidate_violations(prepared(spark, folder).withColumn("model_version", foreign), POLICY)
 
 
 @query(
@@ -460,13 +501,26 @@ def tuning_winner(spark, folder):
     return out.tuning_winner(_tuning(spark, folder).filter(F.col("execution_mode") == "development"))
 
 
+STOPPED_AT_ONCE = replace(
+    POLICY,
+    search=replace(
+        POLICY.search, solver_step_limit=0, development_allowed_solver_statuses=(SOLVED, STOPPED), final_allowed_solver_statuses=(SOLVED,)
+    ),
+)
+
+
 @query(
     "disallowed_statuses",
     recursive(
         *RESULT,
-        final=f"""SELECT DISTINCT execution_mode, solver_status FROM result
-        WHERE policy_name = '{EXACT}' AND solver_status NOT IN ('OPTIMAL', 'TIME_LIMIT_WITH_INCUMBENT')""",
+        f"""scores_of AS (
+          SELECT mode, h, c, max(worth) FILTER (WHERE policy = '{GREEDY}') AS held, max(worth) FILTER (WHERE policy = '{EXACT}') AS best
+          FROM (SELECT execution_mode AS mode, horizon_id AS h, capacity_per_hour AS c, policy_name AS policy,
+                       selected_probability_score_sum - 0.2 * station_concentration_excess_total AS worth FROM result) GROUP BY 1, 2, 3)""",
+        final=f"""SELECT mode AS execution_mode, '{STOPPED}' AS solver_status, count(*) AS choice_count
+        FROM scores_of WHERE mode = 'final' AND best - held > 1e-9 GROUP BY 1""",
     ),
 )
 def disallowed_statuses(spark, folder):
-    return out.disallowed_statuses(all_outcomes(prepared(spark, folder)), POLICY)
+    """A run whose search is stopped at once: it takes row by row, and only where that is the optimum do the dual values prove it."""
+    return out.disallowed_statuses(all_outcomes(prepared(spark, folder), STOPPED_AT_ONCE), STOPPED_AT_ONCE)

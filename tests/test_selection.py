@@ -217,3 +217,52 @@ def test_only_wanted_policies_are_planned(spark):
         assert {r.policy_name for r in chosen.select("policy_name").distinct().collect()} == {name}
     with pytest.raises(ValueError, match="unknown"):
         pol.choices(candidates, POLICY, names=("other",))
+
+
+def test_the_status_is_proved_by_the_prices_alone(spark):
+    pool = [(-0.9, "A", "J1", "S1", 0.9, True), (-0.8, "B", "J2", "S1", 0.8, True), (-0.7, "C", "J3", "S2", 0.7, True)]
+    price = 10**12 // 10
+    answers = [
+        ([0, 2], 7 * price, [2 * price, 2 * price, 0], "OPTIMAL"),
+        ([2, 0], 7 * price, [price, price, 0], "OPTIMAL"),
+        ([0, 1], 7 * price, [2 * price, 2 * price, 0], "TIME_LIMIT_WITH_INCUMBENT"),  # not the best choice
+        ([0, 2], 6 * price, [price, price, 0], "TIME_LIMIT_WITH_INCUMBENT"),  # prices that prove nothing
+        ([0, 2], 7 * price, [2 * price, price, 0], "TIME_LIMIT_WITH_INCUMBENT"),  # two prices of one station
+        ([0, 2], 7 * price, [3 * price, 3 * price, 0], "TIME_LIMIT_WITH_INCUMBENT"),  # above the penalty
+        ([0, 0], 7 * price, [2 * price, 2 * price, 0], "TIME_LIMIT_WITH_INCUMBENT"),  # one journey twice
+        ([0, 2], None, None, "TIME_LIMIT_WITH_INCUMBENT"),
+    ]
+    kind = (
+        "pool array<struct<rank_value:double,stop_event_key:string,journey_id:string,station_id:string,p:double,severe:boolean>>, "
+        "answer struct<load:int,penalty:double,capacity:int,picks:array<int>,place:bigint,prices:array<bigint>>, want string"
+    )
+    frame = spark.createDataFrame([(pool, (1, 0.2, 2, picks, place, prices), want) for picks, place, prices, want in answers], kind)
+    for r in frame.select(pol.certified_status(F.col("pool"), F.col("answer")).alias("got"), "want").collect():
+        assert r.got == r.want
+
+
+def test_a_full_pool_keeps_the_optimum(spark):
+    """Crowded hours in which every rule of the pool leaves rows out: as good as the choice among all rows."""
+    import random
+
+    from delaymill.operators.assignment import optimal_picks
+
+    draw = random.Random(8)
+    rows = [
+        (f"E{i:04d}", f"J{s}-{draw.randrange(14)}", DAY, 8, f"S{s}", "validation", round(0.4 + 0.6 * draw.random(), 4), False)
+        for i in range(1200)
+        for s in [draw.randrange(25)]
+    ]
+    rows += [(f"W{s:02d}", "J-everywhere", DAY, 8, f"S{s}", "validation", 0.99 + s / 10_000, False) for s in range(25)]
+    candidates = cand.prepare_candidates(scored(spark, rows), POLICY)
+    left = [step.count() for step in pol.pool_steps(candidates, 10)]
+    assert left == sorted(left, reverse=True) and len(set(left)) == 5 and left[-1] == 181
+    best = {}
+    for key, j, _, _, s, _, p, _ in rows:
+        best[j, s] = min(best.get((j, s), (0, "")), (-p, key))
+    ordered = sorted((v, k) for k, v in best.items())
+    want = optimal_picks([-v[0] for v, _ in ordered], [k[0] for _, k in ordered], [k[1] for _, k in ordered], 1, 0.2, (1, 3, 5, 10))
+    chosen = {r.capacity_per_hour: r for r in pol.choices(candidates, POLICY, names=(EXACT,)).collect()}
+    for capacity, picks in zip((1, 3, 5, 10), want, strict=True):
+        assert {p.stop_event_key for p in chosen[capacity].picks} == {ordered[i][0][1] for i in picks}
+        assert chosen[capacity].solver_status == "OPTIMAL"
