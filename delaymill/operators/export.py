@@ -139,6 +139,37 @@ COMPARISON_COLUMNS = [
     "optimized_at",
 ]
 
+_RUN_METADATA = [
+    "optimization_run_id",
+    "candidate_pool_fingerprint",
+    "scoring_model_name",
+    "scoring_model_version",
+    "optimization_policy_version",
+    "optimized_at",
+]
+_COMPARED = {
+    "selected_severe_event_count": "long",
+    "precision_at_capacity": "double",
+    "severe_delay_coverage": "double",
+    "mean_station_concentration_excess_per_horizon": "double",
+    "mean_unused_capacity_per_horizon": "double",
+}
+_JUDGED_NAMES = ["policy_name", "policy_display_name", *_COMPARED]
+PAIRWISE_COLUMNS = [
+    "execution_mode",
+    "capacity_per_hour",
+    "compared_horizon_count",
+    "win_horizon_count",
+    "tie_horizon_count",
+    "loss_horizon_count",
+    "selected_set_match_rate",
+    *[f"comparator_{c}" for c in _JUDGED_NAMES],
+    *_RUN_METADATA,
+    *[f"reference_{c}" for c in _JUDGED_NAMES],
+    *[f"{c}_delta" for c in _COMPARED],
+]
+_PAIRWISE_RATIOS = ("precision_at_capacity", "severe_delay_coverage")
+
 CONTRACTS = {
     "fact_event_decision": _contract(
         _EVENT_COLUMNS,
@@ -172,6 +203,11 @@ CONTRACTS = {
         COMPARISON_COLUMNS, ("precision_at_capacity", "severe_delay_coverage", "lift_vs_random"), _SHARES
     ),
     "fact_horizon_policy_metrics": _contract(METRIC_COLUMNS, _RATIOS, _SHARES),
+    "fact_policy_pairwise_summary": _contract(
+        PAIRWISE_COLUMNS,
+        tuple(f"{side}_{c}" for side in ("reference", "comparator") for c in _PAIRWISE_RATIOS) + tuple(f"{c}_delta" for c in _PAIRWISE_RATIOS),
+        ("selected_set_match_rate", *[f"{side}_{c}" for side in ("reference", "comparator") for c in _PAIRWISE_RATIOS]),
+    ),
 }
 
 # Many-to-one links of the report model: fact, dimension, key.
@@ -322,16 +358,13 @@ def fact_horizon_policy_metrics(metrics: DataFrame, exact: str = EXACT) -> DataF
 
 
 def fact_policy_comparison(comparison: DataFrame, metrics_fact: DataFrame, exact: str = EXACT) -> DataFrame:
-    """Comparison rows with run metadata, horizon count and per-horizon means."""
-    run = [
-        "optimization_run_id",
-        "candidate_pool_fingerprint",
-        "scoring_model_name",
-        "scoring_model_version",
-        "optimization_policy_version",
-        "optimized_at",
-    ]
-    runs = metrics_fact.groupBy(*_RUN).agg(*[F.min(c).alias(c) for c in run])
+    """Comparison rows with run metadata, horizon count and per-horizon means.
+
+    Metadata that differ between the horizons of a capacity are never shown: they are null, which the contract does not allow, and
+    ``run_violations`` names them.
+    """
+    same = [F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1))), F.min(c)).alias(c) for c in _RUN_METADATA]
+    runs = metrics_fact.groupBy(*_RUN).agg(*same)
     horizons = F.col("binding_horizon_count") + F.col("candidate_shortage_horizon_count")
     rows = _with_display(comparison, exact).join(runs, _RUN, "left").withColumns({
         "horizon_count": horizons,
@@ -341,15 +374,6 @@ def fact_policy_comparison(comparison: DataFrame, metrics_fact: DataFrame, exact
     return project(rows, "fact_policy_comparison")
 
 
-_COMPARED = {
-    "selected_severe_event_count": "long",
-    "precision_at_capacity": "double",
-    "severe_delay_coverage": "double",
-    "mean_station_concentration_excess_per_horizon": "double",
-    "mean_unused_capacity_per_horizon": "double",
-}
-
-
 def _quality(prefix: str) -> Column:
     """Order of two choices of one horizon: severe hits, then score, then less excess, then less unused."""
 
@@ -389,26 +413,11 @@ def fact_policy_pairwise_summary(comparison: DataFrame, metrics: DataFrame, refe
         F.count_if(worse).alias("loss_horizon_count"),
         F.avg(equal.cast("double")).alias("selected_set_match_rate"),
     )
-    run = [
-        "optimization_run_id",
-        "candidate_pool_fingerprint",
-        "scoring_model_name",
-        "scoring_model_version",
-        "optimization_policy_version",
-        "optimized_at",
-    ]
-    names = ["policy_name", "policy_display_name"]
-    left = comparison.filter(is_reference).select(
-        *at,
-        *run,
-        *[F.col(c).alias(f"reference_{c}") for c in [*names, *_COMPARED]],
-    )
-    right = comparison.filter(~is_reference).select(
-        *at, "policy_name", *[F.col(c).alias(f"comparator_{c}") for c in [*names, *_COMPARED]]
-    )
+    left = comparison.filter(is_reference).select(*at, *_RUN_METADATA, *[F.col(c).alias(f"reference_{c}") for c in _JUDGED_NAMES])
+    right = comparison.filter(~is_reference).select(*at, "policy_name", *[F.col(c).alias(f"comparator_{c}") for c in _JUDGED_NAMES])
     rows = scores.join(right, [*at, "policy_name"], "left").join(left, at, "left")
     deltas = {f"{c}_delta": F.col(f"reference_{c}") - F.col(f"comparator_{c}") for c in _COMPARED}
-    return rows.drop("policy_name").withColumns(deltas)
+    return project(rows.withColumns(deltas), "fact_policy_pairwise_summary")
 
 
 # ---- checks --------------------------------------------------------------------------------------
@@ -458,6 +467,70 @@ def source_violations(events: DataFrame, summary: DataFrame, policy: Policy, hor
     return quality.union_reports(*reports)
 
 
+# Fields that both tables and the frozen policy must agree on, by their names in events and horizons.
+_SHARED = {
+    "optimization_run_id": "optimization_run_id",
+    "model_name": "scoring_model_name",
+    "model_version": "scoring_model_version",
+    "capacity_scenario": "capacity_scenario",
+    "capacity_per_hour": "capacity_per_hour",
+}
+_EVENTS_ONLY = ("minimum_candidate_probability", "selected_threshold")
+
+
+def artifact_violations(
+    events: DataFrame, horizons: DataFrame, policy: Policy, metadata: dict | None = None, horizon_count: int | None = None
+) -> DataFrame:
+    """Whether events, horizons, frozen policy and the metadata of the evaluation describe one run, as (rule, violations).
+
+    Each field must have exactly one known value in a table (violations: the values beyond one, 1 if none is known), and that must be the value of
+    the others (violations: rows that have another). ``metadata`` may name any of the fields. Every table is read once.
+    """
+    frozen = {
+        "model_name": policy.scoring_model_name,
+        "model_version": policy.scoring_model_version,
+        "capacity_scenario": policy.capacity_scenario,
+        "capacity_per_hour": policy.capacity_per_hour,
+        "minimum_candidate_probability": float(policy.threshold),
+        "selected_threshold": float(policy.selected_threshold),
+    }
+    metadata = {k: v for k, v in (metadata or {}).items() if k in frozen or k == "optimization_run_id"}
+    sides = {"events": (events, {f: f for f in (*_SHARED, *_EVENTS_ONLY)}), "horizons": (horizons, _SHARED)}
+    reports = []
+    for side, (table, fields) in sides.items():
+        rules = {}
+        for field, column in fields.items():
+            known = F.count_distinct(F.col(column))
+            rules[f"{side}: one known {field}"] = F.abs(known - 1)
+            for source, values in (("policy", frozen), ("metadata", metadata)):
+                if field in values:
+                    rules[f"{side}: {field} is that of the {source}"] = F.count_if(F.col(column) != F.lit(values[field]))
+        counted = table.agg(*[v.cast("long").alias(rule) for rule, v in rules.items()])
+        reports.append(counted.unpivot([], [F.col(f"`{rule}`") for rule in rules], "rule", "violations"))
+    runs = events.agg(F.collect_set("optimization_run_id").alias("ours")).crossJoin(  # of one row each; a run has one id
+        horizons.agg(F.collect_set("optimization_run_id").alias("theirs"))
+    )
+    apart = F.size(F.array_union(F.array_except("ours", "theirs"), F.array_except("theirs", "ours")))
+    reports.append(runs.select(F.lit("events and horizons: same optimization_run_id").alias("rule"), apart.cast("long").alias("violations")))
+    if horizon_count is not None:
+        counted = horizons.agg(F.abs(F.count(F.lit(1)) - horizon_count).alias("violations"))
+        reports.append(counted.select(F.lit("horizons: as many as the metadata say").alias("rule"), "violations"))
+    return quality.union_reports(*reports)
+
+
+def run_violations(metrics: DataFrame, comparison: DataFrame) -> DataFrame:
+    """Capacities whose horizons carry conflicting or unknown run metadata, and comparison rows without any run, as (rule, violations)."""
+    mixed = [
+        ((F.min(c) != F.max(c)) | (F.count(c) != F.count(F.lit(1)))).alias(c) for c in _RUN_METADATA
+    ]
+    runs = metrics.groupBy(*_RUN).agg(*mixed)
+    lone = comparison.select(*_RUN).join(metrics.select(*_RUN).distinct(), _RUN, "left_anti")
+    return quality.union_reports(
+        quality.row_rules(runs, {f"one {c} per capacity": F.coalesce(F.col(c), F.lit(True)) for c in _RUN_METADATA}),
+        lone.agg(F.count(F.lit(1)).alias("violations")).select(F.lit("comparison rows have a run").alias("rule"), "violations"),
+    )
+
+
 def dimension_conflicts(events: DataFrame) -> DataFrame:
     """Stations or services with more than one set of attributes; the tables must be normalised already."""
     service = ["train_type", "line_number", "service_class"]

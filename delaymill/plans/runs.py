@@ -1,7 +1,7 @@
 """Whole runs: raw files to layers, layers to scores, scores to selections, selections to report tables.
 
-Each stage writes its tables before the next one reads them, checks them, and leaves a small JSON
-report. Only run parameters and aggregated rows reach the driver.
+Each stage writes its tables before the next one reads them, checks them, and leaves a JSON report beside them. Only run
+parameters and rows of finished aggregates reach the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +16,12 @@ from delaymill.config import SPLIT_OF_MODE, Policy, ScopeConfig, ScopeSlice, Sea
 from delaymill.operators import candidates as cand
 from delaymill.operators import export, features, metrics, model, outcomes, policies, quality, scope, split
 from delaymill.operators import star_schema as star
-from delaymill.sources.layers import report_rows, save_frame, save_layer_table, write_report
+from delaymill.operators.layer_checks import layer_violations
+from delaymill.sources.layers import save_frame, save_layer_table, write_report
+
+
+# how readers look rows up: files hold consecutive ranges of these keys
+ORDERS = {"event_decision": ("horizon_id", "candidate_priority_rank", "stop_event_key")}
 
 
 def pick_added_week(events: DataFrame, hub: str) -> ScopeSlice:
@@ -28,13 +33,13 @@ def pick_added_week(events: DataFrame, hub: str) -> ScopeSlice:
     return ScopeSlice("added_disrupted_week", found.source_file, version, found.week_start_date)
 
 
-def scope_manifest(config: ScopeConfig, parts: list[ScopeSlice], weeks: DataFrame) -> dict:
-    return {
+def scope_manifest(spark: SparkSession, config: ScopeConfig, parts: list[ScopeSlice], weeks: DataFrame, path: str) -> None:
+    """What was scoped and why, as a report: the slices as facts, the candidate weeks as a part."""
+    facts = {
         "scope_version": config.scope_version,
         "extraction_query_version": config.extraction_query_version,
         "selected_hub": config.selected_hub,
         "baseline_source_file_name": config.source_file_name,
-        "candidate_weeks": report_rows(weeks),
         "source_slices": [
             {
                 "scope_slice": p.scope_slice,
@@ -47,6 +52,7 @@ def scope_manifest(config: ScopeConfig, parts: list[ScopeSlice], weeks: DataFram
             for p in parts
         ],
     }
+    write_report(spark, facts, {"candidate_weeks": weeks}, path)
 
 
 def build_layers(
@@ -54,11 +60,11 @@ def build_layers(
 ) -> dict[str, DataFrame]:
     """Bronze, silver and gold tables below ``root``, each checked against the layer before."""
 
-    def save(df: DataFrame, layer: str, table: str, by: str | None = None) -> DataFrame:
-        return save_layer_table(df, root, layer, table, by)
+    def save(df: DataFrame, layer: str, table: str, by: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+        return save_layer_table(df, root, layer, table, by, order)
 
     bronze = save(scope.bronze_events(parts, config, loaded_at), "bronze", "raw_stop_events", "scope_slice")
-    manifest = save(scope.ingestion_manifest(bronze), "bronze", "raw_ingestion_manifest")
+    manifest = save(scope.ingestion_manifest(bronze), "bronze", "raw_ingestion_manifest", order=("scope_slice", "source_file"))
     save(scope.station_reference(bronze), "bronze", "raw_station_reference")
 
     stations = save(star.dim_station(bronze), "silver", "dim_station")
@@ -73,56 +79,20 @@ def build_layers(
     hours = save(features.station_hour(gold), "gold", "fact_station_hour")
 
     quality.assert_clean(layer_violations(bronze, manifest, fact, stations, gold, hours, config.selected_hub))
+    hub_rows = bronze.filter(F.col("station_name") == config.selected_hub)
     write_report(
+        bronze.sparkSession,
+        {"scope_version": config.scope_version},
         {
-            "scope_version": config.scope_version,
-            "slices": report_rows(scope.bronze_summary(bronze, config.selected_hub)),
-            "counts": report_rows(features.layer_counts(bronze, fact, gold, stations)),
-            "hub_sample": report_rows(
-                bronze.filter(F.col("station_name") == config.selected_hub)
-                .select("id", "station_name", "train_type", "train_number", "train_line_ride_id")
-                .orderBy("id")
-                .limit(3)
-            ),
+            "slices": scope.bronze_summary(bronze, config.selected_hub),
+            "counts": features.layer_counts(bronze, fact, gold, stations),
+            "hub_sample": hub_rows.select("id", "station_name", "train_type", "train_number", "train_line_ride_id").orderBy("id").limit(3),
         },
-        f"{root}/layer_summary.json",
+        f"{root}/layer_summary",
     )
     return {"bronze": bronze, "fact": fact, "gold": gold, "station_hour": hours, "dim_station": stations}
 
 
-def layer_violations(
-    bronze: DataFrame,
-    manifest: DataFrame,
-    fact: DataFrame,
-    stations: DataFrame,
-    gold: DataFrame,
-    hours: DataFrame,
-    hub: str,
-) -> DataFrame:
-    """Row counts must carry through the layers and the stored aggregates must match a recomputation."""
-
-    def rows(df: DataFrame, value=None):
-        value = F.count(F.lit(1)) if value is None else value
-        return df.agg(F.coalesce(value, F.lit(0)).cast("long").alias("n")).scalar()
-
-    n_bronze, n_fact, n_gold = rows(bronze), rows(fact), rows(gold)
-    keys = gold.select(*features.STATION_HOUR_KEYS).distinct()
-    broken = {
-        "bronze holds rows": n_bronze == 0,
-        "bronze holds the hub": rows(bronze.filter(F.col("station_name") == hub)) == 0,
-        "manifest counts every bronze row": rows(manifest, F.sum("row_count")) != n_bronze,
-        "silver keeps every bronze row": n_fact != n_bronze,
-        "every station id has one row": rows(stations) != rows(bronze.select("eva").distinct()),
-        "gold keeps every silver row": n_gold != n_fact,
-        "one row per station and hour": rows(hours) != rows(keys),
-        "station hours count every row": rows(hours, F.sum("stop_event_count")) != n_gold,
-        "station hours match their events": rows(features.station_hour_mismatches(gold, hours)) > 0,
-    }
-    one = bronze.sparkSession.range(1)
-    checked = one.select(*[bad.cast("long").alias(rule) for rule, bad in broken.items()])
-    return checked.unpivot([], [F.col(f"`{rule}`") for rule in broken], "rule", "violations")
-
-
 def train_and_score(
     gold: DataFrame, root: str, scored_at: str, labels: tuple[str, str, tuple[date, date]]
 ) -> tuple[DataFrame, float]:
@@ -150,25 +120,23 @@ def train_and_score(
     )
     frozen = save_frame(labelled(model.frozen_scores(fitted, rows, threshold)), f"{root}/ml/stage_a_scored")
     training = rows.filter(F.col("prediction_split") == split.TRAIN)
-    report = {
+    facts = {
         "model_name": model.MODEL_NAME,
         "model_version": model.MODEL_VERSION,
         "target_column": y,
         "feature_columns": split.ALLOWED_FEATURES,
         "excluded_feature_columns": split.EXCLUDED_FEATURES,
         "selected_threshold": threshold,
-        "split_metrics": report_rows(split.split_metrics(rows)),
-        "held_out_metrics": report_rows(
-            metrics.ranking_metrics(scored, p, y, by).join(metrics.confusion(scored, p, y, threshold, by), by)
-        ),
-        "baseline": report_rows(metrics.prevalence(training, y)),
-        "scored_split_counts": report_rows(split.split_counts(scored)),
-        "scope_rows": report_rows(
-            metrics.scope_report(frozen, "stage_a_predicted_severe_delay_probability", y, threshold)
-        ),
         "scored_at": scored_at,
     }
-    write_report(report, f"{root}/ml/evaluation.json")
+    report = {
+        "split_metrics": split.split_metrics(rows),
+        "held_out_metrics": metrics.ranking_metrics(scored, p, y, by).join(metrics.confusion(scored, p, y, threshold, by), by),
+        "baseline": metrics.prevalence(training, y),
+        "scored_split_counts": split.split_counts(scored),
+        "scope_rows": metrics.scope_report(frozen, "stage_a_predicted_severe_delay_probability", y, threshold),
+    }
+    write_report(gold.sparkSession, facts, report, f"{root}/ml/evaluation")
     return scored, threshold
 
 
@@ -216,7 +184,7 @@ def select_reviews(
     policy = tune_policy(seeds, horizons, seed, root)
     capacity, exact = policy.capacity_per_hour, search.optimization_policy_name
     save_frame(cand.opportunity(horizons, capacity), f"{root}/optimization/development/opportunity_diagnostics")
-    write_report(policy.as_dict(), f"{root}/optimization/frozen_policy.json")
+    write_report(scored.sparkSession, policy.as_dict(), {}, f"{root}/optimization/frozen_policy")
 
     ranked = seeds.withColumns({
         "preferred_station_load_per_station_hour": F.lit(policy.preferred_station_load),
@@ -240,14 +208,10 @@ def select_reviews(
             "policy_comparison": outcomes.policy_comparison(own),
         }
         for name, frame in frames.items():
-            tables[f"{mode}/{name}"] = save_frame(frame, f"{root}/optimization/{mode}/{name}")
-        pairs = {
-            other: report_rows(outcomes.pairwise_diagnostics(own, other, exact, capacity))
-            for other in search.policy_names[1:3]
-        }
+            tables[f"{mode}/{name}"] = save_frame(frame, f"{root}/optimization/{mode}/{name}", order=ORDERS.get(name, ()))
+        pairs = {f"pairwise_{other}": outcomes.pairwise_diagnostics(own, other, exact, capacity) for other in search.policy_names[1:3]}
         write_report(
-            {"mode": mode, "frozen_policy": policy.as_dict(), "pairwise_diagnostics": pairs},
-            f"{root}/optimization/{mode}/evaluation.json",
+            scored.sparkSession, {"mode": mode, "frozen_policy": policy.as_dict()}, pairs, f"{root}/optimization/{mode}/evaluation"
         )
     return tables, policy
 
@@ -265,7 +229,11 @@ def export_report(
     )
     summary = tables["final/horizon_summary"]
     quality.assert_clean(
-        quality.union_reports(export.source_violations(events, summary, policy), export.dimension_conflicts(events))
+        quality.union_reports(
+            export.source_violations(events, summary, policy),
+            export.artifact_violations(events, summary, policy),
+            export.dimension_conflicts(events),
+        )
     )
     star_frames = export.star_tables(spark, events, summary, policy)
     metrics_fact = export.fact_horizon_policy_metrics(tables["final/horizon_policy_metrics"], exact)
@@ -280,6 +248,7 @@ def export_report(
     quality.assert_clean(
         quality.union_reports(
             export.reconciliation(written["fact_event_decision"], written["fact_horizon_summary"]),
+            export.run_violations(written["fact_horizon_policy_metrics"], written["fact_policy_comparison"]),
             export.policy_violations(
                 written["fact_horizon_policy_metrics"],
                 written["fact_policy_comparison"],

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,15 @@ def clear_scratch(spark: SparkSession) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def scratch_cleared(spark: SparkSession) -> Iterator[None]:
+    """Clears the scratch folder at the end of a run, however it ends; results must have been written elsewhere by then."""
+    try:
+        yield
+    finally:
+        clear_scratch(spark)
+
+
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 

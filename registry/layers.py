@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
 from delaymill.operators import features as feat
-from delaymill.operators import scope
+from delaymill.operators import layer_checks, quality, scope
 from delaymill.operators import star_schema as star
 from delaymill.session import scratch_path, spool
 from delaymill.sources import layers, months
@@ -226,6 +227,25 @@ def bronze_summary(spark, folder):
     return scope.bronze_summary(_bronze(spark, folder), HUB)
 
 
+@query(
+    "layer_report",
+    with_ctes(
+        RIDES,
+        _SCOPED,
+        "labelled AS (SELECT *, unnest([scope_slice, 'all']) AS s FROM scoped)",
+        final=f"""SELECT s AS scope_slice, strftime(min(time), '%Y-%m-%d') AS min_service_date, strftime(max(time), '%Y-%m-%d') AS max_service_date,
+        count(*) AS row_count, count(*) FILTER (WHERE station_name = '{HUB}') AS hub_row_count, 'v1' AS scope_version FROM labelled GROUP BY s""",
+    ),
+)
+def layer_report(spark, folder):
+    """The report of a run as JSON on shared storage: its parts are written where their rows are, and read back with its facts."""
+    path = scratch_path(spark, "layer_report")
+    layers.write_report(spark, {"scope_version": SCOPE.scope_version}, {"slices": scope.bronze_summary(_bronze(spark, folder), HUB)}, path)
+    schema = "scope_slice string, min_service_date string, max_service_date string, row_count long, hub_row_count long"
+    facts = layers.read_facts(spark, path)
+    return layers.read_part(spark, path, "slices", schema).withColumn("scope_version", F.lit(facts["scope_version"]))
+
+
 _WEEKS = f"""weeks AS (
   SELECT CAST(date_trunc('week', time) AS DATE) AS week_start_date, count(*) AS hub_stop_count,
          count(*) FILTER (WHERE delay_in_min >= 15 OR is_canceled) AS severe_or_cancel_count
@@ -490,6 +510,165 @@ def layer_counts(spark, folder):
     return feat.layer_counts(bronze, fact, gold, stations)
 
 
+_BROKEN = "CAST(stop_event_key AS BIGINT) % 10 = 3"
+_CHECKS = {
+    "bronze holds rows": "CASE WHEN n_bronze = 0 THEN 1 ELSE 0 END",
+    "bronze holds the hub": "CASE WHEN n_hub = 0 THEN 1 ELSE 0 END",
+    "manifest counts every bronze row": "abs(n_bronze - n_manifest)",
+    "silver keeps every bronze row": "abs(n_bronze - n_fact)",
+    "every station id has one row": "abs(n_stations - n_eva)",
+    "gold keeps every silver row": "abs(n_gold - n_fact)",
+    "one row per station and hour": "abs(n_hours - n_keys)",
+    "station hours count every row": "abs(n_hour_events - n_gold)",
+    "station hours match their events": "n_wrong",
+}
+
+
+@query(
+    "layer_checks",
+    with_ctes(
+        *_GOLD,
+        f"""hour_keys AS (SELECT station_key, date_key, hour_key, count(*) AS n, count(*) FILTER (WHERE NOT {_BROKEN}) AS kept FROM gold GROUP BY 1, 2, 3),
+        facts AS (
+          SELECT (SELECT count(*) FROM bronze) AS n_bronze, (SELECT count(*) FROM bronze WHERE station_name = '{HUB}') AS n_hub,
+                 (SELECT count(DISTINCT eva) FROM bronze) AS n_eva, (SELECT count(*) FROM station_dim) AS n_stations,
+                 (SELECT count(*) FROM stop_fact) AS all_facts, (SELECT count(*) FROM gold) AS n_gold,
+                 (SELECT count(*) FROM gold WHERE NOT {_BROKEN}) AS kept_gold, (SELECT count(*) FROM hour_keys) AS n_keys,
+                 (SELECT count(*) FROM hour_keys WHERE kept > 0) AS kept_keys, (SELECT count(*) FROM hour_keys WHERE kept < n) AS changed_keys),
+        cases AS (
+          SELECT 'whole' AS layers, n_bronze AS n_manifest, all_facts AS n_fact, n_keys AS n_hours, n_gold AS n_hour_events, 0 AS n_wrong, * FROM facts
+          UNION ALL
+          SELECT 'broken', n_bronze - (SELECT count(*) FROM bronze WHERE eva = '3'), kept_gold, kept_keys, kept_gold, changed_keys, * FROM facts)""",
+        final=" UNION ALL ".join(f"SELECT layers, '{rule}' AS rule, CAST({sql} AS BIGINT) AS violations FROM cases" for rule, sql in _CHECKS.items()),
+    ),
+)
+def layer_checks_query(spark, folder):
+    """The checks of a run on whole layers, and on layers that lost rows between bronze and silver and in the station hours."""
+    bronze = feed(spark, folder)
+    stations, _, fact, gold = layer_frames(bronze)
+    gold = spool(gold, "gold")
+    manifest = bronze.groupBy("eva").agg(F.count(F.lit(1)).alias("row_count"))
+    lost = F.col("stop_event_key").cast("long") % 10 == 3
+    whole = layer_checks.layer_violations(bronze, manifest, fact, stations, gold, feat.station_hour(gold), HUB)
+    broken = layer_checks.layer_violations(
+        bronze, manifest.filter("eva <> '3'"), fact.filter(~lost), stations, gold, feat.station_hour(gold.filter(~lost)), HUB
+    )
+    return whole.withColumn("layers", F.lit("whole")).unionByName(broken.withColumn("layers", F.lit("broken")))
+
+
+@query(
+    "replaced_layer",
+    with_ctes(
+        *_BASE,
+        final=printed(
+            "SELECT service_date, count(*) AS events FROM stop_fact WHERE CAST(stop_event_key AS BIGINT) % 3 <> 0 GROUP BY 1", dates="service_date"
+        ),
+    ),
+)
+def replaced_layer(spark, folder):
+    """A silver table written, replaced, and left as it is by a third version that fails its check; read from the catalog."""
+    fact = spool(layer_frames(feed(spark, folder))[2], "fact")
+    key = F.col("stop_event_key").cast("long")
+    root, table = scratch_path(spark, "versions"), f"fact_{uuid.uuid4().hex[:12]}"
+
+    def keyed(written):
+        return quality.row_rules(written, {"every row has a date": F.col("service_date").isNull()})
+
+    def save(rows):
+        return layers.save_layer_table(rows, root, "layer_versions", table, "service_date", ("stop_event_key",), keyed)
+
+    save(fact.filter(key % 2 == 0))
+    stored = save(fact.filter(key % 3 != 0))
+    try:
+        save(fact.withColumn("service_date", F.when(key % 7 != 0, F.col("service_date"))))
+    except ValueError:
+        stored = spark.table(f"layer_versions.{table}")
+    return stored.groupBy("service_date").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query(
+    "ordered_fact_slice",
+    with_ctes(
+        *_BASE,
+        final="""SELECT stop_event_key, station_key, hour_key FROM stop_fact WHERE station_key = 3 AND hour_key BETWEEN 6 AND 8""",
+    ),
+)
+def ordered_fact_slice(spark, folder):
+    """A narrow key range of the fact, read from files that hold consecutive ranges of it."""
+    fact = layer_frames(feed(spark, folder))[2]
+    stored = layers.save_frame(fact, scratch_path(spark, "ordered_fact"), order=("station_key", "hour_key"))
+    return stored.filter("station_key = 3 AND hour_key BETWEEN 6 AND 8").select("stop_event_key", "station_key", "hour_key")
+
+
+@query(
+    "journey_sketches",
+    with_ctes(
+        RIDES,
+        _SCOPED,
+        final="""SELECT coalesce(scope_slice, 'all') AS scope_slice, count(DISTINCT train_line_ride_id) AS journeys, count(*) AS row_count,
+        true AS estimate_is_near FROM scoped GROUP BY GROUPING SETS ((scope_slice), ())""",
+    ),
+)
+def journey_sketches(spark, folder):
+    """Exact journeys next to those of stored sketches, which are merged over slices that overlap; near means within four standard errors."""
+    bronze = _bronze(spark, folder)
+    stored = spool(scope.journey_sketches(bronze), "sketches")
+    near = scope.sketched_journeys(stored, "scope_slice").unionByName(scope.sketched_journeys(stored).withColumn("scope_slice", F.lit("all")))
+    counted = F.count_distinct("train_line_ride_id").alias("journeys")
+    exact = bronze.groupBy("scope_slice").agg(counted).unionByName(bronze.agg(counted).withColumn("scope_slice", F.lit("all")))
+    apart = F.abs(F.col("journey_estimate") - F.col("journeys"))
+    return exact.join(near, "scope_slice").select(
+        "scope_slice", "journeys", "row_count", (apart <= F.greatest(F.lit(1.0), 4 * scope.SKETCH_ERROR * F.col("journeys"))).alias("estimate_is_near")
+    )
+
+
+# months of the feed moved by whole weeks: February and March hold the same rows, June is far and the worst
+_MOVED = {"2023-11": (-56, 5), "2023-12": (-28, 3), "2024-01": (0, 1), "2024-02": (35, 2), "2024-03": (63, 2), "2023-06": (-210, 1)}
+
+
+def moved_months(spark, folder) -> list[str]:
+    root, events = scratch_path(spark, "months"), load_events(spark, folder)
+    for month, (days, part) in _MOVED.items():
+        rows = events.filter(F.col("event_id") % part == 0).withColumn("ts", F.col("ts") + F.expr(f"INTERVAL '{days}' DAY"))
+        layers.save_frame(stop_events(rows), f"{root}/data-{month}.parquet", order=("station_name", "time"))
+    return [f"{root}/data-{month}.parquet" for month in _MOVED]
+
+
+_MOVED_SQL = " UNION ALL ".join(
+    f"SELECT 'data-{month}.parquet' AS file, * REPLACE (ts + INTERVAL ({days}) DAY AS ts) FROM events WHERE event_id % {part} = 0"
+    for month, (days, part) in _MOVED.items()
+    if month not in ("2024-01", "2023-06")
+)
+
+
+@query(
+    "multi_file_weeks",
+    with_ctes(
+        f"moved AS ({_MOVED_SQL})",
+        STOPS.replace("FROM events", "FROM moved").replace("CAST(event_id AS VARCHAR) AS id", "CAST(event_id AS VARCHAR) AS id, file AS source_file"),
+        f"""weeks AS (
+          SELECT source_file, CAST(date_trunc('week', time) AS DATE) AS week_start_date, count(*) AS hub_stop_count,
+                 count(*) FILTER (WHERE coalesce(delay_in_min, 0) >= 15 OR coalesce(is_canceled, false)) AS severe_or_cancel_count
+          FROM stops WHERE station_name = '{HUB}' GROUP BY 1, 2),
+        complete AS (
+          SELECT *, week_start_date + 6 AS week_end_date, severe_or_cancel_count / hub_stop_count AS severe_or_cancel_share FROM weeks
+          WHERE strftime(week_start_date, '%Y-%m') = substr(source_file, 6, 7) AND strftime(week_start_date + 6, '%Y-%m') = substr(source_file, 6, 7))""",
+        final=printed(
+            """SELECT source_file, week_start_date, week_end_date, hub_stop_count, severe_or_cancel_count, severe_or_cancel_share,
+            row_number() OVER (ORDER BY severe_or_cancel_count DESC, severe_or_cancel_share DESC, hub_stop_count DESC, source_file, week_start_date) = 1
+              AS is_picked FROM complete""",
+            dates="week_start_date week_end_date",
+            doubles="severe_or_cancel_share",
+        ),
+    ),
+)
+def multi_file_weeks(spark, folder):
+    """Weeks of the four month files nearest to January, with the picked one; the first of two files with equal weeks is preferred."""
+    weeks = spool(scope.search_weeks(spark, moved_months(spark, folder), SOURCE_FILE, HUB), "weeks")
+    picked = scope.pick_week(weeks).select("source_file", "week_start_date", F.lit(True).alias("_picked"))
+    return weeks.join(picked, ["source_file", "week_start_date"], "left").withColumn("is_picked", F.coalesce("_picked", F.lit(False))).drop("_picked")
+
+
 @query(
     "saved_fact_by_date",
     with_ctes(

@@ -9,8 +9,7 @@ from delaymill.operators import export as ex
 from delaymill.operators import outcomes as out
 from delaymill.operators import candidates as cand
 from delaymill.operators import quality, report
-from delaymill.session import scratch_path, spool
-from delaymill.sources import layers
+from delaymill.session import spool
 from delaymill.sources.sample_feed import load_events, stop_events
 from registry.common import feed, printed, query, with_ctes
 from registry.layers import _GOLD, layer_frames
@@ -96,24 +95,9 @@ def star(spark, folder):
     return events, summary, ex.star_tables(spark, events, summary, POLICY)
 
 
-_EXPORTED: dict[tuple[str, str], dict] = {}
-
-
-def _stored(spark, table) -> bool:
-    """Whether a table's first file, if it has any, is still there."""
-    for name in table.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return True
-
-
 def exported(spark, folder):
-    """The written star tables that report queries read; one export per session and input folder, anew once cleared."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _EXPORTED or not all(_stored(spark, t) for t in _EXPORTED[key].values()):
-        tables = star(spark, folder)[2]
-        _EXPORTED[key] = {n: layers.save_frame(t, scratch_path(spark, n)) for n, t in tables.items()}
-    return _EXPORTED[key]
+    """The star tables that report queries read."""
+    return star(spark, folder)[2]
 
 
 def policy_facts(spark, folder):
@@ -182,15 +166,20 @@ _SCENARIO_NAME = f"Prototype hourly_capacity_3 | threshold 0.50 | policy {VERSIO
 @query(
     "events_by_scenario",
     star_sql(
-        f"""SELECT scenario_key, '{_SCENARIO_NAME}' AS scenario_display_name, '{POLICY.frozen_at}' AS frozen_at,
-        count(*) AS "Event Count" FROM event_fact GROUP BY 1"""
+        f"""SELECT s.*, n AS "Event Count" FROM (SELECT scenario_key, count(*) AS n FROM event_fact GROUP BY 1) JOIN (
+        SELECT '{VERSION}' AS scenario_key, 'hourly_capacity_{CANONICAL}' AS capacity_scenario, {CANONICAL} AS capacity_per_hour,
+        {POLICY.threshold} AS minimum_candidate_probability, '{MODEL[0]}' AS model_name, '{MODEL[1]}' AS model_version,
+        {POLICY.selected_threshold} AS selected_threshold, '{VERSION}' AS policy_version, '{POLICY.frozen_at}' AS frozen_at,
+        '{_SCENARIO_NAME}' AS scenario_display_name) s USING (scenario_key)""",
+        "minimum_candidate_probability selected_threshold",
     ),
 )
 def events_by_scenario(spark, folder):
-    """The scenario dimension joined to its events."""
+    """The scenario dimension, all its columns, joined to its events."""
     tables = star(spark, folder)[2]
-    joined = report.with_dimension(tables["fact_event_decision"], tables["dim_scenario"], "scenario_key")
-    axes = ["scenario_key", "scenario_display_name", "frozen_at"]
+    axes = tables["dim_scenario"].columns
+    shared = {c for c in axes if c != "scenario_key" and c in tables["fact_event_decision"].columns}
+    joined = report.with_dimension(tables["fact_event_decision"].drop(*shared), tables["dim_scenario"], "scenario_key")
     return report.report(joined, axes, report.some(report.event_measures(), "Event Count"))
 
 
@@ -274,21 +263,17 @@ _PAIR_DOUBLES = " ".join(
 )
 
 
+_PAIR_FACT = f"""pair_fact AS (
+  SELECT 'final' AS execution_mode, t.capacity_per_hour, compared_horizon_count, win_horizon_count,
+         tie_horizon_count, loss_horizon_count, selected_set_match_rate, {_PAIR}, e.optimization_run_id,
+         e.candidate_pool_fingerprint, e.scoring_model_name, e.scoring_model_version, e.optimization_policy_version, e.optimized_at
+  FROM tallies t JOIN comparison_fact o USING (capacity_per_hour, policy_name)
+  JOIN comparison_fact e ON e.capacity_per_hour = t.capacity_per_hour AND e.policy_name = '{EXACT}')"""
+
+
 @query(
     "pairwise_summary",
-    recursive(
-        *_POLICY_FACTS,
-        _DUELS,
-        final=printed(
-            f"""SELECT 'final' AS execution_mode, t.capacity_per_hour, compared_horizon_count, win_horizon_count,
-            tie_horizon_count, loss_horizon_count, selected_set_match_rate, {_PAIR}, e.optimization_run_id,
-            e.candidate_pool_fingerprint, e.scoring_model_name, e.scoring_model_version, e.optimization_policy_version,
-            e.optimized_at
-            FROM tallies t JOIN comparison_fact o USING (capacity_per_hour, policy_name)
-            JOIN comparison_fact e ON e.capacity_per_hour = t.capacity_per_hour AND e.policy_name = '{EXACT}'""",
-            doubles=_PAIR_DOUBLES,
-        ),
-    ),
+    recursive(*_POLICY_FACTS, _DUELS, _PAIR_FACT, final=printed("SELECT * FROM pair_fact", doubles=_PAIR_DOUBLES)),
 )
 def pairwise_summary(spark, folder):
     return policy_facts(spark, folder)[2]
@@ -335,10 +320,10 @@ def policy_table(spark, folder):
             (SELECT 1 FROM gold GROUP BY station_id HAVING count(DISTINCT station_name) > 1)
         UNION ALL SELECT 'journey fixes its line', count(*) FROM (SELECT 1 FROM gold GROUP BY journey_id
             HAVING count(DISTINCT coalesce(train_type, '?')) > 1 OR count(DISTINCT coalesce(line_number, '?')) > 1)
-        UNION ALL SELECT 'fact stations are known', CAST(0 AS BIGINT)
+        UNION ALL SELECT 'fact stations are known', count(DISTINCT station_key) FROM gold WHERE station_key % 5 = 0
         UNION ALL SELECT 'peak stations serve at night', count(*) FROM (SELECT DISTINCT station_key FROM gold
             WHERE time_band = 'peak') WHERE station_key NOT IN (SELECT station_key FROM gold WHERE hour_key < 3)
-        UNION ALL SELECT 'one source file', CAST(0 AS BIGINT)""",
+        UNION ALL SELECT 'one file, one band', CAST(count(DISTINCT source_file) <> 1 AS BIGINT) + CAST(count(DISTINCT time_band) <> 1 AS BIGINT) FROM gold""",
     ),
 )
 def layer_quality(spark, folder):
@@ -358,9 +343,9 @@ def layer_quality(spark, folder):
         quality.duplicate_keys(gold, ["station_key", "train_service_key"], "one row per station and service"),
         quality.broken_dependency(gold, "station_id", ["station_name"], "station fixes its name"),
         quality.broken_dependency(gold, "journey_id", ["train_type", "line_number"], "journey fixes its line"),
-        quality.orphans(fact, stations, "station_key", "fact stations are known"),
+        quality.orphans(fact, stations.filter("station_key % 5 <> 0"), "station_key", "fact stations are known"),
         quality.orphans(peak, night, "station_key", "peak stations serve at night"),
-        quality.single_value(gold, ["source_file"], "one source file"),
+        quality.single_value(gold, ["source_file", "time_band"], "one file, one band"),
     )
 
 
@@ -394,6 +379,7 @@ _SQL_TABLES = {
     "fact_horizon_summary": "horizon_fact",
     "fact_policy_comparison": "comparison_fact",
     "fact_horizon_policy_metrics": "metrics",
+    "fact_policy_pairwise_summary": "pair_fact",
     "dim_date_hour": "date_hours",
     "dim_station": "station_names",
     "dim_train_service": "service_names",
@@ -489,16 +475,107 @@ def _quality_sql() -> str:
         )
     for dimension, key in sorted({(d, k) for _, d, k in ex.RELATIONSHIPS}):
         rules.append(_bad_groups(f"{dimension}.{key} is unique", _SQL_TABLES[dimension], key, "count(*) > 1"))
-    tables = (*STAR, COMPARISON, _DISPLAY, _PRINTS, _COMPARED, _DUELS, _SQL_DIMENSIONS)
+    tables = (*STAR, COMPARISON, _DISPLAY, _PRINTS, _COMPARED, _DUELS, _PAIR_FACT, _SQL_DIMENSIONS)
     return recursive(*tables, final=" UNION ALL ".join(rules))
 
 
+_ODD = "CAST(stop_event_key AS BIGINT) % 10 = 3"
+_LATE = "hour_of_day >= 18"
+_ARTIFACT_FIELDS = {
+    "optimization_run_id": ("optimization_run_id", None),
+    "model_name": ("model_name", f"'{MODEL[0]}'"),
+    "model_version": (f"CASE WHEN {_ODD} THEN 'older' ELSE model_version END", f"'{MODEL[1]}'"),
+    "capacity_scenario": ("capacity_scenario", f"'hourly_capacity_{CANONICAL}'"),
+    "capacity_per_hour": ("capacity_per_hour", str(CANONICAL)),
+    "minimum_candidate_probability": ("minimum_candidate_probability", str(POLICY.threshold)),
+    "selected_threshold": ("selected_threshold", str(POLICY.selected_threshold)),
+}
+_HORIZON_FIELDS = {
+    "optimization_run_id": (f"CASE WHEN {_LATE} THEN 'final-r2' ELSE optimization_run_id END", None),
+    "model_name": ("CAST(NULL AS VARCHAR)", f"'{MODEL[0]}'"),
+    "model_version": ("model_version", f"'{MODEL[1]}'"),
+    "capacity_scenario": ("capacity_scenario", f"'hourly_capacity_{CANONICAL}'"),
+    "capacity_per_hour": (f"CASE WHEN {_LATE} THEN 5 ELSE capacity_per_hour END", str(CANONICAL)),
+}
+_EVALUATED = {"selected_threshold": 0.6, "capacity_per_hour": 3}  # what the metadata claim; the threshold is wrong
+_CLAIMED_HORIZONS = 7
+
+
+def _artifact_sql() -> str:
+    rules = []
+    for side, table, fields in (("events", "event_fact", _ARTIFACT_FIELDS), ("horizons", "horizon_fact", _HORIZON_FIELDS)):
+        for field, (value, expected) in fields.items():
+            rules.append(f"SELECT '{side}: one known {field}' AS rule, abs(count(DISTINCT {value}) - 1) AS violations FROM {table}")
+            if expected:
+                rules.append(f"SELECT '{side}: {field} is that of the policy', count(*) FILTER (WHERE {value} <> {expected}) FROM {table}")
+            if field in _EVALUATED:
+                rules.append(
+                    f"SELECT '{side}: {field} is that of the metadata', count(*) FILTER (WHERE {value} <> {_EVALUATED[field]}) FROM {table}"
+                )
+    late = _HORIZON_FIELDS["optimization_run_id"][0]
+    rules.append(
+        f"""SELECT 'events and horizons: same optimization_run_id', count(*) FROM (
+        (SELECT DISTINCT {late} AS id FROM horizon_fact EXCEPT SELECT optimization_run_id FROM event_fact)
+        UNION ALL (SELECT optimization_run_id FROM event_fact EXCEPT SELECT {late} FROM horizon_fact))"""
+    )
+    rules.append(f"SELECT 'horizons: as many as the metadata say', abs(count(*) - {_CLAIMED_HORIZONS}) FROM horizon_fact")
+    return recursive(*STAR, final=" UNION ALL ".join(rules))
+
+
+@query("artifact_agreement", _artifact_sql())
+def artifact_agreement(spark, folder):
+    """Events and horizons that do not describe one run: versions, run ids, capacities and metadata are mixed up on purpose."""
+    events, summary, _ = star(spark, folder)
+    events = events.withColumn("model_version", F.when(F.col("stop_event_key").cast("long") % 10 == 3, "older").otherwise(F.col("model_version")))
+    late = F.expr(_LATE)
+    summary = summary.withColumns({
+        "optimization_run_id": F.when(late, "final-r2").otherwise(F.col("optimization_run_id")),
+        "capacity_per_hour": F.when(late, 5).otherwise(F.col("capacity_per_hour")),
+        "scoring_model_name": F.lit(None).cast("string"),
+    })
+    return ex.artifact_violations(events, summary, POLICY, _EVALUATED, _CLAIMED_HORIZONS)
+
+
+_RUN_FIELDS = {
+    "optimization_run_id": f"CASE WHEN capacity_per_hour = 5 AND {_LATE} THEN 'final-r2' ELSE optimization_run_id END",
+    "candidate_pool_fingerprint": "candidate_pool_fingerprint",
+    "scoring_model_name": "scoring_model_name",
+    "scoring_model_version": f"CASE WHEN capacity_per_hour IN (1, 10) AND {_LATE} THEN NULL ELSE scoring_model_version END",
+    "optimization_policy_version": "optimization_policy_version",
+    "optimized_at": "CAST(NULL AS VARCHAR)",
+}
+
+
+@query(
+    "run_metadata",
+    recursive(
+        *_POLICY_FACTS,
+        final=" UNION ALL ".join(
+            f"""SELECT 'one {field} per capacity' AS rule, count(*) AS violations FROM (SELECT 1 FROM metrics WHERE capacity_per_hour <> 3
+            GROUP BY capacity_per_hour HAVING count(DISTINCT {value}) <> 1 OR count({value}) <> count(*))"""
+            for field, value in _RUN_FIELDS.items()
+        )
+        + " UNION ALL SELECT 'comparison rows have a run', count(*) FROM comparison_fact WHERE capacity_per_hour = 3",
+    ),
+)
+def run_metadata(spark, folder):
+    """Conflicting, partly unknown and missing run metadata, by capacity."""
+    metrics, comparison, _ = policy_facts(spark, folder)
+    mixed = metrics.filter("capacity_per_hour <> 3").withColumns({c: F.expr(sql) for c, sql in _RUN_FIELDS.items() if "CASE" in sql})
+    return ex.run_violations(mixed.withColumn("optimized_at", F.lit(None).cast("string")), comparison)
+
+
 @query("export_quality", _quality_sql())
 def export_quality(spark, folder):
     """All rules of the export; every count must be zero."""
     events, summary, tables = star(spark, folder)
     metrics, comparison, pairwise = policy_facts(spark, folder)
-    finished = {**tables, "fact_horizon_policy_metrics": metrics, "fact_policy_comparison": comparison}
+    finished = {
+        **tables,
+        "fact_horizon_policy_metrics": metrics,
+        "fact_policy_comparison": comparison,
+        "fact_policy_pairwise_summary": pairwise,
+    }
     return quality.union_reports(
         ex.source_violations(events, summary, POLICY),
         ex.dimension_conflicts(events),

@@ -53,7 +53,7 @@ def compare(spark, connection, folder: Path, build, sql: str | None) -> tuple[bo
 
 def main() -> None:
     import __spark_entry__ as entry
-    from delaymill.session import build_session
+    from delaymill.session import build_session, scratch_cleared
 
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="0.01")
@@ -68,7 +68,8 @@ def main() -> None:
     for name in options.names or queries:
         began = time.time()
         try:
-            ok, note = compare(spark, connection, folder, queries[name], sqls.get(name))
+            with scratch_cleared(spark):
+                ok, note = compare(spark, connection, folder, queries[name], sqls.get(name))
         except Exception as error:  # noqa: BLE001
             ok, note = False, f"{type(error).__name__}: {str(error)[:1500]}"
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - began:.1f}s {note}", flush=True)

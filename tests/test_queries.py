@@ -27,3 +27,16 @@ def test_export_rules_hold(spark):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_the_corpus_part_may_lack_a_package():
+    """The other queries register although a package of the corpus operators is missing."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['public_tokenizers'] = None\nimport __spark_entry__ as e\nprint(len(e.queries()), 'op2_token_counts' in e.queries())"
+    root = Path(entry.__file__).parent
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], capture_output=True, text=True, cwd=root, check=True)
+    n, corpus = done.stdout.split()
+    assert int(n) >= 90 and corpus == "False"

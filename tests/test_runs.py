@@ -1,6 +1,5 @@
 """The whole chain on the sample feed: files, layers, scores, selections, report tables."""
 
-import json
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -8,7 +7,7 @@ from pyspark.sql import functions as F
 from delaymill.config import ScopeConfig, ScopeSlice
 from delaymill.operators import export, model
 from delaymill.plans import runs
-from delaymill.sources.layers import read_stop_events
+from delaymill.sources.layers import read_facts, read_part, read_stop_events
 from delaymill.sources.sample_feed import load_events, stop_events
 
 CLOCK = "2026-01-01T00:00:00+00:00"
@@ -38,9 +37,10 @@ def test_whole_run(spark, tmp_path):
 
     labels = (config.source_file_name, added.source_file, (added.week_start, added.week_end))
     scored, threshold = runs.train_and_score(layers["gold"], root, CLOCK, labels)
-    report = json.loads((tmp_path / "out/ml/evaluation.json").read_text())
-    for row in report["held_out_metrics"]:
-        assert row["roc_auc"] > 0.8 and row["pr_auc"] > report["baseline"][0]["naive_baseline_prevalence"]
+    baseline = read_part(spark, f"{root}/ml/evaluation", "baseline").first()
+    for row in read_part(spark, f"{root}/ml/evaluation", "held_out_metrics").collect():
+        assert row["roc_auc"] > 0.8 and row["pr_auc"] > baseline["naive_baseline_prevalence"]
+    assert read_facts(spark, f"{root}/ml/evaluation")["selected_threshold"] == threshold
     assert 0.05 <= threshold <= 0.95
     again = model.held_out_scores(model.load_model(f"{root}/ml/model"), scored.limit(50), threshold, CLOCK, "again")
     worst = again.agg(F.max(F.abs(F.col("again") - F.col("predicted_probability"))).alias("w")).first().w
@@ -57,9 +57,8 @@ def test_whole_run(spark, tmp_path):
     assert comparison.count() == 16
     names = layers["dim_station"].select("station_id", F.col("station_name").alias("_name"))
     written = runs.export_report(spark, tables, policy, root, names)
-    assert set(written) == {*export.CONTRACTS, "fact_policy_pairwise_summary"}
+    assert set(written) == set(export.CONTRACTS) and len(written) == 9
     assert written["fact_policy_pairwise_summary"].count() == 12
     assert written["fact_event_decision"].filter(F.col("station_name") == "Unknown station").count() == 0
-    frozen = json.loads((tmp_path / "out/optimization/frozen_policy.json").read_text())
-    assert frozen["capacity_scenario"] == "hourly_capacity_3"
-    assert date.fromisoformat(json.loads((tmp_path / "out/layer_summary.json").read_text())["slices"][0]["min_service_date"])
+    assert read_facts(spark, f"{root}/optimization/frozen_policy")["capacity_scenario"] == "hourly_capacity_3"
+    assert date.fromisoformat(read_part(spark, f"{root}/layer_summary", "slices").first()["min_service_date"])
