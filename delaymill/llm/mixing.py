@@ -15,7 +15,8 @@ DIMENSIONS = ("source", "lang", "topic")
 TEMPER = 0.8  # default targets: shares of the corpus to this power
 TOLERANCE = 1e-9  # largest relative distance of a marginal from its target at which raking ends
 SWEEPS = 200
-STALLED = 0.999  # raking also ends when a sweep no longer gets closer: not all targets can be met together
+STALLED = 0.999  # raking also ends when sweeps no longer get closer: not all targets can be met together
+CHECKED = 4  # sweeps between two looks at the marginals
 SEED = 17
 FRACTION = 0.5  # of the corpus' tokens that a sample has, if every cell has enough
 
@@ -79,13 +80,15 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float =
         )
     current = spool(cells.withColumn("_weight", F.col("_cell_tokens").cast("double")), "weights")
     before = float("inf")
-    for _ in range(SWEEPS):
+    for sweep in range(1, SWEEPS + 1):
         for d, goal in goals.items():
             sums = current.groupBy(f"_{d}").agg(F.sum("_weight").alias("_sum"))
             factor = F.when(F.col("_sum") > 0, F.coalesce("_goal", F.lit(0.0)) / F.col("_sum")).otherwise(F.lit(0.0))
             factors = sums.join(goal, f"_{d}", "left").select(f"_{d}", factor.alias("_f"))
             scaled = current.join(factors, f"_{d}").withColumn("_weight", F.col("_weight") * F.col("_f"))
             current = spool(scaled.select(*cells.columns, "_weight"), "weights")
+        if sweep % CHECKED:
+            continue
         far = _distance(current, goals)
         if far <= tolerance or far > STALLED * before:
             break
