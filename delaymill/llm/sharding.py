@@ -2,7 +2,7 @@
 
 The points are distinct texts with the bytes of all their copies. A node that is to give k shards is split along its widest
 dimension where the bytes reach the share of k // 2 of them. This weighted median is found for all nodes of a level at once, by histograms
-that narrow its place 16 bits at a time; each is an aggregate over the points where they lie, so nothing is sorted or shuffled but sums.
+that narrow its place 10 bits at a time; each is an aggregate over the points where they lie, so nothing is sorted or shuffled but sums.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from delaymill.session import spool
 
 SHARDS = 24
 ROW_BYTES = 8  # of a row besides its text
-WHOLE = 4  # copies of a text stay together while they fill at most this part of a shard
+WHOLE = 64  # copies of a text are never parted while they fill at most this part of a shard
 HALF = 31  # a coordinate has the scaled value in its upper bits, a hash of the point in as many lower ones
-STEP = 16  # bits of a histogram
+STEP = 10  # bits of a histogram
+BROADCAST_ROWS = 100_000
 
 
 def code(name: str) -> Column:
@@ -36,7 +37,8 @@ def points(docs: DataFrame, shards: int | None, target_bytes: int | None, dimens
     """The rows (doc_id, size, text_crc32, key, part), the points (key, part, weight, one coordinate per dimension) and the shards.
 
     A point is a text with all its copies, placed at the least value that they have in each dimension. Of a text that fills more than
-    1 / ``WHOLE`` of a shard, of which there are few, runs of copies by ascending id become points of their own.
+    1 / ``WHOLE`` of a shard, of which there are few, runs of copies by ascending id become points of their own. These follow each other in
+    every dimension, so that a cut can run through one text only.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumn("size", F.octet_length(text).cast("long") + ROW_BYTES)
@@ -51,20 +53,27 @@ def points(docs: DataFrame, shards: int | None, target_bytes: int | None, dimens
     summed = [F.sum("size").alias("weight"), *[F.min(v).alias(v) for v in values]]
     groups = spool(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *summed), "groups")
     least = max(1, total // (shards * WHOLE))
-    large = groups.filter(F.col("weight") > least).select("key", "n", F.expr(f"(weight + {least - 1}) div {least}").alias("parts"))
-    bounded = F.broadcast(spool(large, "large"))  # at most shards * WHOLE + 1 rows, as each holds a part of the total
+    most_parts = total // least + 1
+    large = groups.filter(F.col("weight") > least).select("key", "n", F.expr(f"(weight + {least - 1}) div {least}").alias("parts"), *values)
+    large = spool(large, "large")
+    # each of them holds a part of the total, so they are fewer than most_parts; with very many shards the planner goes by the stored size
+    near = F.broadcast if most_parts <= BROADCAST_ROWS else lambda df: df
+    bounded = near(large.select("key", "n", "parts"))
     cut = rank_rows(rows.join(bounded, "key"), ["key"], [F.col("doc_id").asc_nulls_first()], "at")
     cut = spool(cut.withColumn("part", F.expr("(at - 1) * parts div n")).select(*rows.columns, "part"), "parts")
     light = rows.join(bounded, "key", "left_anti").withColumn("part", F.lit(0).cast("long"))
     whole = groups.join(bounded, "key", "left_anti").withColumn("part", F.lit(0).cast("long"))
-    found = whole.select("key", "part", "weight", *values).unionByName(cut.groupBy("key", "part").agg(*summed))
+    pieces = cut.groupBy("key", "part").agg(F.sum("size").alias("weight")).join(near(large.select("key", *values)), "key")
+    found = whole.select("key", "part", "weight", *values).unionByName(pieces.select("key", "part", "weight", *values))
+    part_bits = min(HALF - 1, most_parts.bit_length())
     bounds = F.broadcast(found.agg(*[f(v).alias(f"{n}{v}") for v in values for n, f in (("least", F.min), ("most", F.max))]))  # one row
 
     def coordinate(v: str) -> Column:
         low, high = F.col(f"least{v}"), F.col(f"most{v}")
         scaled = F.floor((F.col(v) - low) / F.nullif(high - low, F.lit(0.0)) * F.lit(float(2**HALF))).cast("long")
         scaled = F.least(F.coalesce(scaled, F.lit(0)), F.lit(2**HALF - 1)).cast("long")
-        return F.shiftleft(scaled, HALF).bitwiseOR(F.shiftrightunsigned(F.xxhash64("key", "part"), 64 - HALF))
+        tie = F.shiftleft(F.shiftrightunsigned(F.xxhash64("key"), 64 - HALF + part_bits), part_bits).bitwiseOR(F.col("part"))
+        return F.shiftleft(scaled, HALF).bitwiseOR(tie)
 
     found = found.join(bounds).select("key", "part", "weight", *[coordinate(v).alias(f"c{i}") for i, v in enumerate(values)])
     return light.unionByName(cut).select("doc_id", "size", "text_crc32", "key", "part"), found, shards
@@ -125,8 +134,8 @@ def assign(
     """doc_id, size, text_crc32, shard and slot (from 0 in each shard, ascending doc_id) of every row of ``docs``.
 
     With ``shards`` None there are as many as it takes to hold ``target_bytes`` each. ``dimensions`` are numbers computed from a row's
-    columns and ``size``; by default language, source, bytes and doc_id. Sizes differ from each other by the size of single points. Equal texts share
-    a shard unless they fill more than 1 / ``WHOLE`` of one. Null texts count as empty ones and null names as '', a null number lies at the low end;
+    columns and ``size``; by default language, source, bytes and doc_id. Sizes differ by little more than single rows. Equal texts share
+    a shard, but for those that a cut runs through, at most one for each cut, of which the copies fill more than 1 / ``WHOLE`` of a shard. Null texts count as empty ones and null names as '', a null number lies at the low end;
     repeated rows are copies; a shard is empty only where there are fewer points than shards; other columns are not looked at.
     """
     dimensions = default_dimensions() if dimensions is None else dimensions
