@@ -7,21 +7,47 @@ from pyspark.sql import functions as F
 
 from delaymill.functions.calendar import date_attributes, date_key, time_band
 from delaymill.functions.delays import delay_minutes, service_class, side_cancelled
-from delaymill.operators.ranking import surrogate_keys
+from delaymill.operators.ranking import rank_rows, surrogate_keys
+from delaymill.session import spool
 
 
-def dim_station(bronze: DataFrame) -> DataFrame:
-    stations = bronze.groupBy(F.col("eva").alias("station_id")).agg(
+def _stations(bronze: DataFrame) -> DataFrame:
+    return bronze.groupBy(F.col("eva").alias("station_id")).agg(
         F.min("station_name").alias("station_name"), F.min("xml_station_name").alias("xml_station_name")
     )
-    return surrogate_keys(stations, [F.asc_nulls_last("station_id")], "station_key")
+
+
+def _services(bronze: DataFrame) -> DataFrame:
+    services = bronze.select("train_type", "train_number", "line_number").distinct()
+    return services.withColumn("service_class", service_class(F.col("train_type")))
+
+
+def dim_station(bronze: DataFrame) -> DataFrame:
+    return surrogate_keys(_stations(bronze), [F.asc_nulls_last("station_id")], "station_key")
 
 
 def dim_train_service(bronze: DataFrame) -> DataFrame:
-    columns = ["train_type", "train_number", "line_number"]
-    services = bronze.select(*columns).distinct().withColumn("service_class", service_class(F.col("train_type")))
-    order = [F.asc_nulls_last(c) for c in services.columns]
-    return surrogate_keys(services, order, "train_service_key")
+    services = _services(bronze)
+    return surrogate_keys(services, [F.asc_nulls_last(c) for c in services.columns], "train_service_key")
+
+
+def keyed_dimensions(bronze: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both dimensions as ``dim_station`` and ``dim_train_service`` have them, from one ranking of their rows."""
+    stations, services = _stations(bronze), _services(bronze)
+    names = {"station": stations.columns, "service": services.columns}
+    rows = {
+        kind: df.select(F.lit(kind).alias("kind"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+        for kind, df in (("station", stations), ("service", services))
+    }
+    union = rows["station"].unionByName(rows["service"], allowMissingColumns=True)
+    order = [F.asc_nulls_last(f"c{i}") for i in range(len(services.columns))]  # a station id, which comes first, is unique
+    keyed = spool(rank_rows(union, ["kind"], order, "key"), "dimensions")
+
+    def part(kind: str, key: str) -> DataFrame:
+        own = [F.col(f"c{i}").alias(c) for i, c in enumerate(names[kind])]
+        return keyed.filter(F.col("kind") == kind).select(F.col("key").cast("int").alias(key), *own)
+
+    return part("station", "station_key"), part("service", "train_service_key")
 
 
 def dim_date(bronze: DataFrame) -> DataFrame:

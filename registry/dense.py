@@ -1,6 +1,7 @@
 """Choices among thousands of rows an hour, where every rule of the pool leaves rows out.
 
-Most journeys stop at one station, with several rows there; one journey of each horizon has a good row at every station. The exact choice is then
+Most journeys stop at one station, with several rows there, and stations differ in how good their rows are; one journey of each horizon has a good row at
+every station, the best where the others are best too, which is a trap for choices row by row. The exact choice is then
 found in SQL by a dynamic programme over stations and counts, once for each place that the one journey can take.
 """
 
@@ -10,13 +11,13 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from delaymill.config import EXACT, GREEDY, RANDOM, SCORE_FIRST, SOLVED
+from delaymill.config import EXACT, GREEDY, RANDOM, SCORE_FIRST, SOLVED, STOPPED
 from delaymill.operators import candidates as cand
 from delaymill.operators import outcomes as out
 from delaymill.operators import policies as pol
 from delaymill.sources.sample_feed import load_events
 from registry.common import printed, query
-from registry.selection import CAPACITIES, POLICY, recursive
+from registry.selection import CAPACITIES, POLICY, STOPPED_AT_ONCE, recursive
 
 STATIONS, JOURNEYS, EVERYWHERE = 30, 60, 97
 MOST = max(CAPACITIES)
@@ -27,7 +28,8 @@ def dense_candidates(spark, folder):
     events = load_events(spark, folder)
     at, number = F.col("event_id") % STATIONS, F.expr(f"event_id div {STATIONS}")
     roams = number % EVERYWHERE == 0
-    usual = 0.5 + 0.45 * ((F.col("event_id") * 7919) % 9973) / 9973
+    usual = (0.5 + 0.45 * ((F.col("event_id") * 7919) % 9973) / 9973) * (1 - at / 100)
+    good = 0.95 + 0.04 * (STATIONS - at) / STATIONS + 0.005 * ((F.col("event_id") * 104729) % 9967) / 9967
     return events.select(
         F.lit("final").alias("execution_mode"),
         F.concat(F.lit("crowd "), (F.hour("ts") % 3).cast("string")).alias("horizon_id"),
@@ -35,7 +37,7 @@ def dense_candidates(spark, folder):
         F.col("event_id").cast("string").alias("stop_event_key"),
         F.when(roams, F.lit("everywhere")).otherwise(F.concat_ws("-", at.cast("string"), (number % JOURNEYS).cast("string"))).alias("journey_id"),
         F.concat(F.lit("S"), at.cast("string")).alias("station_id"),
-        F.when(roams, 0.9 + 0.1 * ((F.col("event_id") * 104729) % 9967) / 9967).otherwise(usual).alias(cand.PROBABILITY),
+        F.when(roams, good).otherwise(usual).alias(cand.PROBABILITY),
         (F.col("event_id") % 4 == 0).alias(cand.OUTCOME),
     )
 
@@ -44,8 +46,9 @@ _ROWS = f"""open_rows AS (
   SELECT 'crowd ' || hour(ts) % 3 AS h, CAST(event_id AS VARCHAR) AS k, event_id % {STATIONS} AS s,
          CASE WHEN (event_id // {STATIONS}) % {EVERYWHERE} = 0 THEN 'everywhere'
               ELSE event_id % {STATIONS} || '-' || (event_id // {STATIONS}) % {JOURNEYS} END AS j,
-         CASE WHEN (event_id // {STATIONS}) % {EVERYWHERE} = 0 THEN 0.9::DOUBLE + 0.1::DOUBLE * ((event_id * 104729) % 9967)::DOUBLE / 9967
-              ELSE 0.5::DOUBLE + 0.45::DOUBLE * ((event_id * 7919) % 9973)::DOUBLE / 9973 END AS p FROM events),
+         CASE WHEN (event_id // {STATIONS}) % {EVERYWHERE} = 0
+              THEN 0.95::DOUBLE + 0.04::DOUBLE * ({STATIONS} - event_id % {STATIONS})::DOUBLE / {STATIONS} + 0.005::DOUBLE * ((event_id * 104729) % 9967)::DOUBLE / 9967
+              ELSE (0.5::DOUBLE + 0.45::DOUBLE * ((event_id * 7919) % 9973)::DOUBLE / 9973) * (1 - (event_id % {STATIONS})::DOUBLE / 100) END AS p FROM events),
 caps AS (SELECT unnest({list(CAPACITIES)}) AS c)"""
 _WALKS = f"""walk_score AS (
   SELECT h, k, row_number() OVER (PARTITION BY h ORDER BY p DESC, k) AS turn
@@ -114,6 +117,22 @@ def dense_policy_choices(spark, folder):
     )
 
 
+@query(
+    "disallowed_statuses",
+    recursive(
+        _ROWS,
+        _WALKS,
+        _PROGRAMME,
+        final=f"""SELECT 'final' AS execution_mode, '{STOPPED}' AS solver_status, count(*) AS choice_count
+        FROM optimum o JOIN walked w ON w.h = o.h AND w.c = o.c AND w.policy = '{GREEDY}' WHERE o.worth - w.worth > 1e-9 HAVING count(*) > 0""",
+    ),
+)
+def disallowed_statuses(spark, folder):
+    """A run whose search is stopped at once: it takes row by row, and only where that is the optimum do the dual values prove it."""
+    chosen = pol.choices(dense_candidates(spark, folder), STOPPED_AT_ONCE, names=(EXACT,))
+    return out.disallowed_statuses(chosen, STOPPED_AT_ONCE)
+
+
 _RULES = [("h, j, s", 1), ("h, s", MOST), ("h, j", MOST), ("h", 2 * MOST * (MOST - 1) + 1)]
 _STEPS = ",\n".join(
     f"rule_{i} AS (SELECT * FROM {'open_rows' if i == 1 else f'rule_{i - 1}'} QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY p DESC, k) <= {n})"

@@ -400,7 +400,7 @@ def dim_hour(spark, folder):
 
 
 def layer_frames(bronze):
-    stations, services = star.dim_station(bronze), star.dim_train_service(bronze)
+    stations, services = star.keyed_dimensions(bronze)
     fact = star.fact_stop_event(bronze, stations, services)
     return stations, services, fact, feat.feature_stop_event(fact, stations, services)
 

@@ -510,7 +510,7 @@ STOPPED_AT_ONCE = replace(
 
 
 @query(
-    "disallowed_statuses",
+    "disallowed_statuses_of_the_feed",
     recursive(
         *RESULT,
         f"""scores_of AS (
@@ -521,6 +521,6 @@ STOPPED_AT_ONCE = replace(
         FROM scores_of WHERE mode = 'final' AND best - held > 1e-9 GROUP BY 1""",
     ),
 )
-def disallowed_statuses(spark, folder):
-    """A run whose search is stopped at once: it takes row by row, and only where that is the optimum do the dual values prove it."""
+def disallowed_statuses_of_the_feed(spark, folder):
+    """The same on the feed, whose hours hold so few rows that choices row by row are mostly the best."""
     return out.disallowed_statuses(all_outcomes(prepared(spark, folder), STOPPED_AT_ONCE), STOPPED_AT_ONCE)
