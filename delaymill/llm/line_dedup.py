@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delaymill.llm.support import shielded, texts
+from delaymill.llm.support import portions, shielded, texts
 from delaymill.session import spool
 
 MIN_CHARS = 40
@@ -73,7 +73,7 @@ def repeat_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
 
     def fill(batches):
         once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
-        for batch in batches:
+        for batch in portions(batches):
             parents, keys = long_keys(batch.column(0), min_chars)
             pairs = list(dict.fromkeys(zip(parents.tolist(), keys, strict=True)))
             at = slots([k for _, k in pairs], bits)
@@ -120,7 +120,7 @@ def repeated_keys(docs: DataFrame, min_chars: int, min_documents: int, bits: int
 
     def suspect(batches):
         seen = field.value
-        for batch in batches:
+        for batch in portions(batches):
             parents, keys = long_keys(batch.column(1), min_chars)
             pairs = list(dict.fromkeys(zip(parents.tolist(), keys, strict=True)))
             if not pairs:
@@ -166,7 +166,7 @@ def drop_repeated_lines(
     at = names.index("text")
 
     def cut(batches):
-        for batch in batches:
+        for batch in portions(batches):
             kept, lines, dropped = [], [], []
             for text, drop in zip(texts(batch.column(at)), batch.column(len(names)).to_pylist(), strict=True):
                 n = text.count("\n") + 1

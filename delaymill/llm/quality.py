@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from delaymill.llm.support import held_out, shielded, texts, unit_hash
+from delaymill.llm.support import held_out, portions, shielded, texts, unit_hash
 from delaymill.session import spool
 
 STATISTICS = (
@@ -89,7 +89,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     at = columns.index("text")
 
     def add(batches):
-        for batch in batches:
+        for batch in portions(batches):
             values = np.array([statistics_of(t) for t in texts(batch.column(at))], float)
             values = values.reshape(batch.num_rows, len(STATISTICS))
             struct = pa.StructArray.from_arrays([pa.array(v) for v in values.T], STATISTICS)
