@@ -60,14 +60,17 @@ def probability_bin(p: Column) -> Column:
 
 
 def status_code(status: Column) -> Column:
-    """Numeric codes stay; known names become codes; anything else is an error."""
+    """Numeric codes stay; known names become codes; anything else is an error.
+
+    Names come first: a cast that fails costs an exception per row.
+    """
     code = status.cast("string").try_cast("int")
     name = F.upper(status.cast("string"))
     named = F.lit(None).cast("int")
     for known, number in STATUS_CODES.items():
         named = F.when(name == known, number).otherwise(named)
     error = F.raise_error(F.concat(F.lit("unsupported solver status: "), F.coalesce(name, F.lit("null"))))
-    return F.coalesce(code, named, error.cast("int"))
+    return F.coalesce(named, code, error.cast("int"))
 
 
 def _of_policy(name: Column, place: int, kind: str, exact: str) -> Column:

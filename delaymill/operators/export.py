@@ -231,9 +231,17 @@ def project(df: DataFrame, table: str) -> DataFrame:
 
 
 def station_names(feed: DataFrame) -> DataFrame:
-    """One name per station id of the source feed; blank names do not count."""
-    named = feed.filter(F.col("eva").isNotNull() & (F.trim("station_name") != ""))
-    return named.groupBy(F.col("eva").cast("string").alias("station_id")).agg(F.min("station_name").alias("_name"))
+    """One name per station id of the source feed; blank names do not count.
+
+    Equal rows are merged before anything is compared (Spark would drop that step again if nothing were counted). Ids and names are
+    tested on what is left, not in a filter, which would read them out of every source row a second time.
+    """
+    stations = feed.select(F.col("eva").cast("string").alias("station_id"), "station_name").distinct()
+    named = F.col("station_id").isNotNull() & (F.trim("station_name") != "")
+    names = stations.groupBy("station_id").agg(
+        F.min(F.when(named, F.col("station_name"))).alias("_name"), F.count_if(named).alias("_named")
+    )
+    return names.filter("_named > 0").drop("_named")
 
 
 def normalized_events(decisions: DataFrame, policy: Policy, names: DataFrame | None = None) -> DataFrame:

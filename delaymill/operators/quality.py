@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 
 def row_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """(rule, violations) of per-row conditions in one pass; a condition is true where it is violated."""
-    counted = df.agg(*[F.count_if(F.coalesce(bad, F.lit(False))).alias(name) for name, bad in rules.items()])
+    """(rule, violations) of per-row conditions in one pass; a condition is true where it is violated.
+
+    Rows that violate nothing are left out before the rules are counted one by one.
+    """
+    bad_rows = df.filter(reduce(lambda a, b: a | b, rules.values()))
+    counted = bad_rows.agg(*[F.count_if(F.coalesce(bad, F.lit(False))).alias(name) for name, bad in rules.items()])
     return counted.unpivot([], [F.col(f"`{name}`") for name in rules], "rule", "violations")
 
 
@@ -24,14 +28,17 @@ def duplicate_keys(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def broken_dependency(df: DataFrame, key: str, attributes: list[str], name: str) -> DataFrame:
-    """Keys whose attributes are not all the same in every row; a missing value counts as a value."""
+    """Keys whose attributes are not all the same in every row; a missing value counts as a value.
+
+    Equal rows are merged first, so that only distinct ones are compared; a dimension of the same columns shares that step.
+    """
     parts = []
     for a in attributes:
         c = F.col(a)
         missing = F.count_if(c.isNull())
         parts.append((F.min(c) != F.max(c)) | ((missing > 0) & (missing < F.count(F.lit(1)))))
     mixed = reduce(lambda x, y: F.coalesce(x, F.lit(False)) | F.coalesce(y, F.lit(False)), parts, F.lit(False))
-    return _count(name, df.groupBy(key).agg(mixed.alias("_mixed")).filter("_mixed"))
+    return _count(name, df.select(key, *attributes).distinct().groupBy(key).agg(mixed.alias("_mixed")).filter("_mixed"))
 
 
 def orphans(fact: DataFrame, dimension: DataFrame, key: str, name: str) -> DataFrame:

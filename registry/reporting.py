@@ -80,13 +80,13 @@ def star_sql(body: str, doubles: str = "", *ctes: str) -> str:
 
 def _final(spark, folder):
     """Candidates and outcomes of the final mode, stored once for everything that reads them."""
-    candidates = prepared(spark, folder).filter(F.col("execution_mode") == "final")
-    ranked = cand.rank_candidates(candidates)
+    ranked = cand.rank_candidates(prepared(spark, folder, ("final",)))
     return ranked, spool(all_outcomes(ranked), "outcomes")
 
 
-def star(spark, folder):
-    ranked, outcomes = _final(spark, folder)
+def star(spark, folder, final=None):
+    """Events, horizon summary and star tables; ``final`` hands over what ``_final`` has stored already."""
+    ranked, outcomes = final or _final(spark, folder)
     decisions = out.event_decisions(ranked, outcomes, POLICY, EXACT, CANONICAL)
     names = spool(ex.station_names(stop_events(load_events(spark, folder))), "station_names")
     events = spool(ex.normalized_events(decisions, POLICY, names), "events")
@@ -100,8 +100,8 @@ def exported(spark, folder):
     return star(spark, folder)[2]
 
 
-def policy_facts(spark, folder):
-    _, outcomes = _final(spark, folder)
+def policy_facts(spark, folder, final=None):
+    _, outcomes = final or _final(spark, folder)
     metrics = ex.fact_horizon_policy_metrics(out.horizon_policy_metrics(outcomes))
     comparison = ex.fact_policy_comparison(out.policy_comparison(outcomes), metrics)
     return metrics, comparison, ex.fact_policy_pairwise_summary(comparison, metrics)
@@ -568,8 +568,9 @@ def run_metadata(spark, folder):
 @query("export_quality", _quality_sql())
 def export_quality(spark, folder):
     """All rules of the export; every count must be zero."""
-    events, summary, tables = star(spark, folder)
-    metrics, comparison, pairwise = policy_facts(spark, folder)
+    final = _final(spark, folder)
+    events, summary, tables = star(spark, folder, final)
+    metrics, comparison, pairwise = policy_facts(spark, folder, final)
     finished = {
         **tables,
         "fact_horizon_policy_metrics": metrics,

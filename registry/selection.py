@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from delaymill.config import EXACT, GREEDY, RANDOM, SCORE_FIRST, SOLVED, STOPPED, Policy
+from delaymill.config import EXACT, GREEDY, RANDOM, SCORE_FIRST, SOLVED, SPLIT_OF_MODE, STOPPED, Policy
 from delaymill.operators import candidates as cand
 from delaymill.operators import outcomes as out
 from delaymill.operators import policies as pol
@@ -125,8 +125,8 @@ def handed_over(spark, folder):
     return spool(scores, "scored")
 
 
-def prepared(spark, folder):
-    return cand.prepare_candidates(handed_over(spark, folder), POLICY)
+def prepared(spark, folder, modes=tuple(SPLIT_OF_MODE)):
+    return cand.prepare_candidates(handed_over(spark, folder), POLICY, modes)
 
 
 def all_outcomes(candidates, policy=POLICY):
