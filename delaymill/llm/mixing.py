@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from delaymill.llm.support import shielded
+from delaymill.llm.support import narrowed, shielded
 from delaymill.session import spool
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -69,38 +69,45 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float =
     ``tolerance`` of its target. Targets are (value, share) tables; they are taken relative to the values that the corpus has, a value
     without target gets weight 0. Marginals are aggregates of the cells joined back, so any number of sources fits.
     """
-    goals = {}
+    current = cells.withColumn("_weight", F.col("_cell_tokens").cast("double"))
     for d, wanted in targets.items():
         present = cells.filter("_cell_tokens > 0").select(F.col(f"_{d}").alias("value")).distinct()
-        kept = wanted.groupBy("value").agg(F.sum("share").alias("share")).join(present, "value", "left_semi")
+        kept = narrowed(wanted.groupBy("value").agg(F.sum("share").alias("share")).join(present, "value", "left_semi"))
         total = kept.agg(F.sum("share").alias("_all"))
-        goals[d] = spool(
-            kept.join(F.broadcast(total)).select(F.col("value").alias(f"_{d}"), (F.col("share") / F.col("_all")).alias("_goal")),
+        goal = spool(
+            kept.join(F.broadcast(total)).select(F.col("value").alias(f"_{d}"), (F.col("share") / F.col("_all")).alias(f"_goal_{d}")),
             "goal",
         )
-    current = spool(cells.withColumn("_weight", F.col("_cell_tokens").cast("double")), "weights")
+        current = current.join(goal, f"_{d}", "left")
+    current = spool(current, "weights")
+    columns = current.columns
     before = float("inf")
     for sweep in range(1, SWEEPS + 1):
-        for d, goal in goals.items():
-            sums = current.groupBy(f"_{d}").agg(F.sum("_weight").alias("_sum"))
+        for d in targets:
             factor = F.when(F.col("_sum") > 0, F.coalesce("_goal", F.lit(0.0)) / F.col("_sum")).otherwise(F.lit(0.0))
-            factors = sums.join(goal, f"_{d}", "left").select(f"_{d}", factor.alias("_f"))
+            factors = _marginals(current, d).select(f"_{d}", factor.alias("_f"))
             scaled = current.join(factors, f"_{d}").withColumn("_weight", F.col("_weight") * F.col("_f"))
-            current = spool(scaled.select(*cells.columns, "_weight"), "weights")
+            current = spool(scaled.select(*columns), "weights")
         if sweep % CHECKED:
             continue
-        far = _distance(current, goals)
+        far = _distance(current, targets)
         if far <= tolerance or far > STALLED * before:
             break
         before = far
-    return current
+    return current.select(*cells.columns, "_weight")
 
 
-def _distance(cells: DataFrame, goals: Mapping[str, DataFrame]) -> float:
+def _marginals(cells: DataFrame, dimension: str) -> DataFrame:
+    """The weight ``_sum`` and the goal ``_goal`` (null without one) of each value of a dimension; every cell has its goals with it."""
+    sums = cells.groupBy(f"_{dimension}").agg(F.sum("_weight").alias("_sum"), F.max(f"_goal_{dimension}").alias("_goal"))
+    return narrowed(sums)
+
+
+def _distance(cells: DataFrame, dimensions: Iterable[str]) -> float:
     """The largest relative distance of a marginal of the weights from its goal."""
     parts = []
-    for d, goal in goals.items():
-        sums = cells.groupBy(f"_{d}").agg(F.sum("_weight").alias("_sum")).join(goal, f"_{d}")
+    for d in dimensions:
+        sums = _marginals(cells, d).filter(F.col(f"_{d}").isNotNull() & F.col("_goal").isNotNull())
         parts.append(sums.agg(F.max(F.abs(F.col("_sum") / F.col("_goal") - 1)).alias("far")))
     return reduce(DataFrame.unionByName, parts).agg(F.max("far")).first()[0] or 0.0
 
@@ -135,7 +142,7 @@ def mix(
     names = docs.columns
     rows = described(docs, topic)
     keys = [f"_{d}" for d in DIMENSIONS]
-    cells = spool(rows.groupBy(*keys).agg(F.sum("_tokens").alias("_cell_tokens")), "cells").filter("_cell_tokens > 0")
+    cells = spool(narrowed(rows.groupBy(*keys).agg(F.sum("_tokens").alias("_cell_tokens"))), "cells").filter("_cell_tokens > 0")
     wanted = {d: (targets or {}).get(d, tempered(cells, d, power)) for d in DIMENSIONS}
     raked = rake(cells, wanted).withColumn("_rate", F.col("_weight") / F.col("_cell_tokens"))
     whole = F.broadcast(raked.agg(F.sum("_cell_tokens").alias("_all")))  # one row

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from delaymill.llm.support import WORD, WordHashes, groups, rolling, shielded, texts
+from delaymill.llm.support import WORD, WordHashes, groups, narrowed, rolling, shielded, texts
 from delaymill.session import spool
 
 WORDS = 5
@@ -194,18 +194,19 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
 
     def hang(df: DataFrame) -> DataFrame:
-        least = spool(df.groupBy("a").agg(F.min("b").alias("least")), "least")
+        least = spool(narrowed(df.groupBy("a").agg(F.min("b").alias("least"))), "least")
         return df.join(least, "a").select("a", "b", F.least("a", "least").alias("m"))
 
-    edges = spool(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    ordered = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = spool(narrowed(ordered.distinct()), "edges")
     before = None
     while (now := state(edges)) != before and now[0]:
         before = now
         both = spool(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
         large = hang(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = hang(spool(large, "large"))
+        small = hang(spool(narrowed(large), "large"))
         moved = small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        edges = spool(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        edges = spool(narrowed(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct()), "edges")
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 

@@ -72,6 +72,11 @@ def portions(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa
             yield batch.slice(start, rows)
 
 
+def narrowed(df: DataFrame) -> DataFrame:
+    """``df`` in at most two partitions a core, so that steps over small aggregates do not cost the driver a task for each shuffle partition."""
+    return df.coalesce(max(2, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 class WordHashes:
     """64-bit hashes of words, kept for the words a task has met lately."""
 
