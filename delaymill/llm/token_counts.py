@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delaymill.llm.support import texts
+from delaymill.llm.support import portions, texts
 from delaymill.session import spool
 
 PRETOKEN = re.compile(r" *[^ ]+| +")
@@ -70,7 +70,7 @@ def count_tokens(docs: DataFrame, model_path: str, hot_tokens: int = HOT_TOKENS)
         def out():
             return pa.RecordBatch.from_pydict({"token": list(held), "n": pa.array(held.values(), pa.int64())})
 
-        for batch in batches:
+        for batch in portions(batches):
             for text in texts(batch.column(0)):
                 held.update(pretokens(text))
                 if len(held) > HELD:
@@ -94,7 +94,7 @@ def count_tokens(docs: DataFrame, model_path: str, hot_tokens: int = HOT_TOKENS)
 
     def add_up(batches):
         known = hot.value
-        for batch in batches:
+        for batch in portions(batches):
             sizes, sums, rare = [], [], []
             for text in texts(batch.column(2)):
                 total, others = 0, []

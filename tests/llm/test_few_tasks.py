@@ -1,8 +1,11 @@
-"""Steps that must stay small for the driver and for a task."""
+"""Steps that must stay small for the driver and for a task: tasks of small aggregates, texts held at a time."""
 
 import pytest
 
-from delaymill.llm import mixing, ngram_join
+from delaymill.llm import mixing, ngram_join, token_counts
+from delaymill.llm.support import texts
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
 
 WIDE = 200  # shuffle partitions, none of them merged
 
@@ -60,3 +63,18 @@ def test_components_do_not_run_a_task_for_each_shuffle_partition(spark, tasks_of
     sizes = tasks_of(find)
     assert sum(n >= WIDE for n in sizes) <= 1  # the last distinct, which the caller goes on with
     assert found == {**dict.fromkeys(range(31), 0), 50: 50, 55: 50, 60: 50}
+
+
+def test_token_counts_hold_few_texts_at_a_time(spark, monkeypatch):
+    def few(column):
+        if len(column) > 1024:
+            raise ValueError(f"{len(column)} texts at a time")
+        return texts(column)
+
+    monkeypatch.setattr(token_counts, "texts", few)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = [(i, f"document {i % 7} of a  batch") for i in range(3000)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    counted = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(table, path).collect()}
+    model = token_counts.load_model(path)
+    assert counted == {i: (len(t.encode()), len(model.encode(t))) for i, t in docs}
